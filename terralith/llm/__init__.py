@@ -1 +1,8 @@
 """Operators for preparing training text. Nothing else in the package imports this one."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions go to executors by value, so that these need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -181,14 +181,10 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def classify(docs: DataFrame, net: ByteNet | None, *, text_col: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds the predicted language of the whole text and the mean probability of it over the text's windows."""
-    spark = docs.sparkSession
     docs = docs.drop(label, score)
     if net is None:
         return docs.withColumn(label, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
-    model = spark.sparkContext.broadcast(net)  # a few thousand numbers
-
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
         for batch in slices(batches, text_col, 1 << 20):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             said = [t is not None and any(map(str.isalpha, t)) for t in texts]
