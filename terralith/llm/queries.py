@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing
+from . import fingerprints, language, mixing, packing
 
 TOKENIZER = os.environ.get("TERRALITH_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,9 +24,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(docs.select("doc_id", "text", out.alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(read(spark, sf_dir))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(read(spark, sf_dir)))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir), TOKENIZER))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op10_packing": op10_packing}
+QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_mixing": op4_mixing,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}
