@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, packing
+from . import fingerprints, language, mixing, packing, substrings
 
 TOKENIZER = os.environ.get("TERRALITH_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(read(spark, sf_dir)))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(read(spark, sf_dir)))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir), TOKENIZER))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
