@@ -13,6 +13,7 @@ itself. An empty table gives an empty table. Columns other than the id and the t
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 END_ID = 2
 MOST = 4096
-#: Runs whose ids a worker keeps; beyond it the table starts anew, which costs time only.
-KEPT_RUNS = 200_000
+#: Runs in one generation of a worker's table of ids (two are kept); it bounds memory and changes no result.
+KEPT_RUNS = 400_000
 
 
 def piece_lengths(n: int, most: int = MOST) -> list[int]:
@@ -36,7 +37,12 @@ def piece_lengths(n: int, most: int = MOST) -> list[int]:
 
 
 class RunTokenizer:
-    """Ids of texts by a vocabulary whose tokens never cross white space."""
+    """Ids of texts by a vocabulary whose tokens never cross white space.
+
+    Runs are looked up without the case of ASCII letters and without full stops and commas after a letter, which
+    the vocabulary sets apart too; this only makes runs meet more often. Runs of letters alone give one
+    pre-token each, whose last id ends a word; many of them are encoded as one text and told apart by that.
+    """
 
     def __init__(self, path: str):
         import os
@@ -45,24 +51,67 @@ class RunTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def runs(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT_RUNS:
-            self.known, new = {}, words
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        young = self.young
+        rest = [w for w in new if not w.isalpha()]
+        alone = [w for w in new if w.isalpha()]
+        for at in range(0, len(alone), 1000):
+            part = alone[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cut = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cut) != len(part) or cut[-1] != 4 * len(ids):
+                rest += part
+                continue
+            raw, to = ids.tobytes(), cut.tolist()
+            young.update(zip(part, map(raw.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+                ids = e.ids
+                young[w] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def runs(self, words: list[str]) -> list[bytes]:
+        """Each run's ids, four bytes each. Runs not seen for a generation are forgotten."""
+        if len(self.young) > KEPT_RUNS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        keys: list[str] = []
+        tails: dict[int, str] = {}
+        for w in words:
+            if w.isascii():
+                w = w.lower()
+            if w[-1] in ".,":
+                core = w.rstrip(".,")
+                if core and core[-1].isascii() and core[-1].isalpha():
+                    tails[len(keys)] = w[len(core) :]
+                    w = core
+            keys.append(w)
+        new = set()
+        for w in keys:
+            if w not in young:
+                if (ids := old.get(w)) is None:
+                    new.add(w)
+                else:
+                    young[w] = ids
+        new.update(t for t in set(tails.values()) if t not in young)
+        self.learn(list(new))
+        out = [young[w] for w in keys]
+        for i, t in tails.items():
+            out[i] += young[t]
+        return out
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of each text's ids, the end id included, and all ids."""
         bounds, at, words = split_words(text)
         each = self.runs(words.to_pylist())
-        size = np.fromiter((len(x) for x in each), dtype=np.int64, count=len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, dtype=np.uint32)
+        size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+        flat = np.frombuffer(b"".join(each), dtype="<u4")
         long = size[at] if len(at) else np.zeros(0, dtype=np.int64)
         ends = np.cumsum(long)
         first = (np.cumsum(size) - size)[at] if len(at) else long
