@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, packing, substrings
+from . import fingerprints, jaccard, language, lines, mixing, packing, substrings
 
 TOKENIZER = os.environ.get("TERRALITH_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,6 +17,10 @@ def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir).select("doc_id", "text", "lang")
     out = language.held_out(F.col("doc_id"), 5, 0)
@@ -36,15 +40,21 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(read(spark, sf_dir)))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(read(spark, sf_dir).select("doc_id", "text")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir), TOKENIZER))
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
