@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, lines, mixing, packing, substrings
+from . import fingerprints, jaccard, language, lines, mixing, packing, substrings, toxicity
 
 TOKENIZER = os.environ.get("TERRALITH_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(read(spark, sf_dir)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir).select("doc_id", "text")
+    out = language.held_out(F.col("doc_id"), 3, 1)
+    labels = read(spark, sf_dir, "labels").filter(~out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.score(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted", "matches")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(read(spark, sf_dir)))
 
@@ -53,6 +61,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
