@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, lines, mixing, packing, substrings, toxicity
+from . import fingerprints, jaccard, language, lines, mixing, packing, substrings, toxicity, warc
 
 TOKENIZER = os.environ.get("TERRALITH_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
@@ -48,6 +48,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(read(spark, sf_dir)))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.records_of_pages(read(spark, sf_dir, "pages"))))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(read(spark, sf_dir).select("doc_id", "text")))
 
@@ -63,7 +67,8 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc_revisits": warc.DIGEST_SQL}
