@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, lines, mixing, packing, substrings, toxicity, warc
+from . import fingerprints, jaccard, language, lines, mixing, neighbours, packing, substrings, toxicity, warc
 
 TOKENIZER = os.environ.get("TERRALITH_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,6 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted", "matches")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(read(spark, sf_dir)))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_line_dedup": op9_line_dedup,
