@@ -170,6 +170,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], names=["h", "label", "raw"])
 
     slim = labelled.select(F.xxhash64(id_col).alias("key"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).filter("label is not null and text is not null")
+    # Whole documents are picked by hash first, about windows / 2 of them, so that what tasks send does not grow with the corpus.
+    share = windows / 2 / max(1, slim.count())
+    slim = slim.filter(F.pmod("key", F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
     rows = slim.mapInArrow(draw, "h long, label string, raw binary").orderBy("h", "label", "raw").limit(windows).collect()  # bounded by `windows`
     if not rows:
         return None
