@@ -31,7 +31,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 2048, 1024, 1 << 28
 SHARD_BLOCKS = 4096
 MOST_SOURCES = 100_000
-BUCKET_ROWS, MOST_BUCKETS = 4096, 65_536
+BUCKET_ROWS, MOST_BUCKETS = 512, 65_536
 SEED = 20_240_501
 
 
