@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, release
 
 ROUNDS = 60
 
@@ -36,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
+        release(edges.sparkSession)
         before = now
     else:
         raise RuntimeError("components did not settle")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import checkpoint, partitions, release, slices
 
 MIN_LINES = 2
 NO_ID = 2**63 - 1
@@ -65,16 +65,15 @@ def double(ranked: DataFrame, step: int, total: int) -> DataFrame:
     """The ranks by 2 * step lines, from those by step lines."""
     live = ranked.filter("n > 1")
     later = ranked.select("id", "th", (F.col("line") - step).alias("line"), F.col("rank").alias("second"))
-    keyed = live.drop("n").join(later, ["id", "th", "line"], "left").withColumn("second", F.coalesce("second", F.lit(-1)))
+    # what ends here has a terminator of its own: a negative key from a hash of its place, before all ranks
+    ends = F.lit(-1) - F.shiftrightunsigned(F.xxhash64("id", "th", "line"), 2)
+    keyed = live.drop("n").join(later, ["id", "th", "line"], "left").withColumn("second", F.coalesce("second", ends))
     counts = keyed.groupBy("rank", "second").agg(F.count("*").alias("n"))
     wide = max(1, -(-total // SUBRANGES))
-    new = _running(counts, ["rank"], "second", F.floor(F.col("second") / wide).cast("long"))
-    new = new.filter("second >= 0").select("rank", "second", (F.col("rank") + F.col("before")).alias("new"), "n")
+    sub = F.when(F.col("second") < 0, F.shiftright("second", 54)).otherwise(F.floor(F.col("second") / wide).cast("long"))
+    new = _running(counts, ["rank"], "second", sub).select("rank", "second", (F.col("rank") + F.col("before")).alias("new"), "n")
     moved = keyed.join(new, ["rank", "second"]).select("id", "th", "line", F.col("new").alias("rank"), "n")
-    # what ends here has a terminator of its own; these come first in their group, in the order of a hash of their place
-    ends = keyed.filter("second < 0").select("id", "th", "line", "rank", F.xxhash64("id", "th", "line").alias("place"), F.lit(1).cast("long").alias("n"))
-    ends = _running(ends, ["rank"], "place", F.shiftright("place", 56)).select("id", "th", "line", (F.col("rank") + F.col("before")).alias("rank"), "n")
-    return ranked.filter("n <= 1").unionByName(moved).unionByName(ends)
+    return ranked.filter("n <= 1").unionByName(moved).coalesce(partitions(ranked.sparkSession))
 
 
 def later_members(ranked: DataFrame, length: int) -> DataFrame:
@@ -109,6 +108,7 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         step *= 2
         if step >= min_lines:
             found.append(later_members(ranked, step))
+        release(ranked.sparkSession)
         if not ranked.filter("n > 1").limit(1).count():
             break
     marks = found[0]

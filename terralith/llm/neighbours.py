@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, mix
+from .common import U64, checkpoint, mix, release
 
 DEGREE, SAMPLE, ROUNDS, SETTLED = 48, 24, 10, 0.002
 HOME_NODES, BLOCK, TREES = 6000, 256, 3
@@ -295,6 +295,7 @@ def build(nodes: DataFrame, count: int, longest: float) -> tuple[DataFrame, int]
     for turn in range(ROUNDS):
         state = checkpoint(merge(settle(state, turn), local_joins(state, homes, turn)))
         fresh = state.agg(F.sum(F.length(F.replace(F.hex("fresh"), F.lit("00"), F.lit(""))) / 2)).first()[0] or 0
+        release(state.sparkSession)
         if fresh < SETTLED * count * DEGREE:
             break
     return state, homes
