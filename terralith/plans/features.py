@@ -14,13 +14,13 @@ def rounded(name: str, digits: int = 6):
 
 
 @query("engineered_features", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(soc / nullif(nitrogen, 0), 6) as c_n_ratio, round(clay / nullif(sand, 0), 6) as clay_sand_ratio,
-  round(-abs((case when phh2o > 14 then phh2o / 10 else phh2o end) - 6.5e0), 6) as ph_optimality, round(bio12 / nullif(bio01 + 10, 0), 9) as aridity, round(bio05 - bio06, 6) as diurnal_range, round(exp(bio01 / 1e1 - bio05 / 1e1), 6) as anomaly from v_feat""")
+  round(-abs((case when phh2o > 14 then phh2o / 10 else phh2o end) - 6.5e0), 6) as ph_optimality, bio12 / nullif(bio01 + 10, 0) as aridity, round(bio05 - bio06, 6) as diurnal_range, round(exp(bio01 / 1e1 - bio05 / 1e1), 6) as anomaly from v_feat""")
 def _(spark, sf):
     f, c = view(spark, sf, "v_feat"), F.col
     return f.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.round(scalar.ratio(c("soc"), c("nitrogen")), 6).alias("c_n_ratio"), F.round(scalar.ratio(c("clay"), c("sand")), 6).alias("clay_sand_ratio"),
-        F.round(scalar.ph_optimality(c("phh2o")), 6).alias("ph_optimality"), F.round(scalar.aridity(c("bio12"), c("bio01")), 9).alias("aridity"),
+        F.round(scalar.ph_optimality(c("phh2o")), 6).alias("ph_optimality"), scalar.aridity(c("bio12"), c("bio01")).alias("aridity"),
         F.round(scalar.diurnal_range(c("bio05"), c("bio06")), 6).alias("diurnal_range"), F.round(scalar.anomaly_ratio(c("bio01") / 10, c("bio05") / 10), 6).alias("anomaly"),
     )
 
