@@ -64,11 +64,11 @@ def _(spark, sf):
     return view(spark, sf, "v_feat").groupBy(climate.igbp_name(code).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("one_hot_classes", "with f as (select landcover from v_feat), big as (select landcover from f where landcover in (select landcover from f group by landcover having count(*) >= 10) and landcover < 3) select 'lc_' || lpad(cast(landcover as varchar), 2, '0') as feature, cast(count(*) as double) as total from big group by 1")
+@query("one_hot_classes", "with f as (select landcover from v_feat), big as (select landcover from f where landcover in (select landcover from f group by landcover having count(*) >= 10)) select 'lc_' || lpad(cast(landcover as varchar), 2, '0') as feature, cast(count(*) as double) as total from big group by 1")
 def _(spark, sf):
     f = view(spark, sf, "v_feat")
     # the vocabulary of classes with support: at most one row for each class
-    classes = sorted(r[0] for r in f.groupBy("landcover").agg(F.count("*").alias("n")).filter("n >= 10").collect() if r[0] < 3)
+    classes = sorted(r[0] for r in f.groupBy("landcover").agg(F.count("*").alias("n")).filter("n >= 10").collect())
     hot = scalar.one_hot(F.col("landcover"), classes)
     names = [f"lc_{c:02d}" for c in classes]
     return f.select(*hot).agg(*[F.sum(n).alias(n) for n in names]).unpivot([], names, "feature", "total")
