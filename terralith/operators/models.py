@@ -1,9 +1,373 @@
-"""placeholder"""
-from pyspark.sql import DataFrame, Window
+"""Boosted trees, ridge and mean predictors: fitted per group in Arrow batches, scored over grids row by row.
+
+Training tables are small (hundreds of sites), grids large: models are fitted in parallel, one group (a
+configuration and fold, a stratum, a region) to a task, and grids are scored where they lie, with the fitted trees
+travelling in the task. Second-order boosting on squared error with L1 and L2 penalties on leaves, row and
+column sampling, learned directions for missing values and optional early stopping.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, default_left boolean, value double, cover double"
+
+
+@dataclass(frozen=True)
+class Params:
+    n_estimators: int = 250
+    max_depth: int = 3
+    learning_rate: float = 0.05
+    subsample: float = 0.7
+    colsample: float = 0.85
+    min_child_weight: float = 6.0
+    reg_alpha: float = 0.1
+    reg_lambda: float = 2.0
+    early_stopping: int = 0
+    seed: int = 42
+
+
+# The feature sets and settings of the published configurations.
+CLIMATE = ("bio01", "bio04", "bio05", "bio06", "bio12", "bio14", "bio15", "bio17")
+SOIL = ("soc", "nitrogen", "phh2o", "clay", "sand", "silt", "bdod", "cec")
+ENGINEERED = ("c_n_ratio", "clay_sand_ratio", "ph_optimality", "aridity_demartonne")
+PRODUCTIVITY = ("npp", "lst_day", "lst_night", "lst_diurnal_range")
+BASELINE = ("bio01", "bio04", "bio12", "bio14", "bio15")
+CONFIGS: dict[str, tuple[tuple[str, ...], Params]] = {
+    "A_baseline": (SOIL + CLIMATE + ENGINEERED, Params()),
+    "B_heavier_reg": (SOIL + CLIMATE + ENGINEERED, Params(min_child_weight=8, reg_alpha=2.0, reg_lambda=8.0)),
+    "C_shallow_more": (SOIL + CLIMATE + ENGINEERED, Params(n_estimators=400, max_depth=2, learning_rate=0.04, reg_lambda=4.0)),
+    "D_drop_overfit": (tuple(f for f in SOIL + CLIMATE + ENGINEERED if f not in ("clay", "sand", "silt", "clay_sand_ratio")), Params()),
+    "E_climate_plus_transferring_soil": (CLIMATE + ("phh2o", "ph_optimality", "bdod", "cec", "aridity_demartonne"), Params()),
+    "F_climate_only": (CLIMATE, Params(n_estimators=200)),
+    "F_NPP": (CLIMATE + PRODUCTIVITY, Params(subsample=0.85, min_child_weight=4, reg_alpha=0.5)),
+}
+BASELINE_PARAMS = Params(n_estimators=400, max_depth=4, subsample=0.85, colsample=1.0, min_child_weight=1, reg_alpha=0.0, reg_lambda=1.0)
+
+
+@dataclass
+class Forest:
+    """Trees in one table; children of leaves are -1. Feature order is part of the model."""
+
+    features: list[str]
+    base: float
+    rows: list[tuple] = field(default_factory=list)
+
+    def table(self) -> pd.DataFrame:
+        return pd.DataFrame(self.rows, columns=[x.split()[0] for x in TREE_SCHEMA.split(", ")])
+
+    @staticmethod
+    def of(table: pd.DataFrame, features: list[str], base: float) -> Forest:
+        return Forest(list(features), base, list(table.itertuples(index=False, name=None)))
+
+    def trees(self) -> list[dict[str, np.ndarray]]:
+        t = self.table()
+        return [{c: g[c].to_numpy() for c in t.columns} for _, g in t.groupby("tree", sort=True)] if len(t) else []
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float32)
+        out = np.full(len(x), self.base)
+        for t in self.trees():
+            node = np.zeros(len(x), dtype=np.int64)
+            for _ in range(64):
+                f = t["feature"][node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                v = x[np.arange(len(x)), np.maximum(f, 0)]
+                left = np.where(np.isnan(v), t["default_left"][node], v < t["threshold"][node].astype(np.float32))
+                node = np.where(inner, np.where(left, t["left"][node], t["right"][node]), node)
+            out += t["value"][node]
+        return out
+
+    def attributions(self, x: np.ndarray) -> np.ndarray:
+        """Exact path-dependent Shapley values, rows x features; with the expectation they sum to the prediction."""
+        x = x.astype(np.float32)
+        phi = np.zeros((len(x), len(self.features)))
+        for t in self.trees():
+            stack = [(0, {})]
+            while stack:
+                node, path = stack.pop()
+                f = int(t["feature"][node])
+                if f < 0:
+                    _leaf(phi, path, float(t["value"][node]))
+                    continue
+                v = x[:, f]
+                left = np.where(np.isnan(v), bool(t["default_left"][node]), v < np.float32(t["threshold"][node]))
+                for child, goes in ((int(t["left"][node]), left), (int(t["right"][node]), ~left)):
+                    share = t["cover"][child] / t["cover"][node]
+                    one, zero = path.get(f, (np.ones(len(x), bool), 1.0))
+                    stack.append((child, {**path, f: (one & goes, zero * share)}))
+        return phi
+
+    def expectation(self) -> float:
+        total = self.base
+        for t in self.trees():
+            leaf = t["feature"] < 0
+            total += float((t["value"][leaf] * t["cover"][leaf]).sum() / t["cover"][0])
+        return total
+
+
+def _leaf(phi: np.ndarray, path: dict, value: float) -> None:
+    names, d = list(path), len(path)
+    for f in names:
+        others = [g for g in names if g != f]
+        total = np.zeros(len(phi))
+        for k in range(d):
+            weight = math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d)
+            for some in combinations(others, k):
+                term = np.full(len(phi), weight)
+                for g in others:
+                    term = term * (path[g][0] if g in some else path[g][1])
+                total += term
+        phi[:, f] += value * total * (path[f][0] - path[f][1])
+
+
+def _soft(g: np.ndarray, alpha: float) -> np.ndarray:
+    return np.sign(g) * np.maximum(np.abs(g) - alpha, 0)
+
+
+def fit_forest(x: np.ndarray, y: np.ndarray, features: list[str], p: Params, held: tuple[np.ndarray, np.ndarray] | None = None) -> Forest:
+    """Exact greedy boosting; with `held` (features, target) and early_stopping, the trees after the best round are dropped."""
+    x, y = np.asarray(x, dtype=np.float32), np.asarray(y, dtype=np.float64)
+    rng = np.random.default_rng(p.seed)
+    forest = Forest(list(features), float(y.mean()) if len(y) else 0.0)
+    pred = np.full(len(y), forest.base)
+    best, best_round, seen = math.inf, -1, np.full(len(held[1]), forest.base) if held else None
+    order = np.argsort(x, axis=0, kind="stable")  # missing values last
+    for k in range(p.n_estimators if len(y) else 0):
+        g = pred - y
+        used = np.sort(rng.choice(len(y), max(1, int(len(y) * p.subsample)), replace=False)) if p.subsample < 1 else np.arange(len(y))
+        cols = np.sort(rng.choice(len(features), max(1, int(len(features) * p.colsample)), replace=False)) if p.colsample < 1 else np.arange(len(features))
+        active = np.zeros(len(y), bool)
+        active[used] = True
+        nodes: list[list] = []
+
+        def grow(rows: np.ndarray, depth: int, k=k, g=g, cols=cols, nodes=nodes) -> int:
+            me = len(nodes)
+            gs, h = g[rows].sum(), float(len(rows))
+            weight = -float(_soft(gs, p.reg_alpha) / (h + p.reg_lambda))
+            nodes.append([k, me, -1, 0.0, -1, -1, True, weight * p.learning_rate, h])
+            if depth == p.max_depth or len(rows) < 2:
+                return me
+            inside = np.zeros(len(g), bool)
+            inside[rows] = True
+            parent = _soft(gs, p.reg_alpha) ** 2 / (h + p.reg_lambda)
+            top = (1e-12, None)
+            for c in cols:
+                o = order[inside[order[:, c]], c]
+                v = x[o, c]
+                n = int((~np.isnan(v)).sum())
+                if n < 2:
+                    continue
+                gl, hl = np.cumsum(g[o[:n]])[:-1], np.arange(1.0, n)
+                can = v[1:n] > v[: n - 1]
+                gm, hm = gs - (gl[-1] + g[o[n - 1]]), h - n
+                for to_left in (True, False) if hm else (True,):
+                    a, ha = gl + (gm if to_left else 0), hl + (hm if to_left else 0)
+                    b, hb = gs - a, h - ha
+                    gain = _soft(a, p.reg_alpha) ** 2 / (ha + p.reg_lambda) + _soft(b, p.reg_alpha) ** 2 / (hb + p.reg_lambda) - parent
+                    gain = np.where(can & (ha >= p.min_child_weight) & (hb >= p.min_child_weight), gain, -np.inf)
+                    i = int(gain.argmax())
+                    if gain[i] > top[0]:
+                        top = (float(gain[i]), (int(c), float((v[i] + v[i + 1]) / 2), to_left))
+            if top[1] is None:
+                return me
+            c, cut, to_left = top[1]
+            v = x[rows, c]
+            left = np.where(np.isnan(v), to_left, v < np.float32(cut))
+            if left.all() or not left.any():
+                return me
+            nodes[me][2:4] = [c, cut]
+            nodes[me][6] = to_left
+            nodes[me][4] = grow(rows[left], depth + 1)
+            nodes[me][5] = grow(rows[~left], depth + 1)
+            return me
+
+        grow(np.flatnonzero(active), 0)
+        one = Forest(forest.features, 0.0, [tuple(n) for n in nodes])
+        forest.rows += one.rows
+        pred += one.predict(x)
+        if held is not None and p.early_stopping:
+            seen += one.predict(held[0])
+            rmse = float(np.sqrt(np.mean((seen - held[1]) ** 2)))
+            if rmse < best:
+                best, best_round = rmse, k
+            elif k - best_round >= p.early_stopping:
+                break
+    if held is not None and p.early_stopping:
+        forest.rows = [r for r in forest.rows if r[0] <= best_round]
+    return forest
+
+
+def metrics(y: np.ndarray, p: np.ndarray) -> dict[str, float]:
+    sst = float(((y - y.mean()) ** 2).sum()) if len(y) else 0.0
+    return {"r2": 1 - float(((y - p) ** 2).sum()) / sst if sst else float("nan"), "rmse": float(np.sqrt(np.mean((y - p) ** 2))), "mae": float(np.mean(np.abs(y - p))), "bias": float(np.mean(p - y)), "pred_std": float(np.std(p)), "obs_std": float(np.std(y))}
+
+
+def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
+    return pdf[features].to_numpy(dtype="float32", na_value=np.nan)
+
+
+RUN_SCHEMA = "config string, fold int, n_features int, n_train int, n_test int, r2 double, rmse double, mae double, bias double, pred_std double, obs_std double, n_trees int"
+
+
+def sweep(train: DataFrame, folds: DataFrame, target: str, configs: dict[str, tuple[tuple[str, ...], Params]], transfer: DataFrame | None = None) -> DataFrame:
+    """Every configuration on every fold (fold >= 1), and, with a transfer table, on all training rows against it (fold 0).
+
+    folds has (block, fold) and train a block column. Each (configuration, fold) is one group of training-table size.
+    """
+    known = {c: ([f for f in feats if f in train.columns], p) for c, (feats, p) in configs.items()}
+    names = sorted({f for feats, _ in known.values() for f in feats})
+    rows = train.join(folds, "block").select("fold", target, *names).withColumn("other", F.lit(False))
+    if transfer is not None:
+        rows = rows.unionByName(transfer.select(F.lit(0).alias("fold"), target, *names).withColumn("other", F.lit(True)))
+    n_folds = folds.agg(F.max("fold")).first()[0] or 0
+    runs = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(k).alias("run")) for c in known for k in range(0 if transfer is not None else 1, n_folds + 1)])
+    dealt = rows.withColumn("_run", F.explode(runs)).select("*", "_run.config", "_run.run").filter(~F.col("other") | (F.col("run") == 0)).drop("_run")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        config, run = pdf["config"].iloc[0], int(pdf["run"].iloc[0])
+        feats, p = known[config]
+        pdf = pdf.dropna(subset=[target, *feats]).sort_values([target, *feats], kind="stable")
+        test = pdf["other"] if run == 0 else (pdf["fold"] == run)
+        a, b = pdf[~test], pdf[test]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
+        xb, yb = _matrix(b, feats), b[target].to_numpy(float)
+        forest = fit_forest(_matrix(a, feats), a[target].to_numpy(float), feats, p, (xb, yb) if p.early_stopping else None)
+        return pd.DataFrame([{"config": config, "fold": run, "n_features": len(feats), "n_train": len(a), "n_test": len(b), **metrics(yb, forest.predict(xb)), "n_trees": len({r[0] for r in forest.rows})}])
+
+    return dealt.groupBy("config", "run").applyInPandas(one, RUN_SCHEMA)
+
+
+def fit(train: DataFrame, features: list[str], target: str, params: Params = Params(), most: int = 200_000) -> Forest:
+    """One model on the driver from a training table of at most `most` rows (refused beyond)."""
+    pdf = train.select(target, *features).na.drop().limit(most + 1).toPandas()
+    if len(pdf) > most:
+        raise ValueError(f"more than {most} training rows")
+    pdf = pdf.sort_values([target, *features], kind="stable")
+    return fit_forest(_matrix(pdf, features), pdf[target].to_numpy(float), features, params)
+
+
+def fit_groups(train: DataFrame, group: str, features: list[str], target: str, params: Params = Params()) -> DataFrame:
+    """(group, base, tree rows): one model for each group, in parallel."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.dropna(subset=[target, *features]).sort_values([target, *features], kind="stable")
+        forest = fit_forest(_matrix(rows, features), rows[target].to_numpy(float), features, params)
+        out = forest.table()
+        out.insert(0, "base", forest.base)
+        out.insert(0, group, pdf[group].iloc[0])
+        return out
+
+    return train.select(group, target, *features).groupBy(group).applyInPandas(one, f"{group} {train.schema[group].dataType.simpleString()}, base double, {TREE_SCHEMA}")
+
+
+def score(df: DataFrame, models: dict[str, Forest]) -> DataFrame:
+    """Adds a prediction column for each model in one pass; a row with a missing feature of a model gets NULL."""
+    names = list(models)
+    wanted = sorted({f for m in models.values() for f in m.features})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, m in models.items():
+                x = _matrix(pdf, m.features)
+                ok = ~np.isnan(x).any(axis=1)
+                out = np.full(len(pdf), np.nan)
+                out[ok] = m.predict(x[ok])
+                pdf[n] = pd.Series(out, index=pdf.index).where(ok, None).astype("Float64").astype(object).where(ok, None)
+            yield pdf
+
+    missing = sorted(set(wanted) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing features: {missing}")
+    return df.mapInPandas(run, df.select("*", *[F.lit(0.0).alias(n) for n in names]).schema)
+
+
+def attribute(df: DataFrame, model: Forest, keys: list[str]) -> DataFrame:
+    """(keys, feature, value): Shapley values of every complete row, long."""
+    kept = df.select(*keys, *model.features).na.drop(subset=model.features)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 5000):
+                part = pdf.iloc[at : at + 5000]
+                phi = model.attributions(_matrix(part, model.features))
+                out = pd.concat([part[keys].reset_index(drop=True), pd.DataFrame(phi, columns=model.features)], axis=1)
+                yield out.melt(id_vars=keys, var_name="feature", value_name="value")
+
+    return kept.mapInPandas(run, kept.select(*keys, F.lit("").alias("feature"), F.lit(0.0).alias("value")).schema)
+
 
 def importance_ranks(attributions: DataFrame) -> DataFrame:
     """(feature, importance, rank): mean absolute attribution, largest first. One row for each feature."""
     mean = attributions.groupBy("feature").agg(F.avg(F.abs(F.col("value"))).alias("importance"))
     return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+
+
+def anomaly(grid: DataFrame, full: Forest, baseline: Forest) -> DataFrame:
+    """The grid with log_rs_pred, log_rs_climate and their ratio, in one pass."""
+    out = score(grid, {"log_rs_pred": full, "log_rs_climate": baseline})
+    return out.withColumn("rs_pred", F.exp("log_rs_pred")).withColumn("anomaly", F.exp(F.col("log_rs_pred") - F.col("log_rs_climate")))
+
+
+STRATUM_SCHEMA = "stratum string, n_a int, n_b int, skipped boolean, r2 double, rmse double, ci_low double, ci_high double, excludes_zero boolean, top_feature string"
+
+
+def stratified_transfer(df: DataFrame, stratum: str, is_test: Column, features: list[str], target: str, params: Params, least_a: int = 80, least_b: int = 30, replicates: int = 1000) -> DataFrame:
+    """In each stratum: fit on one region, score the other, bootstrap the fit; strata with too little support are skipped."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["stratum"].iloc[0]
+        pdf = pdf.dropna(subset=[target, *features]).sort_values([target, *features], kind="stable")
+        a, b = pdf[~pdf["test"]], pdf[pdf["test"]]
+        row = {"stratum": name, "n_a": len(a), "n_b": len(b), "skipped": len(a) < least_a or len(b) < least_b}
+        if not row["skipped"]:
+            forest = fit_forest(_matrix(a, features), a[target].to_numpy(float), features, params)
+            y, p = b[target].to_numpy(float), forest.predict(_matrix(b, features))
+            rng = np.random.default_rng(params.seed)
+            boot = [metrics(y[i], p[i])["r2"] for i in (rng.integers(0, len(y), len(y)) for _ in range(replicates))]
+            lo, hi = np.nanquantile(boot, [0.025, 0.975])
+            phi = np.abs(forest.attributions(_matrix(a, features)[:400])).mean(axis=0)
+            row |= {"r2": metrics(y, p)["r2"], "rmse": metrics(y, p)["rmse"], "ci_low": lo, "ci_high": hi, "excludes_zero": bool(lo > 0 or hi < 0), "top_feature": features[int(phi.argmax())]}
+        names = [x.split()[0] for x in STRATUM_SCHEMA.split(", ")]
+        return pd.DataFrame({n: pd.Series([row.get(n)], dtype=object) for n in names})
+
+    rows = df.select(F.col(stratum).cast("string").alias("stratum"), is_test.alias("test"), target, *features).filter("stratum is not null and test is not null")
+    return rows.groupBy("stratum").applyInPandas(one, STRATUM_SCHEMA)
+
+
+def zone_predictions(train: DataFrame, grid: DataFrame, zone: str, features: list[str], target: str, keys: list[str], params: Params, least: int = 30) -> DataFrame:
+    """(keys, zone, prediction): each zone's cells scored by the model of the zone's sites; zones with few sites give none."""
+    trees = {}
+    models = fit_groups(train.join(train.groupBy(zone).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least), zone), zone, features, target, params)
+    for name, part in models.toPandas().groupby(zone):  # zones are a handful of classes
+        trees[name] = Forest.of(part.drop(columns=[zone, "base"]), features, float(part["base"].iloc[0]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = np.full(len(pdf), np.nan)
+            x = _matrix(pdf, features)
+            for name, model in trees.items():
+                at = np.flatnonzero((pdf[zone] == name).to_numpy() & ~np.isnan(x).any(axis=1))
+                out[at] = model.predict(x[at])
+            yield pdf[[*keys, zone]].assign(prediction=pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None))
+
+    return grid.select(*keys, zone, *features).mapInPandas(run, grid.select(*keys, zone, F.lit(0.0).alias("prediction")).schema)
+
+
+def settings(configs: dict[str, tuple[tuple[str, ...], Params]] = CONFIGS) -> list[dict]:
+    return [{"config": c, "features": list(f), **asdict(p)} for c, (f, p) in configs.items()]
+
+
+def smaller(p: Params, n_estimators: int) -> Params:
+    return replace(p, n_estimators=n_estimators)

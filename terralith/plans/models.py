@@ -1 +1,111 @@
+"""Queries that fit and apply models. Tree models are beyond SQL; ridge and mean predictors are not."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import climate, geo, scalar
+from ..operators import documents, ingest, models, stats
+from ..registry import query
+from .views import view
+
+FEATURES = ["bio01", "bio04", "bio05", "bio06", "bio12", "bio14", "bio15", "bio17"]
+BASE = ["bio01", "bio04", "bio12", "bio14", "bio15"]
+#: Fewer rounds than the published settings: the queries show the operators on test tables.
+QUICK = models.Params(n_estimators=40, min_child_weight=4)
+
+
+def climate_columns(df):
+    """Smooth climate fields over positions, with a hash of the position in place of noise."""
+    lon, lat = F.col("longitude"), F.col("latitude")
+    wave = lambda k: F.sin(lon * k) * F.cos(lat * (k + 0.3))
+    df = df.withColumn("bio01", F.lit(27.0) - F.abs(lat) * 0.6 + wave(0.9) * 3).withColumn("bio12", scalar.clip(F.lit(800.0) + F.cos(F.radians(lat * 2.5)) * 1500 + wave(1.3) * 250, 50.0, 4000.0))
+    return df.withColumns({"bio04": scalar.clip(F.abs(lat) * 35 + wave(0.4) * 100, 50.0, 1500.0), "bio05": F.col("bio01") + 12 + wave(0.2) * 2, "bio06": F.col("bio01") - 15 + wave(0.6) * 3, "bio14": F.col("bio12") / 14, "bio15": F.lit(75.0) + wave(2.1) * 50, "bio17": F.col("bio12") / 6})
+
+
+def training(spark, sf):
+    sites = climate_columns(view(spark, sf, "v_sites")).withColumn("site_id", F.concat("source", F.lit("_"), F.col("rec").cast("string")))
+    lon, lat = F.col("longitude"), F.col("latitude")
+    target = F.lit(4.4) + F.col("bio01") * 0.04 + F.ln(F.col("bio12") + 50) * 0.3 + F.col("rs_annual") * 2e-5
+    return sites.withColumn("log_rs", target).withColumn("region", geo.region_of(lon, lat)).withColumn("block", geo.block_id(lon, lat))
+
+
+def grid(spark):
+    from ..operators.raster import make_grid
+
+    return climate_columns(make_grid(spark, 25.0, -10.0, 180.0, 80.0, 2.0))
+
+
+@query("mean_predictor", "with a as (select avg(rs_annual) as m from v_sites where source = 'srdb') select round(1 - sum((rs_annual - m) ** 2) / (var_pop(rs_annual) * count(*)), 9) as r2, count(*) as n from v_sites, a where source = 'cosore'")
+def _(spark, sf):
+    s = view(spark, sf, "v_sites")
+    mean = s.filter("source = 'srdb'").agg(F.avg("rs_annual").alias("m"))
+    rows = s.filter("source = 'cosore'").crossJoin(F.broadcast(mean))
+    return rows.agg(F.round(stats.r2(F.col("rs_annual"), F.col("m")), 9).alias("r2"), F.count("*").alias("n"))
+
+
+@query("ridge_two_features", """with s as (select count(*) as n, avg(bio12) as my, avg(bio01) as m1, avg(bio14) as m2, stddev_pop(bio01) as s1, stddev_pop(bio14) as s2, covar_pop(bio01, bio14) as c12, covar_pop(bio01, bio12) as c1y, covar_pop(bio14, bio12) as c2y from v_feat),
+k as (select *, n + 1e1 as d, n * c12 / (s1 * s2) as r, n * c1y / s1 as a, n * c2y / s2 as b from s), w as (select *, (d * a - r * b) / (d * d - r * r) as w1, (d * b - r * a) / (d * d - r * r) as w2 from k)
+select round(w1 / s1, 6) as bio01, round(w2 / s2, 6) as bio14, round(my - w1 / s1 * m1 - w2 / s2 * m2, 5) as intercept from w""")
+def _(spark, sf):
+    feats = ["bio01", "bio14"]
+    sums = stats.ridge_sums(view(spark, sf, "v_feat"), feats, "bio12").first().asDict()  # one row of sums
+    c = stats.solve_ridge(sums, feats, 10.0)
+    return spark.range(1).select(F.round(F.lit(c["bio01"]), 6).alias("bio01"), F.round(F.lit(c["bio14"]), 6).alias("bio14"), F.round(F.lit(c["intercept"]), 5).alias("intercept"))
+
+
+@query("tree_sweep")
+def _(spark, sf):
+    t = training(spark, sf)
+    configs = {"climate": (tuple(FEATURES), QUICK), "baseline": (tuple(BASE), QUICK), "early": (tuple(FEATURES), models.Params(n_estimators=60, early_stopping=10))}
+    return models.sweep(t.filter("region = 'asia'"), stats.fold_ids(t), "log_rs", configs, t.filter("region = 'us'"))
+
+
+@query("tree_stratified_transfer")
+def _(spark, sf):
+    t = training(spark, sf).filter("region <> 'other'")
+    zone = climate.zone_letter(F.col("bio05"), F.col("bio06"), F.col("bio12"), F.col("bio14"))
+    return models.stratified_transfer(t.withColumn("zone", zone), "zone", F.col("region") == "us", FEATURES, "log_rs", QUICK, 20, 10, 200)
+
+
+@query("tree_attributions")
+def _(spark, sf):
+    t = training(spark, sf)
+    model = models.fit(t.filter("region = 'asia'"), FEATURES, "log_rs", QUICK)
+    return models.importance_ranks(models.attribute(ingest.exact_sample(t, "rec", 2000), model, ["rec"]))
+
+
+@query("anomaly_grid")
+def _(spark, sf):
+    t = training(spark, sf).filter("region = 'asia'")
+    full, base = models.fit(t, FEATURES, "log_rs", QUICK), models.fit(t, BASE, "log_rs", QUICK)
+    return models.anomaly(grid(spark), full, base).select("row", "col", "longitude", "latitude", "log_rs_pred", "log_rs_climate", "rs_pred", "anomaly")
+
+
+@query("zone_models")
+def _(spark, sf):
+    zone = climate.zone_letter(F.col("bio05"), F.col("bio06"), F.col("bio12"), F.col("bio14"))
+    t = training(spark, sf).withColumn("zone", zone)
+    return models.zone_predictions(t, grid(spark).withColumn("zone", zone), "zone", FEATURES, "log_rs", ["row", "col"], QUICK)
+
+
+@query("region_models")
+def _(spark, sf):
+    t = training(spark, sf).filter("region <> 'other'")
+    trees = models.fit_groups(t, "region", FEATURES, "log_rs", QUICK)
+    return trees.groupBy("region").agg(F.countDistinct("tree").alias("n_trees"), F.count("*").alias("n_nodes"), F.first("base").alias("base"))
+
+
+@query("atlas_lookup")
+def _(spark, sf):
+    from ..operators.neighbours import nearest_reference
+
+    t = training(spark, sf).filter("region = 'asia'")
+    full, base = models.fit(t, FEATURES, "log_rs", QUICK), models.fit(t, BASE, "log_rs", QUICK)
+    cells = models.anomaly(grid(spark), full, base).withColumn("cell", F.col("row") * 1000 + F.col("col"))
+    wide = models.attribute(cells, full, ["cell"]).groupBy("cell").pivot("feature", FEATURES).agg(F.first("value"))
+    cells = cells.join(wide.select("cell", *[F.col(f).alias(f"phi_{f}") for f in FEATURES]), "cell")
+    cells = nearest_reference(cells, ingest.dedup_cells(t).select("site_id", "longitude", "latitude"), "cell", "site_id")
+    code = climate.zone_code(F.col("bio01"), F.col("bio12"), F.col("bio14"), F.col("bio17"))
+    docs = cells.select(F.round("latitude", 2).alias("lat"), F.round("longitude", 2).alias("lon"), documents.model_block("log_rs_pred", FEATURES, "log_rs_climate", "phi_").alias("fnpp"), code.alias("koppen_code"), climate.zone_label(code).alias("koppen"), F.rint("distance_km").cast("int").alias("nearest_train_km"))
+    return documents.as_json_lines(docs)
