@@ -84,9 +84,11 @@ def merge_groups(parts: DataFrame, key: str, column: str = "sketch", k: int = K,
     return parts.select(key).distinct().join(merged, key, "left").withColumn(column, F.coalesce(column, F.array().cast("array<bigint>")))
 
 
-def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", tie: str = "text", prefix: str = "next_") -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", tie: str = "text", prefix: str = "next_", enrich: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds the carried columns of the next row by descending id (after the last: the first), ties by descending `tie`, null ids last.
 
+    enrich adds columns to the rows before they are carried; it is applied once, after the range tops are picked.
+
     Ids are cut into ranges that are sorted apart. The top of each range is added to the range above it, so that
     one shuffle of the rows is enough and no task sees more than a range.
     """
@@ -100,7 +102,7 @@ def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", ti
     tops = docs.select(at.alias("_at")).groupBy(F.floor((F.col("_at") - lo) / width).cast("long").alias("_range")).agg(F.max("_at").alias("_at"))
     above = tops.select("_at", F.coalesce(F.lead("_range").over(order), F.first("_range").over(order)).alias("_up"))
     ghosts = rows.join(F.broadcast(above), "_at").withColumn("_range", F.col("_up")).drop("_up")
-    every = rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.lit(1)))
+    every = enrich(rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.lit(1))))
     w = Window.partitionBy("_range").orderBy(F.col("_ghost"), F.col("_at").desc(), F.col(tie).desc())
     for c in carried:
         every = every.withColumn(prefix + c, F.lead(c).over(w))
@@ -109,13 +111,16 @@ def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", ti
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """doc_id, text (empty for null), sketch."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("sketch", sketch(F.col("text"), k))
+    return slim(docs, id_col, text_col).withColumn("sketch", sketch(F.col("text"), k))
+
+
+def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def compare_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """The contract's columns: each text, its edited text, and how alike their fingerprints and the next document's are."""
-    rows = with_next(fingerprints(docs, k=k), ["text", "sketch"])
+    rows = with_next(slim(docs), ["text", "sketch"], enrich=lambda df: df.withColumn("sketch", sketch(F.col("text"), k)))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
