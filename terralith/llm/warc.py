@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Header fields that a 304 response may change in the stored one (HTTP caching, "freshening").
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 VALIDATORS = ("etag", "last-modified")
@@ -45,9 +47,11 @@ def strong(value: Column) -> Column:
 
 def resolve(records: DataFrame) -> DataFrame:
     """The 304 revisits of a record table (RECORD) with answered_by, outcome, merged headers, status and body."""
-    full = (F.col("kind") == "response") & F.col("status").between(200, 299) & F.col("body").isNotNull()
-    seen = F.when(full, F.struct("record_id", "headers", "status", "body"))
-    rows = records.withColumn("canonical", canonical_url(F.col("url"))).filter("canonical is not null and time is not null and record_id is not null").withColumn("_seen", seen)
+    full = (F.col("kind") == "response") & F.col("status").between(200, 299) & F.col("_has_body")
+    # bodies stay behind until it is known which are asked for
+    slim = records.select("record_id", "url", "time", "kind", "status", "headers", F.col("body").isNotNull().alias("_has_body"), canonical_url(F.col("url")).alias("canonical"))
+    slim = checkpoint(slim.filter("canonical is not null and time is not null and record_id is not null"))
+    rows = slim.withColumn("_seen", F.when(full, F.struct("record_id", "headers", "status")))
     # spans of time, alike for all URLs
     seconds = F.col("time").cast("long")
     bounds = rows.agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi")).first()
@@ -77,13 +81,15 @@ def resolve(records: DataFrame) -> DataFrame:
     ok = F.col("outcome") == "resolved"
     fresh = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("_answer.headers", lambda k, _: ~F.array_contains(F.map_keys(fresh), k)), fresh)
-    return rows.select(
+    found = rows.select(
         "record_id", "url", "canonical", "time", "outcome",
         F.when(ok, F.col("_answer.record_id")).alias("answered_by"),
         F.when(ok, F.col("_answer.status")).alias("status"),
         F.when(ok, merged).alias("headers"),
-        F.when(ok, F.col("_answer.body")).alias("body"),
     )
+    bodies = records.filter((F.col("kind") == "response") & F.col("body").isNotNull()).select(F.col("record_id").alias("answered_by"), "body").dropDuplicates(["answered_by"])
+    answered = found.filter("answered_by is not null").join(bodies, "answered_by").select(*found.columns, "body")
+    return answered.unionByName(found.filter("answered_by is null").withColumn("body", F.lit(None).cast("string")))
 
 
 def header_text(headers: Column) -> Column:
