@@ -290,7 +290,7 @@ def score(df: DataFrame, models: dict[str, Forest]) -> DataFrame:
     missing = sorted(set(wanted) - set(df.columns))
     if missing:
         raise ValueError(f"missing features: {missing}")
-    return df.mapInPandas(run, df.select("*", *[F.lit(0.0).alias(n) for n in names]).schema)
+    return df.mapInPandas(run, df.select("*", *[F.lit(None).cast("double").alias(n) for n in names]).schema)
 
 
 def attribute(df: DataFrame, model: Forest, keys: list[str]) -> DataFrame:
@@ -362,7 +362,7 @@ def zone_predictions(train: DataFrame, grid: DataFrame, zone: str, features: lis
                 out[at] = model.predict(x[at])
             yield pdf[[*keys, zone]].assign(prediction=pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None))
 
-    return grid.select(*keys, zone, *features).mapInPandas(run, grid.select(*keys, zone, F.lit(0.0).alias("prediction")).schema)
+    return grid.select(*keys, zone, *features).mapInPandas(run, grid.select(*keys, zone, F.lit(None).cast("double").alias("prediction")).schema)
 
 
 def settings(configs: dict[str, tuple[tuple[str, ...], Params]] = CONFIGS) -> list[dict]:
