@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, partitions, slices, window_hashes, word_hashes
+from .common import U64, mix, partitions, slices, window_hashes, word_hashes
 
 WINDOW = 50
 NO_ID = 2**63 - 1
@@ -36,9 +36,8 @@ _PACKED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.b
 _PLACES = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
 
 
-def pack_probes(ids: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np.ndarray, parts: int, bits: int) -> Iterator[tuple]:
+def pack(part: np.ndarray, parts: int, ids: np.ndarray, owner: np.ndarray, place: np.ndarray, payload: np.ndarray) -> Iterator[tuple]:
     """Rows of PACKED for places of documents (owner: index into ids, ascending; place ascending within an owner)."""
-    part = ((hashes >> U64(32)) % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(bounds)):
@@ -49,13 +48,26 @@ def pack_probes(ids: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: n
         gap[first] = at[first]
         wide = 1 if gap.max() < 256 else 2 if gap.max() < 65536 else 8
         count = np.diff(np.r_[first, len(rows)])
-        h = hashes[rows]
-        yield int(p), ids[own[first]].astype("<i8").tobytes(), count.astype("<u4").tobytes(), gap.astype(f"<u{wide}").tobytes(), (h & U64(0xFFFFFFFF)).astype("<u4").tobytes() if bits == 32 else h.tobytes(), wide
+        yield int(p), ids[own[first]].astype("<i8").tobytes(), count.astype("<u4").tobytes(), gap.astype(f"<u{wide}").tobytes(), payload[rows].tobytes(), wide
+
 
+def pack_probes(ids: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np.ndarray, parts: int, bits: int) -> Iterator[tuple]:
+    """Probes, dealt by their upper bits; the payload is the lower 32 bits or the whole hash."""
+    part = ((hashes >> U64(32)) % U64(parts)).astype(np.int64)
+    return pack(part, parts, ids, owner, place, (hashes & U64(0xFFFFFFFF)).astype("<u4") if bits == 32 else hashes)
 
-def unpack_probes(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place and hash of every probe of a part."""
-    docs, places, hashes = [], [], []
+
+def pack_places(doc: np.ndarray, place: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Places, dealt by their document, without a payload."""
+    order = np.lexsort((place, doc))
+    ids, owner = np.unique(doc[order], return_inverse=True)
+    part = (mix(ids.view(U64)) % U64(parts)).astype(np.int64)
+    return pack(part[owner], parts, ids, owner, place[order], np.zeros(len(doc), dtype="V0"))
+
+
+def unpack(table: pa.Table, payload: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place and payload of everything in the rows."""
+    docs, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, payload or "<u4")]
     for ids, counts, gaps, h, wide in zip(*(table.column(c).to_pylist() for c in ("ids", "counts", "gaps", "hashes", "wide")), strict=True):
         count = np.frombuffer(counts, "<u4").astype(np.int64)
         total = np.cumsum(np.frombuffer(gaps, f"<u{wide}").astype(np.int64))
@@ -63,7 +75,8 @@ def unpack_probes(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, n
         before = np.where(first > 0, total[first - 1], 0)
         docs.append(np.repeat(np.frombuffer(ids, "<i8"), count))
         places.append(total - np.repeat(before, count))
-        hashes.append(np.frombuffer(h, "<u4" if bits == 32 else "<u8"))
+        if payload:
+            hashes.append(np.frombuffer(h, payload))
     return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
 
 
@@ -96,20 +109,24 @@ def in_smaller(doc: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> np.nda
     return np.flatnonzero(doc > low[key])
 
 
-def exchange(packed: DataFrame, judge: Callable[..., np.ndarray], bits: int) -> DataFrame:
-    """Brings each part's probes together and returns, packed by document, the places that the judge picks."""
+def exchange(packed: DataFrame, judge: Callable[..., np.ndarray], bits: int, parts: int) -> DataFrame:
+    """Brings each part's probes together; (doc_id, places): the places of each document that the judge picks."""
 
     def decide(table: pa.Table) -> pa.Table:
-        doc, place, hashes = unpack_probes(table, bits)
+        doc, place, hashes = unpack(table, "<u4" if bits == 32 else "<u8")
         kept = judge(doc, place, hashes)
-        return rows_of_places(doc[kept], place[kept])
+        rows = list(pack_places(doc[kept], place[kept], parts))
+        return pa.Table.from_batches([_batch(rows, _PACKED)] if rows else [], schema=_PACKED)
+
+    def gather(table: pa.Table) -> pa.Table:
+        doc, place, _ = unpack(table, None)
+        return rows_of_places(doc, place)
 
-    found = packed.groupBy("part").applyInArrow(decide, PLACES)
-    return found.groupBy("doc_id").agg(F.collect_list("places").alias("places"))  # a document's own places, at most one list a part
+    return packed.groupBy("part").applyInArrow(decide, PACKED).groupBy("part").applyInArrow(gather, PLACES)
 
 
-def _places(found: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in found]).astype(np.int64)) if found else np.zeros(0, np.int64)
+def _places(found: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(found, "<u4").astype(np.int64)) if found else np.zeros(0, np.int64)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -127,7 +144,7 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, text and `places`: the packed first words of the windows that a document of smaller id has too (null: none)."""
     block = window // 2
-    parts = 2 * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +182,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 rows = list(pack_probes(ids, np.concatenate(owners), np.concatenate(places), np.concatenate(hashes), parts, 64))
                 yield _batch(rows, _PACKED)
 
-    anchors = exchange(slim.mapInArrow(probe, PACKED), lambda d, p, h: met_in_two(d, p, h, block), 32)
+    anchors = exchange(slim.mapInArrow(probe, PACKED), lambda d, p, h: met_in_two(d, p, h, block), 32, parts)
     around = slim.join(anchors, "doc_id").mapInArrow(candidates, PACKED)
-    flagged = exchange(around, in_smaller, 64)
+    flagged = exchange(around, in_smaller, 64, parts)
     return slim.join(flagged, "doc_id", "left")
 
 
