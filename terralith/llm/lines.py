@@ -120,11 +120,11 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs with the later copies of repeated line runs deleted from the text, and n_lines, n_lines_removed, n_runs, longest_match added."""
     _, marks = repeated_runs(docs, id_col=id_col, text_col=text_col, min_lines=min_lines)
-    own = marks.groupBy("id", "th").agg(F.collect_list(F.struct("line", "length")).alias("_marks"))  # a document's own lines
+    own = marks.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("line", "length")).alias("_marks"))  # a document's own lines
     added = ["n_lines", "n_lines_removed", "n_runs", "longest_match"]
     base = docs.drop(*added)
     keyed = base.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th"))
-    joined = keyed.join(own, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left").drop("_id", "_th", "id", "th")
+    joined = keyed.join(own, ["_id", "_th"], "left").drop("_id", "_th")
     at = base.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
