@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -23,11 +24,20 @@ ROLL = 0x9E3779B97F4A7C55
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. Only where all is one process, as in tests, may it be unset."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="terralith-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that all executors share (spark.checkpoint.dir); sets one only if none is set."""
+    """Cuts the lineage in the shared folder; reliable, so that lost executors lose nothing."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terralith-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -46,19 +56,32 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATOR), lambda w: w != "")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a reused Python worker starts its next task small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, of about so many bytes of text each; a longer text comes alone, whole."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        text = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text = batch.column(batch.schema.get_field_index(column))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        give_back()
 
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
