@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, U64, checkpoint, mix, partitions, shingles, slices, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, U64, checkpoint, give_back, mix, partitions, shingles, slices, word_hashes
 from .graph import components
 
 HASHES, BANDS, BAND_ROWS, STEP = 128, 20, 3, 16
@@ -106,6 +106,13 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Whole groups of rows that come sorted by the keys, several groups at a time."""
+    try:
+        yield from _grouped(batches, keys)
+    finally:
+        give_back()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     names = None
     for batch in batches:
@@ -267,7 +274,7 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row for each document: doc_id, class_id (the smallest id linked to it by any chain), copy_of (the smallest id of the same text), n_links (documents of similarity >= threshold, copies too), n_text_links (different texts)."""
+    """One row for each document: doc_id, class_id (the smallest id linked to it by any chain), copy_of (the smallest id of the same text), n_links (documents of similarity >= threshold, copies too), n_text_links (different texts), text_hash, and stays: true for the rows of one document of each class."""
     signed = sign(docs, id_col, text_col)
     texts = checkpoint(signed.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig")))
     full = texts.filter("size > 0")
@@ -280,8 +287,11 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     final = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy("a").agg(F.sum("documents").alias("documents"), F.sum("texts").alias("texts")).withColumnRenamed("a", "node")
     placed = full.select("node", "least", "copies").join(final, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = placed.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = placed.join(classes, "root").select("node", "class_id", F.col("least").alias("copy_of"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    classes = placed.groupBy("root").agg(F.min(F.struct("least", "node")).alias("first"))
+    known = placed.join(classes, "root").select(
+        "node", F.col("first.least").alias("class_id"), F.col("least").alias("copy_of"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.col("first.node") == F.col("node")).alias("leads"),
+    )
     own = keyed(docs, id_col, text_col).select("id", "node")
     out = own.join(known, "node", "left")
     real = lambda c: F.when(c != NO_ID, c)
@@ -291,4 +301,14 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         real(F.coalesce("copy_of", "id")).alias("copy_of"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
+        F.col("node").alias("text_hash"),
+        F.coalesce(F.col("leads") & (F.col("id") == F.col("class_id")), F.lit(True)).alias("stays"),
     )
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay when each class keeps one document, that of the smallest id; of rows that repeat id and text one stays."""
+    stays = jaccard_join(docs, id_col=id_col, text_col=text_col, **options).filter("stays").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_hash", F.xxhash64(text))
+    return rows.join(stays, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
