@@ -19,13 +19,13 @@ other, so one of them stays.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.llm import jaccard, language, lines, mixing, packing
+from terralith.llm.common import shared_folder
 from terralith.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,9 +50,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.jaccard_join(docs).select(F.col("doc_id").alias("_id"), "class_id").distinct()
-    stays = classes.groupBy("_id").agg(F.min("class_id").alias("class_id")).filter(F.col("_id").eqNullSafe(F.col("class_id")))
-    return _documents(docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return _documents(jaccard.one_of_each(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +73,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terralith-")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
