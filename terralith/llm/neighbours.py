@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import U64, checkpoint, mix, release
 
-DEGREE, SAMPLE, ROUNDS, SETTLED = 48, 24, 10, 0.002
+DEGREE, SAMPLE, ROUNDS, SETTLED = 48, 24, 10, 0.05
 HOME_NODES, BLOCK, TREES = 6000, 256, 3
 #: Bound of the sample that places the hyperplanes.
 FIT_SAMPLE = 10_000
-POOL, BEAM, STEPS = 64, 16, 3
+POOL, BEAM, STEPS = 128, 64, 8
+#: Entry points of every walk besides its own node; walks end when fewer than CHANGED of them still improve their first WATCHED.
+ENTRIES, WATCHED, CHANGED = 64, 20, 0.02
 SEED = 5
 STATE = "home int, id long, vec binary, ids binary, sims binary, fresh binary"
 _STATE = pa.schema([("home", pa.int32()), ("id", pa.int64()), ("vec", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("fresh", pa.binary())])
@@ -52,11 +54,11 @@ def _lists(column: pa.ChunkedArray | pa.Array, dtype: str) -> list[np.ndarray]:
 
 def best(target: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The `keep` best different others of each target, ordered by target, then nearest first."""
-    order = np.lexsort((-sim, other, target))
+    order = np.lexsort((other, target))
     target, other, sim = target[order], other[order], sim[order]
     once = np.r_[True, (target[1:] != target[:-1]) | (other[1:] != other[:-1])] if len(target) else np.zeros(0, bool)
     target, other, sim = target[once], other[once], sim[once]
-    order = np.lexsort((other, -sim, target))
+    order = np.lexsort((-sim, target))  # stable: equal ones stay in the order of `other`
     target, other, sim = target[order], other[order], sim[order]
     first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, np.int64)
     rank = np.arange(len(target)) - np.repeat(first, np.diff(np.r_[first, len(target)]))
@@ -213,17 +215,13 @@ def local_joins(state: DataFrame, homes: int, turn: int) -> DataFrame:
         return owner[kept], other[kept], kind[kept] & 1
 
     def needs(table: pa.Table) -> pa.Table:
-        ids = np.unique(edges_of(table)[1])
-        return pa.table([pa.array(np.full(len(ids), table.column("home")[0].as_py()), pa.int32()), pa.array(ids, pa.int64())], names=["home", "id"])
+        return requests(edges_of(table)[1], table.column("home")[0].as_py(), homes)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _PROPOSED.empty_table()
         owner, other, new = edges_of(left)
-        ids = right.column("id").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        vec, worst = np.stack(_lists(right.column("vec"), "<f4"))[order], right.column("worst").to_numpy()[order]
+        ids, vec, worst = received(right)
         at = np.searchsorted(ids, other)
         by = np.lexsort((-new.astype(np.int8), owner))
         owner, at, new = owner[by], at[by], new[by]
@@ -254,20 +252,64 @@ def local_joins(state: DataFrame, homes: int, turn: int) -> DataFrame:
         return proposals(ids[x], ids[y], s, homes)
 
     sent = state.select("id", "ids", "fresh").mapInArrow(send, "home int, owner binary, other binary, kind binary")
-    wanted = sent.groupBy("home").applyInArrow(needs, "home int, id long")
-    vectors = wanted.join(_with_worst(state), "id")
+    wanted = sent.groupBy("home").applyInArrow(needs, REQUEST)
+    vectors = wanted.groupBy("home").cogroup(state.groupBy("home")).applyInArrow(give_vectors, REPLY)
     return sent.groupBy("home").cogroup(vectors.groupBy("home")).applyInArrow(join, PROPOSED)
 
 
-def _with_worst(state: DataFrame) -> DataFrame:
-    """(id, vec, worst): worst is the similarity that a proposal must exceed."""
+REQUEST = "home int, asker int, ids binary"
+_REQUEST = pa.schema([("home", pa.int32()), ("asker", pa.int32()), ("ids", pa.binary())])
+REPLY = "home int, ids binary, counts binary, data binary, worst binary"
+_REPLY = pa.schema([("home", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("data", pa.binary()), ("worst", pa.binary())])
+
+
+def requests(ids: np.ndarray, asker: int, homes: int) -> pa.Table:
+    """What a home asks the others for: one row for each of them, with the ids."""
+    ids = np.unique(ids)
+    at = home_of(ids, homes)
+    order = np.argsort(at, kind="stable")
+    cut = np.searchsorted(at[order], np.arange(homes + 1))
+    rows = [(h, asker, ids[r].tobytes()) for h in range(homes) if len(r := order[cut[h] : cut[h + 1]])]
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_REQUEST)], schema=_REQUEST)
+
+
+def _picked(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    known = right.column("id").to_numpy()
+    order = np.argsort(known)
+    for asker, raw in zip(left.column("asker").to_pylist(), left.column("ids").to_pylist(), strict=True):
+        ids = np.frombuffer(raw, "<i8")
+        yield asker, ids, order[np.searchsorted(known[order], ids)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            worst = [float(s[-1]) if len(s) == DEGREE else -np.inf for s in _lists(b.column(2), "<f4")]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(worst, pa.float32())], names=["id", "vec", "worst"])
 
-    return state.select("id", "vec", "sims").mapInArrow(run, "id long, vec binary, worst float")
+def give_vectors(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Answers requests with vectors, and with the similarity that a proposal to each must exceed."""
+    if not left.num_rows:
+        return _REPLY.empty_table()
+    vec = np.stack(_lists(right.column("vec"), "<f4"))
+    worst = np.array([s[-1] if len(s) == DEGREE else -np.inf for s in _lists(right.column("sims"), "<f4")], dtype="<f4")
+    rows = [(asker, ids.tobytes(), b"", vec[at].tobytes(), worst[at].tobytes()) for asker, ids, at in _picked(left, right)]
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_REPLY)], schema=_REPLY)
+
+
+def give_lists(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Answers requests with neighbour lists."""
+    if not left.num_rows:
+        return _REPLY.empty_table()
+    lists = right.column("ids").to_pylist()
+    rows = []
+    for asker, ids, at in _picked(left, right):
+        some = [lists[i] for i in at.tolist()]
+        rows.append((asker, ids.tobytes(), np.array([len(x) // 8 for x in some], dtype="<u4").tobytes(), b"".join(some), b""))
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_REPLY)], schema=_REPLY)
+
+
+def received(replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, their vectors and thresholds."""
+    ids = np.concatenate(_lists(replies.column("ids"), "<i8"))
+    vec = np.concatenate(_lists(replies.column("data"), "<f4")).reshape(len(ids), -1)
+    worst = np.concatenate(_lists(replies.column("worst"), "<f4"))
+    ids, at = np.unique(ids, return_index=True)
+    return ids, vec[at], worst[at]
 
 
 def settle(state: DataFrame, turn: int) -> DataFrame:
@@ -301,63 +343,85 @@ def build(nodes: DataFrame, count: int, longest: float) -> tuple[DataFrame, int]
     return state, homes
 
 
+def longest_nodes(state: DataFrame) -> list[int]:
+    """ENTRIES nodes of the longest original vectors (the least lift), ties by a hash: large inner products end there."""
+
+    def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(v[-1]) for v in _lists(b.column(1), "<f4")], pa.float32())], names=["id", "lift"])
+
+    found = state.select("id", "vec").mapInArrow(lift, "id long, lift float").orderBy(F.round("lift", 3), F.xxhash64("id")).limit(ENTRIES).collect()
+    return [r["id"] for r in found]
+
+
 def search(state: DataFrame, queries: DataFrame, homes: int) -> DataFrame:
-    """Greedy walks: (query, ids, sims) with the POOL nearest nodes met from the query's own node on."""
-    pool = "home int, query long, vec binary, ids binary, sims binary, done binary"
+    """Greedy walks: (query, ids) with the POOL nearest nodes met from the query's own node and the entry points on."""
+    entries = np.array(sorted(longest_nodes(state)), dtype="<i8")
+    pool = "home int, query long, vec binary, ids binary, sims binary, done binary, changed int"
     names = [x.split()[0] for x in pool.split(", ")]
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The walk begins at the query's own node. The lift belongs to the nodes: a query's is 0, so that products are those of the original vectors."""
         for b in batches:
-            ids, sims = _lists(b.column("ids"), "<i8"), _lists(b.column("sims"), "<f4")
-            yield pa.RecordBatch.from_arrays([b.column("home"), b.column("id"), b.column("vec"), pa.array([x[:POOL].tobytes() for x in ids], pa.binary()), pa.array([x[:POOL].tobytes() for x in sims], pa.binary()), pa.array([bytes(min(len(x), POOL)) for x in ids], pa.binary())], names=names)
+            if b.num_rows:
+                ids = b.column("id").to_numpy(zero_copy_only=False)
+                vec = np.stack(_lists(b.column("vec"), "<f4"))
+                vec[:, -1] = 0
+                cells = lambda x: pa.array(x, pa.binary())
+                seeds = [np.r_[i, entries[entries != i]].astype("<i8") for i in ids]
+                unseen = [np.full(len(x), -np.inf, "<f4").tobytes() for x in seeds]
+                yield pa.RecordBatch.from_arrays([b.column("home"), b.column("id"), cells([v.tobytes() for v in vec]), cells([x.tobytes() for x in seeds]), cells(unseen), cells([bytes(len(x)) for x in seeds]), pa.array([1] * len(ids), pa.int32())], names=names)
 
     def frontier(done: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(done == 0)[:BEAM]
+        return np.flatnonzero(done == 0)[: BEAM + 1]
 
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                want = [i[frontier(d)] for i, d in zip(_lists(b.column("ids"), "<i8"), _lists(b.column("done"), "u1"), strict=True)]
-                home = np.repeat(b.column("home").to_numpy(zero_copy_only=False), [len(w) for w in want])
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(np.concatenate(want), pa.int64())], names=["home", "id"])
+    def asks(table: pa.Table) -> pa.Table:
+        want = [i[frontier(d)] for i, d in zip(_lists(table.column("ids"), "<i8"), _lists(table.column("done"), "u1"), strict=True)]
+        return requests(np.concatenate(want), table.column("home")[0].as_py(), homes)
 
-    def reached(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The nodes that the frontier's neighbours add to a home's queries: (home, id)."""
-        lists = _lists(right.column("near"), "<i8")
-        ids = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
-        home = left.column("home")[0].as_py() if left.num_rows else 0
-        return pa.table([pa.array(np.full(len(ids), home), pa.int32()), pa.array(ids, pa.int64())], names=["home", "id"])
+    def reached(table: pa.Table) -> pa.Table:
+        """The nodes that the frontier's neighbours add to a home's queries."""
+        return requests(np.concatenate([entries, *_lists(table.column("data"), "<i8")]), table.column("home")[0].as_py(), homes)
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
-        near = right.filter(pc.equal(right.column("what"), 0))
-        vecs = right.filter(pc.equal(right.column("what"), 1))
-        lists = dict(zip(near.column("id").to_pylist(), _lists(near.column("data"), "<i8"), strict=True))
-        vid = vecs.column("id").to_numpy()
-        order = np.argsort(vid)
-        vid = vid[order]
-        x = np.stack(_lists(vecs.column("data"), "<f4"))[order] if len(vid) else None
-        out_i, out_s, out_d = [], [], []
+        if not left.num_rows:
+            return left.select(names)
+        is_list = pc.equal(right.column("what"), 0)
+        lists: dict[int, np.ndarray] = {}
+        for ids, counts, data in zip(*(right.filter(is_list).column(c).to_pylist() for c in ("ids", "counts", "data")), strict=True):
+            cut = np.cumsum(np.frombuffer(counts, "<u4").astype(np.int64))[:-1]
+            lists.update(zip(np.frombuffer(ids, "<i8").tolist(), np.split(np.frombuffer(data, "<i8"), cut), strict=True))
+        vectors = right.filter(pc.invert(is_list))
+        vid, x, _ = received(vectors) if vectors.num_rows else (np.zeros(0, np.int64), None, None)
+        out_i, out_s, out_d, out_c = [], [], [], []
         for query, vec, ids, sims, done in zip(left.column("query").to_pylist(), _lists(left.column("vec"), "<f4"), _lists(left.column("ids"), "<i8"), _lists(left.column("sims"), "<f4"), _lists(left.column("done"), "u1"), strict=True):
             go = frontier(done)
             met = np.unique(np.concatenate([lists[i] for i in ids[go].tolist()])) if len(go) else np.zeros(0, np.int64)
-            met = np.setdiff1d(met, np.r_[ids, query])
+            seeds = ids[np.isneginf(sims) & (ids != query)]  # entry points have no score yet
+            known = ~np.isneginf(sims) | (ids == query)
+            met = np.union1d(np.setdiff1d(met, np.r_[ids, query]), seeds)
             done = done.copy()
             done[go] = 1
             s = x[np.searchsorted(vid, met)] @ vec if len(met) else np.zeros(0, np.float32)
-            ids, sims, done = np.r_[ids, met], np.r_[sims, s], np.r_[done, np.zeros(len(met), "u1")]
+            before = set(ids[known][:WATCHED].tolist())
+            ids, sims, done = np.r_[ids[known], met], np.r_[sims[known], s], np.r_[done[known], np.isin(met, seeds).astype("u1")]
             top = np.lexsort((ids, -sims))[:POOL]
+            out_c.append(int(set(ids[top][:WATCHED].tolist()) != before))
             out_i.append(ids[top].tobytes())
             out_s.append(sims[top].astype("<f4").tobytes())
             out_d.append(done[top].astype("u1").tobytes())
-        return pa.table([left.column("home"), left.column("query"), left.column("vec"), *(pa.array(c, pa.binary()) for c in (out_i, out_s, out_d))], names=names)
+        return pa.table([left.column("home"), left.column("query"), left.column("vec"), *(pa.array(c, pa.binary()) for c in (out_i, out_s, out_d)), pa.array(out_c, pa.int32())], names=names)
 
     now = checkpoint(state.join(queries, "id", "left_semi").mapInArrow(start, pool))
-    links, vectors = state.select("id", F.col("ids").alias("near")), state.select("id", F.col("vec").alias("data"))
     for _ in range(STEPS):
-        near = now.mapInArrow(asks, "home int, id long").distinct().join(links, "id")
-        wanted = now.select("home").distinct().groupBy("home").cogroup(near.groupBy("home")).applyInArrow(reached, "home int, id long")
-        given = near.select("home", "id", F.lit(0).alias("what"), F.col("near").alias("data")).unionByName(wanted.join(vectors, "id").select("home", "id", F.lit(1).alias("what"), "data"))
+        near = now.groupBy("home").applyInArrow(asks, REQUEST).groupBy("home").cogroup(state.groupBy("home")).applyInArrow(give_lists, REPLY)
+        wanted = near.groupBy("home").applyInArrow(reached, REQUEST)
+        vectors = wanted.groupBy("home").cogroup(state.groupBy("home")).applyInArrow(give_vectors, REPLY)
+        given = near.withColumn("what", F.lit(0)).unionByName(vectors.withColumn("what", F.lit(1)))
         now = checkpoint(now.groupBy("home").cogroup(given.groupBy("home")).applyInArrow(step, pool))
+        release(state.sparkSession)
+        if (now.agg(F.avg("changed")).first()[0] or 0) < CHANGED:
+            break
     return now.select("query", "ids")
 
 
@@ -378,7 +442,7 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "v
     def open_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                lists = [np.r_[q, x] for q, x in zip(b.column(0).to_pylist(), _lists(b.column(1), "<i8"), strict=True)]
+                lists = [np.union1d(x, q) for q, x in zip(b.column(0).to_pylist(), _lists(b.column(1), "<i8"), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in lists]), pa.int64()), pa.array(np.concatenate(lists), pa.int64())], names=["id", "node"])
 
     pairs = pools.mapInArrow(open_pool, "id long, node long")  # POOL + 1 rows for each walked node, itself included
