@@ -149,5 +149,5 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digest(kept: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_lines_removed, n_runs, longest_match and the checksum of the text left."""
-    return kept.select("doc_id", "n_lines", "n_lines_removed", "n_runs", "longest_match", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_lines_removed, n_runs and the checksum of the text left."""
+    return kept.select("doc_id", "n_lines", "n_lines_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(read(spark, sf_dir))
+    return jaccard.jaccard_join(read(spark, sf_dir)).select("doc_id", "class_id", "copy_of", "n_links", "n_text_links")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,50 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op8_warc_revisits": warc.DIGEST_SQL}
+
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
+
+JACCARD_SQL = f"""
+with recursive w as (select doc_id, coalesce(text, '') as text, {WORDS_SQL} as ws from documents),
+texts as (select text, any_value(ws) as ws, min(doc_id) as least, count(*) as copies from w where len(ws) > 0 group by text),
+sh as (select distinct least, case when len(ws) >= 5 then array_to_string(ws[i:i + 4], ' ') else array_to_string(ws, ' ') end as s from (select *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from texts)),
+n as (select least, count(*) as n from sh group by least),
+common as (select a.least as a, b.least as b, count(*) as c from sh a join sh b on a.s = b.s and a.least <> b.least group by 1, 2),
+links as (select a, b from common join n x on x.least = a join n y on y.least = b where c >= 0.8e0 * (x.n + y.n - c) - 1e-9),
+reach as (select least as a, least as b from texts union select r.a, l.b from reach r join links l on l.a = r.b),
+class as (select a, min(b) as class_id from reach group by a),
+counted as (select a, sum(t.copies) as docs, count(*) as texts from links join texts t on t.least = b group by a)
+select w.doc_id, coalesce(c.class_id, w.doc_id) as class_id, coalesce(t.least, w.doc_id) as copy_of, cast(coalesce(k.docs, 0) + coalesce(t.copies - 1, 0) as bigint) as n_links, coalesce(k.texts, 0) as n_text_links
+from w left join texts t on t.text = w.text left join class c on c.a = t.least left join counted k on k.a = t.least
+"""
+
+SUBSTRING_SQL = f"""
+with w as (select doc_id, {WORDS_SQL} as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as k from (select *, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50)),
+least as (select k, min(doc_id) as first_doc from win group by k),
+gone as (select doc_id, list(distinct p) as ps from (select win.doc_id, unnest(range(i, i + 50)) as p from win join least using (k) where win.doc_id > first_doc) group by doc_id),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+kept as (select words.doc_id, string_agg(word, ' ' order by p) as kept from words left join (select doc_id, unnest(ps) as p from gone) g using (doc_id, p) where g.p is null group by words.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join gone using (doc_id) left join kept using (doc_id)
+"""
+
+# blank lines carry no number; a line goes if it is in a pair of lines that stands somewhere before
+LINES_SQL = """
+with raw as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null),
+full_lines as (select doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t from raw where trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+numbered as (select *, row_number() over (partition by doc_id order by pos) as n from full_lines),
+pairs as (select doc_id, n, md5(t || chr(10) || lead(t) over (partition by doc_id order by n)) as k, lead(n) over (partition by doc_id order by n) as following from numbered),
+marked as (select doc_id, n from (select doc_id, n, row_number() over (partition by k order by doc_id, n) as place from pairs where following is not null) where place > 1),
+gone as (select distinct doc_id, n from (select doc_id, n from marked union all select doc_id, n + 1 from marked)),
+runs as (select doc_id, count(*) as n_runs from gone g where not exists (select 1 from gone h where h.doc_id = g.doc_id and h.n = g.n - 1) group by doc_id),
+kept as (select raw.doc_id, string_agg(line, chr(10) order by raw.pos) as kept from raw left join numbered using (doc_id, pos) left join gone using (doc_id, n) where gone.n is null group by raw.doc_id)
+select d.doc_id, cast(coalesce(a.n, 0) as int) as n_lines, cast(coalesce(g.n, 0) as int) as n_lines_removed, cast(coalesce(n_runs, 0) as int) as n_runs, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join (select doc_id, count(*) as n from numbered group by doc_id) a using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id) left join runs using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": JACCARD_SQL,
+    "op7_substring_dedup": SUBSTRING_SQL,
+    "op8_warc_revisits": warc.DIGEST_SQL,
+    "op9_line_dedup": LINES_SQL,
+}
