@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import before, even_parts
+
 MERSENNE = 2**31 - 1
 #: Multipliers of the resampling hash's rounds.
 ROUND_KEYS = (16807, 39373, 630360016)
@@ -44,22 +46,13 @@ def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p")
     )
 
 
-def average_rank(column: str, by: list[str], alias: str) -> tuple[Column, ...]:
-    """Rank with ties at their mean place."""
-    w = Window.partitionBy(*by).orderBy(column)
-    ties = Window.partitionBy(*by, column)
-    return ((F.rank().over(w) + (F.count("*").over(ties) - 1) / 2).alias(alias),)
-
-
 def spearman(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Correlation of average ranks. Ranks come from counts of the distinct values, so that ties and large groups meet pre-aggregated."""
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     out = rows
     for column, name in ((y, "_ry"), (p, "_rp")):
-        counts = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(*by, column, (before + (F.col("_n") + 1) / 2).alias(name))
-        out = out.join(ranks, [*by, column])
+        counts = before(rows.groupBy(*by, column).agg(F.count("*").alias("n")), by, column, "n")
+        out = out.join(counts.select(*by, column, (F.col("before") + (F.col("n") + 1) / 2).alias(name)), [*by, column])
     return out.groupBy(*by).agg(F.corr("_ry", "_rp").alias("rho"), F.count("*").alias("n"))
 
 
@@ -90,8 +83,7 @@ def draw(rep: Column, k: Column, n: Column, seed: int = 42) -> Column:
 def bootstrap_r2(df: DataFrame, key: str, replicates: int, y: str = "y", p: str = "p", seed: int = 42) -> DataFrame:
     """R2 of each replicate: n draws with replacement. Draws are counted first, so that a row is joined once for each replicate it is in."""
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    # the table is numbered by its key; at bootstrap sizes (hundreds of sites) this is one small window
-    numbered = rows.select(y, p, (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("i"))
+    numbered = before(rows.select(key, y, p), [], key).select(y, p, F.col("before").alias("i"))
     n = df.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     draws = n.filter("n > 0").select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("rep", draw(F.col("rep"), F.col("k"), F.col("n"), seed).alias("i"))
     times = draws.groupBy("rep", "i").agg(F.count("*").alias("w"))
@@ -159,7 +151,8 @@ def kfold_ids(rows: DataFrame, key: str, folds: int = 5, seed: int = 42) -> Data
     """Folds of single rows, by a hashed order of their key."""
     from .ingest import hashed_order
 
-    return rows.select(key, F.ntile(folds).over(Window.orderBy(hashed_order(F.col(key), seed), key)).alias("fold"))
+    ordered = rows.select(key, hashed_order(F.col(key), seed).alias("_o"))
+    return even_parts(ordered, "_o", folds, (key,)).select(key, "fold")
 
 
 def ridge_sums(df: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -242,3 +242,16 @@ def test_gates(spark):
     files = spark.createDataFrame([("/a/x.tif", 5000)], "path string, length long")
     wanted = spark.createDataFrame([("x.tif",), ("y.tif",)], "file string")
     assert {r["name"]: r["pass"] for r in checks.inputs_gate(files, wanted).collect()} == {"x.tif": True, "y.tif": False}
+
+
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 2), st.floats(-1e6, 1e6, allow_nan=False)), min_size=1, max_size=60))
+def test_running_counts_and_parts(spark, rows):
+    from terralith.operators import ranks
+
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "i int, g int, v double")
+    got = {r["i"]: r["before"] for r in ranks.before(df, ["g"], "v", ties=("i",), buckets=7).collect()}
+    for i, (g, v) in enumerate(rows):
+        assert got[i] == sum((h == g) and (w, j) < (v, i) for j, (h, w) in enumerate(rows))
+    parts = [r["fold"] for r in ranks.even_parts(df, "v", 5, ("i",)).orderBy("v", "i").collect()]
+    assert parts == [int(k) + 1 for k, part in enumerate(np.array_split(np.arange(len(rows)), 5)) for _ in part]
