@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,34 +82,22 @@ class RunTokenizer:
         if len(self.young) > KEPT_RUNS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        keys: list[str] = []
-        tails: dict[int, str] = {}
-        for w in words:
-            if w.isascii():
-                w = w.lower()
-            if w[-1] in ".,":
-                core = w.rstrip(".,")
-                if core and core[-1].isascii() and core[-1].isalpha():
-                    tails[len(keys)] = w[len(core) :]
-                    w = core
-            keys.append(w)
-        new = set()
-        for w in keys:
-            if w not in young:
-                if (ids := old.get(w)) is None:
-                    new.add(w)
-                else:
-                    young[w] = ids
-        new.update(t for t in set(tails.values()) if t not in young)
-        self.learn(list(new))
-        out = [young[w] for w in keys]
-        for i, t in tails.items():
-            out[i] += young[t]
-        return out
+        missing = [w for w in words if w not in young]
+        young.update((w, old[w]) for w in missing if w in old)
+        self.learn([w for w in missing if w not in young])
+        return [young[w] for w in words]
+
+    @staticmethod
+    def prepared(text: pa.Array) -> pa.Array:
+        """ASCII letters in lower case, full stops and commas set apart after one; not the former where a special token could arise."""
+        text = pc.fill_null(text, "")
+        if not pc.any(pc.match_substring(text, "<|"), min_count=0).as_py():
+            text = pc.ascii_lower(text)
+        return pc.replace_substring_regex(text, r"([A-Za-z])([.,]+)([ \t\n\r\f\v]|$)", r"\1 \2\3")
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of each text's ids, the end id included, and all ids."""
-        bounds, at, words = split_words(text)
+        bounds, at, words = split_words(self.prepared(text))
         each = self.runs(words.to_pylist())
         size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
         flat = np.frombuffer(b"".join(each), dtype="<u4")
