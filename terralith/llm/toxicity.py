@@ -33,7 +33,7 @@ from .common import checkpoint, slices, split_words
 TRAIN_DOCS = 16_000
 #: Candidates looked at more closely, and entries kept.
 MOST_CANDIDATES, MOST_ENTRIES = 20_000, 5_000
-LEAST_EVIDENCE, LEAST_ODDS, LEAST_CONTEXTS = 20.0, 20.0, 4
+LEAST_EVIDENCE, LEAST_ODDS, LEAST_CONTEXTS = 14.0, 20.0, 3
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
 
