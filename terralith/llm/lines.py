@@ -54,11 +54,11 @@ def _running(counts: DataFrame, group: list[str], order: str, sub: Column) -> Da
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
-    """(id, th, line, rank, n) of the lines whose id repeats: rank counts the lines of smaller id, n those of the same."""
-    counts = lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    """(id, th, line, rank, n, first) of the lines whose id repeats: rank counts the lines of smaller id, n those of the same, first is the first of these."""
+    counts = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "line")).alias("first")).filter("n > 1")
     bucket = F.shiftright("h", 52) + 2048
-    ranks = _running(counts, [], "h", bucket).select("h", F.col("before").alias("rank"), "n")
-    return lines.join(ranks, "h").select("id", "th", "line", "rank", "n")
+    ranks = _running(counts, [], "h", bucket).select("h", F.col("before").alias("rank"), "n", "first")
+    return lines.join(ranks, "h").select("id", "th", "line", "rank", "n", "first")
 
 
 def double(ranked: DataFrame, step: int, total: int) -> DataFrame:
@@ -67,28 +67,26 @@ def double(ranked: DataFrame, step: int, total: int) -> DataFrame:
     later = ranked.select("id", "th", (F.col("line") - step).alias("line"), F.col("rank").alias("second"))
     # what ends here has a terminator of its own: a negative key from a hash of its place, before all ranks
     ends = F.lit(-1) - F.shiftrightunsigned(F.xxhash64("id", "th", "line"), 2)
-    keyed = live.drop("n").join(later, ["id", "th", "line"], "left").withColumn("second", F.coalesce("second", ends))
-    counts = keyed.groupBy("rank", "second").agg(F.count("*").alias("n"))
+    keyed = live.drop("n", "first").join(later, ["id", "th", "line"], "left").withColumn("second", F.coalesce("second", ends))
+    counts = keyed.groupBy("rank", "second").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "line")).alias("first"))
     wide = max(1, -(-total // SUBRANGES))
     sub = F.when(F.col("second") < 0, F.shiftright("second", 54)).otherwise(F.floor(F.col("second") / wide).cast("long"))
-    new = _running(counts, ["rank"], "second", sub).select("rank", "second", (F.col("rank") + F.col("before")).alias("new"), "n")
-    moved = keyed.join(new, ["rank", "second"]).select("id", "th", "line", F.col("new").alias("rank"), "n")
+    new = _running(counts, ["rank"], "second", sub).select("rank", "second", (F.col("rank") + F.col("before")).alias("new"), "n", "first")
+    moved = keyed.join(new, ["rank", "second"]).select("id", "th", "line", F.col("new").alias("rank"), "n", "first")
     return ranked.filter("n <= 1").unionByName(moved).coalesce(partitions(ranked.sparkSession))
 
 
 def later_members(ranked: DataFrame, length: int) -> DataFrame:
     """(id, th, line, length) of all but the first member of each interval, for suffixes ranked by `length` lines."""
-    live = ranked.filter("n > 1")
-    first = live.groupBy("rank").agg(F.min(F.struct("id", "th", "line")).alias("first"))
-    return live.join(first, "rank").filter(F.struct("id", "th", "line") > F.col("first")).select("id", "th", "line", F.lit(length).alias("length"))
+    return ranked.filter((F.col("n") > 1) & (F.struct("id", "th", "line") > F.col("first"))).select("id", "th", "line", F.lit(length).alias("length"))
 
 
 def combined(ranked: DataFrame, step: int, length: int) -> DataFrame:
     """Ranks for `length` lines, step < length < 2 * step: by the first and the last `step` lines of them. Only equality counts."""
     later = ranked.filter("n > 1").select("id", "th", (F.col("line") - (length - step)).alias("line"), F.col("rank").alias("second"))
-    keyed = ranked.filter("n > 1").drop("n").join(later, ["id", "th", "line"])
-    groups = keyed.groupBy("rank", "second").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "line")).alias("least"))
-    return keyed.join(groups.filter("n > 1"), ["rank", "second"]).select("id", "th", "line", F.xxhash64("rank", "second", "least").alias("rank"), "n")
+    keyed = ranked.filter("n > 1").drop("n", "first").join(later, ["id", "th", "line"])
+    groups = keyed.groupBy("rank", "second").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "line")).alias("first"))
+    return keyed.join(groups.filter("n > 1"), ["rank", "second"]).select("id", "th", "line", "rank", "n", "first")
 
 
 def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
