@@ -29,7 +29,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 END_ID = 2
 MOST = 4096
 #: Runs in one generation of a worker's table of ids (two are kept); it bounds memory and changes no result.
-KEPT_RUNS = 250_000
+KEPT_RUNS = 150_000
 
 
 def piece_lengths(n: int, most: int = MOST) -> list[int]:
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = RunTokenizer(tokenizer_path)
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             to, ids = tok.encode(batch.column(1), end_id)
             raw, keys = memoryview(ids.tobytes()), batch.column(0).to_pylist()
             rows: list[tuple] = []
