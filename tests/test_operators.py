@@ -171,6 +171,15 @@ def test_score_keeps_missing_rows(spark, tmp_path):
         readers.read_forest(spark, str(tmp_path / "m"), ["bio12", "bio01"])
 
 
+def test_stratum_attributions_take_every_row(spark):
+    # the 400 rows of smallest target are led by "a", the stratum as a whole by "b"
+    rows = [(float(k < 400), float(k % 2), 5.0 * (k % 2) - 6.0 * (k < 400), False) for k in range(2000)]
+    rows += [(float(k % 5 == 0), float(k % 2), 5.0 * (k % 2) - 6.0 * (k % 5 == 0), True) for k in range(60)]
+    df = spark.createDataFrame([("z", *r) for r in rows], "zone string, a double, b double, y double, us boolean")
+    got = models.stratified_transfer(df, "zone", F.col("us"), ["a", "b"], "y", models.Params(n_estimators=40, colsample=1.0), replicates=20).collect()
+    assert [(r["n_a"], r["n_b"], r["top_feature"]) for r in got] == [(2000, 60, "b")]
+
+
 def test_ridge_matches_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(100, 3)) * [1, 5, 0.1] + [3, 2, 1]
