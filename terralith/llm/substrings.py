@@ -13,8 +13,11 @@ by parts of the hash, so that a passage that many documents share adds places to
 Hashes only propose at the first exchange (32 bits and the part). At the second they are 64-bit hashes of the
 window's words; equality of these is taken as equality of the words.
 
+A document is known by a 64-bit hash of its id and text: places come back by it, and ids travel only to the second
+exchange, which orders by them.
+
 Cases: a null text has no words. Documents shorter than a window are kept whole. Rows that repeat an id are
-each judged against smaller ids only. A null id is larger than any. Empty tables give empty tables.
+each judged by their own text, against smaller ids only. A null id is larger than any. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -30,14 +33,14 @@ from .common import U64, mix, partitions, slices, window_hashes, word_hashes
 
 WINDOW = 50
 NO_ID = 2**63 - 1
-PACKED = "part int, ids binary, counts binary, gaps binary, hashes binary, wide int"
-PLACES = "doc_id long, places binary"
-_PACKED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary()), ("hashes", pa.binary()), ("wide", pa.int32())])
-_PLACES = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
+PACKED = "part int, keys binary, ids binary, counts binary, gaps binary, hashes binary, wide int"
+PLACES = "key long, places binary"
+_PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary()), ("hashes", pa.binary()), ("wide", pa.int32())])
+_PLACES = pa.schema([("key", pa.int64()), ("places", pa.binary())])
 
 
-def pack(part: np.ndarray, parts: int, ids: np.ndarray, owner: np.ndarray, place: np.ndarray, payload: np.ndarray) -> Iterator[tuple]:
-    """Rows of PACKED for places of documents (owner: index into ids, ascending; place ascending within an owner)."""
+def pack(part: np.ndarray, parts: int, keys: np.ndarray, ids: np.ndarray | None, owner: np.ndarray, place: np.ndarray, payload: np.ndarray) -> Iterator[tuple]:
+    """Rows of PACKED for places of documents (owner: index into keys and, if they travel, ids, ascending; place ascending within an owner)."""
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(bounds)):
@@ -48,36 +51,37 @@ def pack(part: np.ndarray, parts: int, ids: np.ndarray, owner: np.ndarray, place
         gap[first] = at[first]
         wide = 1 if gap.max() < 256 else 2 if gap.max() < 65536 else 8
         count = np.diff(np.r_[first, len(rows)])
-        yield int(p), ids[own[first]].astype("<i8").tobytes(), count.astype("<u4").tobytes(), gap.astype(f"<u{wide}").tobytes(), payload[rows].tobytes(), wide
+        yield int(p), keys[own[first]].astype("<i8").tobytes(), b"" if ids is None else ids[own[first]].astype("<i8").tobytes(), count.astype("<u4").tobytes(), gap.astype(f"<u{wide}").tobytes(), payload[rows].tobytes(), wide
 
 
-def pack_probes(ids: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np.ndarray, parts: int, bits: int) -> Iterator[tuple]:
+def pack_probes(keys: np.ndarray, ids: np.ndarray | None, owner: np.ndarray, place: np.ndarray, hashes: np.ndarray, parts: int, bits: int) -> Iterator[tuple]:
     """Probes, dealt by their upper bits; the payload is the lower 32 bits or the whole hash."""
     part = ((hashes >> U64(32)) % U64(parts)).astype(np.int64)
-    return pack(part, parts, ids, owner, place, (hashes & U64(0xFFFFFFFF)).astype("<u4") if bits == 32 else hashes)
+    return pack(part, parts, keys, ids, owner, place, (hashes & U64(0xFFFFFFFF)).astype("<u4") if bits == 32 else hashes)
 
 
 def pack_places(doc: np.ndarray, place: np.ndarray, parts: int) -> Iterator[tuple]:
     """Places, dealt by their document, without a payload."""
     order = np.lexsort((place, doc))
-    ids, owner = np.unique(doc[order], return_inverse=True)
-    part = (mix(ids.view(U64)) % U64(parts)).astype(np.int64)
-    return pack(part[owner], parts, ids, owner, place[order], np.zeros(len(doc), dtype="V0"))
+    keys, owner = np.unique(doc[order], return_inverse=True)
+    part = (mix(keys.view(U64)) % U64(parts)).astype(np.int64)
+    return pack(part[owner], parts, keys, None, owner, place[order], np.zeros(len(doc), dtype="V0"))
 
 
-def unpack(table: pa.Table, payload: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place and payload of everything in the rows."""
-    docs, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, payload or "<u4")]
-    for ids, counts, gaps, h, wide in zip(*(table.column(c).to_pylist() for c in ("ids", "counts", "gaps", "hashes", "wide")), strict=True):
+def unpack(table: pa.Table, payload: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key and id (the key again where ids do not travel) of the document, place and payload of everything in the rows."""
+    docs, named, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, payload or "<u4")]
+    for keys, ids, counts, gaps, h, wide in zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "counts", "gaps", "hashes", "wide")), strict=True):
         count = np.frombuffer(counts, "<u4").astype(np.int64)
         total = np.cumsum(np.frombuffer(gaps, f"<u{wide}").astype(np.int64))
         first = np.cumsum(count) - count
         before = np.where(first > 0, total[first - 1], 0)
-        docs.append(np.repeat(np.frombuffer(ids, "<i8"), count))
+        docs.append(np.repeat(np.frombuffer(keys, "<i8"), count))
+        named.append(np.repeat(np.frombuffer(ids or keys, "<i8"), count))
         places.append(total - np.repeat(before, count))
         if payload:
             hashes.append(np.frombuffer(h, payload))
-    return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
+    return np.concatenate(docs), np.concatenate(named), np.concatenate(places), np.concatenate(hashes)
 
 
 def rows_of_places(doc: np.ndarray, place: np.ndarray) -> pa.Table:
@@ -110,16 +114,16 @@ def in_smaller(doc: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> np.nda
 
 
 def exchange(packed: DataFrame, judge: Callable[..., np.ndarray], bits: int, parts: int) -> DataFrame:
-    """Brings each part's probes together; (doc_id, places): the places of each document that the judge picks."""
+    """Brings each part's probes together; (key, places): the places of each document that the judge picks."""
 
     def decide(table: pa.Table) -> pa.Table:
-        doc, place, hashes = unpack(table, "<u4" if bits == 32 else "<u8")
-        kept = judge(doc, place, hashes)
+        doc, named, place, hashes = unpack(table, "<u4" if bits == 32 else "<u8")
+        kept = judge(named, place, hashes)
         rows = list(pack_places(doc[kept], place[kept], parts))
         return pa.Table.from_batches([_batch(rows, _PACKED)] if rows else [], schema=_PACKED)
 
     def gather(table: pa.Table) -> pa.Table:
-        doc, place, _ = unpack(table, None)
+        doc, _, place, _ = unpack(table, None)
         return rows_of_places(doc, place)
 
     return packed.groupBy("part").applyInArrow(decide, PACKED).groupBy("part").applyInArrow(gather, PLACES)
@@ -146,6 +150,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     block = window // 2
     parts = partitions(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = slim.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
@@ -154,14 +159,14 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))[: len(hashes)]
             place = np.arange(len(hashes)) - bounds[owner]
             inside = bounds[owner + 1] - bounds[owner] - place >= block
-            rows = list(pack_probes(batch.column(0).to_numpy(zero_copy_only=False), owner[inside], place[inside], hashes[inside], parts, 32))
+            rows = list(pack_probes(batch.column(2).to_numpy(zero_copy_only=False), None, owner[inside], place[inside], hashes[inside], parts, 32))
             if rows:
                 yield _batch(rows, _PACKED)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
             bounds, words = word_hashes(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 3))
             owners, places, hashes = [], [], []
             for i, found in enumerate(batch.column(2).to_pylist()):
                 mine = words[bounds[i] : bounds[i + 1]]
@@ -179,13 +184,13 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     places.append(at)
                     hashes.append(window_hashes(mine, window)[at])
             if owners:
-                rows = list(pack_probes(ids, np.concatenate(owners), np.concatenate(places), np.concatenate(hashes), parts, 64))
+                rows = list(pack_probes(keys, ids, np.concatenate(owners), np.concatenate(places), np.concatenate(hashes), parts, 64))
                 yield _batch(rows, _PACKED)
 
     anchors = exchange(slim.mapInArrow(probe, PACKED), lambda d, p, h: met_in_two(d, p, h, block), 32, parts)
-    around = slim.join(anchors, "doc_id").mapInArrow(candidates, PACKED)
+    around = slim.join(anchors, "key").select("doc_id", "text", "places", "key").mapInArrow(candidates, PACKED)
     flagged = exchange(around, in_smaller, 64, parts)
-    return slim.join(flagged, "doc_id", "left")
+    return slim.join(flagged, "key", "left").select("doc_id", "text", "places")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

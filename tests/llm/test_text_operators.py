@@ -323,6 +323,14 @@ def test_substrings_equal_brute_force(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_substrings_of_a_repeated_id_are_told_apart_by_text(spark):
+    shared, tail = words(1, 60), words(2, 200)
+    repeat, alone = " ".join(shared + words(3, 10)), " ".join(tail)
+    pairs = [(1, " ".join(shared)), (5, repeat), (5, alone), (5, repeat), (None, alone + " x"), (None, repeat + " y"), (None, " ".join(words(7, 90)))]
+    got = sorted((r["doc_id"] or 99, r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(table(spark, pairs)).collect())
+    assert got == [(1, 60, 0), (5, 70, 60), (5, 70, 60), (5, 200, 0), (99, 71, 70), (99, 90, 0), (99, 201, 200)]
+
+
 # ---- 8: web archives
 
 
