@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -155,7 +155,11 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", windows: int = TRAIN_WINDOWS, per_doc: int = WINDOWS_PER_DOC, window: int = WINDOW) -> ByteNet | None:
-    """Trains on at most `windows` windows, at most `per_doc` of one document, picked by hash from all labelled rows."""
+    """Trains on at most `windows` windows, at most `per_doc` of one document, picked by hash from all labelled rows.
+
+    Half of the windows follow the labels' numbers of documents, half are dealt equally to the labels, so that a rare
+    label is learned too. Of more than windows / 4 labels only the most frequent are.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -171,9 +175,16 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     slim = labelled.select(F.xxhash64(id_col).alias("key"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).filter("label is not null and text is not null")
     # Whole documents are picked by hash first, about windows / 2 of them, so that what tasks send does not grow with the corpus.
-    share = windows / 2 / max(1, slim.count())
-    slim = slim.filter(F.pmod("key", F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    rows = slim.mapInArrow(draw, "h long, label string, raw binary").orderBy("h", "label", "raw").limit(windows).collect()  # bounded by `windows`
+    counts = slim.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(windows // 4).collect()  # bounded by `windows`
+    if not counts:
+        return None
+    total, each = sum(r["n"] for r in counts), windows // 4 / len(counts)
+    shares = [(r["label"], int(min(1.0, windows / 4 / total + each / r["n"]) * (1 << 30))) for r in counts]
+    slim = slim.join(F.broadcast(slim.sparkSession.createDataFrame(shares, "label string, below long")), "label").filter(F.pmod("key", F.lit(1 << 30)) < F.col("below"))
+    drawn = slim.select("key", "label", "text").mapInArrow(draw, "h long, label string, raw binary")
+    # an equal share of each label comes first, then the rest by hash
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "raw"))
+    rows = drawn.withColumn("rest", place > windows // 2 // len(counts)).orderBy("rest", "h", "label", "raw").limit(windows).collect()  # bounded by `windows`
     if not rows:
         return None
     labels = sorted({r["label"] for r in rows})

@@ -129,6 +129,12 @@ def test_language_of_unseen_texts(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in crc.items())
 
 
+def test_language_sample_holds_rare_labels(spark):
+    rows = [(i, speak(i, ("th", "e", "ing", "wh"), 6), "en") for i in range(3000)] + [(5000 + i, speak(i, ("sch", "ü", "ei", "ß"), 60), "de") for i in range(4)] + [(9000, "owo uwu", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(df, windows=400).labels == ["de", "en", "xx"]
+
+
 # ---- 3: fingerprints
 
 
