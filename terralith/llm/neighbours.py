@@ -7,7 +7,8 @@ nodes each); a home learns which vectors its nodes' comparisons need and gets ea
 within a task before they travel, so that a task sends a node DEGREE of them at most.
 
 Queries walk the graph greedily from their own node: the best nodes of a query's pool that were not yet
-expanded give their neighbours, whose inner products are computed, until no better node is met.
+expanded give their neighbours, whose inner products are computed, until no better node is met. Each walk ends by
+itself, when every node of its pool is expanded; only the others go on.
 
 Vectors of different length are lifted by one component to equal length for the graph (the usual reduction of
 inner product search); scores are inner products of the original vectors in double precision.
@@ -21,6 +22,7 @@ matter, k + 1 of them. An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import U64, checkpoint, mix, release
 
-DEGREE, SAMPLE, ROUNDS, SETTLED = 48, 24, 10, 0.05
+DEGREE, SAMPLE, ROUNDS, SETTLED = 48, 24, 10, 0.002
 HOME_NODES, BLOCK, TREES = 6000, 256, 3
 #: Bound of the sample that places the hyperplanes.
 FIT_SAMPLE = 10_000
-POOL, BEAM, STEPS = 128, 64, 8
-#: Entry points of every walk besides its own node; walks end when fewer than CHANGED of them still improve their first WATCHED.
-ENTRIES, WATCHED, CHANGED = 64, 20, 0.02
+POOL, BEAM = 128, 64
+#: Entry points of every walk besides its own node.
+ENTRIES = 64
 SEED = 5
 STATE = "home int, id long, vec binary, ids binary, sims binary, fresh binary"
 _STATE = pa.schema([("home", pa.int32()), ("id", pa.int64()), ("vec", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("fresh", pa.binary())])
@@ -357,7 +359,7 @@ def longest_nodes(state: DataFrame) -> list[int]:
 def search(state: DataFrame, queries: DataFrame, homes: int) -> DataFrame:
     """Greedy walks: (query, ids) with the POOL nearest nodes met from the query's own node and the entry points on."""
     entries = np.array(sorted(longest_nodes(state)), dtype="<i8")
-    pool = "home int, query long, vec binary, ids binary, sims binary, done binary, changed int"
+    pool = "home int, query long, vec binary, ids binary, sims binary, done binary, open int"
     names = [x.split()[0] for x in pool.split(", ")]
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,26 +405,28 @@ def search(state: DataFrame, queries: DataFrame, homes: int) -> DataFrame:
             done = done.copy()
             done[go] = 1
             s = x[np.searchsorted(vid, met)] @ vec if len(met) else np.zeros(0, np.float32)
-            before = set(ids[known][:WATCHED].tolist())
             ids, sims, done = np.r_[ids[known], met], np.r_[sims[known], s], np.r_[done[known], np.isin(met, seeds).astype("u1")]
             top = np.lexsort((ids, -sims))[:POOL]
-            out_c.append(int(set(ids[top][:WATCHED].tolist()) != before))
+            out_c.append(int((done[top] == 0).any()))
             out_i.append(ids[top].tobytes())
             out_s.append(sims[top].astype("<f4").tobytes())
             out_d.append(done[top].astype("u1").tobytes())
         return pa.table([left.column("home"), left.column("query"), left.column("vec"), *(pa.array(c, pa.binary()) for c in (out_i, out_s, out_d)), pa.array(out_c, pa.int32())], names=names)
 
     now = checkpoint(state.join(queries, "id", "left_semi").mapInArrow(start, pool))
-    for _ in range(STEPS):
+    ended = []
+    while True:  # pools only improve, and each walk expands a node at least
         near = now.groupBy("home").applyInArrow(asks, REQUEST).groupBy("home").cogroup(state.groupBy("home")).applyInArrow(give_lists, REPLY)
         wanted = near.groupBy("home").applyInArrow(reached, REQUEST)
         vectors = wanted.groupBy("home").cogroup(state.groupBy("home")).applyInArrow(give_vectors, REPLY)
         given = near.withColumn("what", F.lit(0)).unionByName(vectors.withColumn("what", F.lit(1)))
         now = checkpoint(now.groupBy("home").cogroup(given.groupBy("home")).applyInArrow(step, pool))
+        ended.append(now.filter("open = 0").select("query", "ids"))
+        now = now.filter("open = 1")
         release(state.sparkSession)
-        if (now.agg(F.avg("changed")).first()[0] or 0) < CHANGED:
+        if not now.limit(1).count():
             break
-    return now.select("query", "ids")
+    return reduce(DataFrame.unionByName, ended)
 
 
 def nearest(table: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

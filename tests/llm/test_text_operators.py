@@ -302,6 +302,21 @@ def test_neighbours_find_the_nearest(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_every_walk_goes_on_until_no_better_node_is_met(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2500, 48)).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    nodes = neighbours.distinct_vectors(neighbours.usable(df, "vec_id", "embedding"), 20)
+    state, homes = neighbours.build(nodes, len(x), float(np.linalg.norm(x, axis=1).max()))
+    graph_of = {r["id"]: np.frombuffer(r["ids"], "<i8") for r in state.select("id", "ids").collect()}
+    pools = neighbours.search(state, nodes.filter("id % 10 = 0").select("id"), homes).collect()
+    assert sorted(r["query"] for r in pools) == list(range(0, 2500, 10))
+    for r in pools:
+        pool = np.frombuffer(r["ids"], "<i8")
+        met = np.setdiff1d(np.concatenate([graph_of[i] for i in pool.tolist()]), np.r_[pool, r["query"]])
+        assert len(pool) >= neighbours.POOL and (x[met] @ x[r["query"]] <= (x[pool] @ x[r["query"]]).min() + 1e-4).all()
+
+
 # ---- 7: substring dedup
 
 
