@@ -323,8 +323,8 @@ def anomaly(grid: DataFrame, full: Forest, baseline: Forest) -> DataFrame:
 STRATUM_SCHEMA = "stratum string, n_a int, n_b int, skipped boolean, r2 double, rmse double, ci_low double, ci_high double, excludes_zero boolean, top_feature string"
 
 
-def stratified_transfer(df: DataFrame, stratum: str, is_test: Column, features: list[str], target: str, params: Params, least_a: int = 80, least_b: int = 30, replicates: int = 1000) -> DataFrame:
-    """In each stratum: fit on one region, score the other, bootstrap the fit; strata with too little support are skipped."""
+def stratified_transfer(df: DataFrame, stratum: str, is_test: Column, features: list[str], target: str, params: Params, least_a: int = 80, least_b: int = 30, replicates: int = 1000, pooled: str | None = None) -> DataFrame:
+    """In each stratum: fit on one region, score the other, bootstrap the fit; strata with too little support are skipped. `pooled` names a further row, of all strata together."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["stratum"].iloc[0]
@@ -342,7 +342,9 @@ def stratified_transfer(df: DataFrame, stratum: str, is_test: Column, features:
         names = [x.split()[0] for x in STRATUM_SCHEMA.split(", ")]
         return pd.DataFrame({n: pd.Series([row.get(n)], dtype=object) for n in names})
 
-    rows = df.select(F.col(stratum).cast("string").alias("stratum"), is_test.alias("test"), target, *features).filter("stratum is not null and test is not null")
+    rows = df.select(F.col(stratum).cast("string").alias("stratum"), is_test.alias("test"), target, *features).filter("test is not null")
+    every = rows.withColumn("stratum", F.lit(pooled)) if pooled is not None else rows.limit(0)
+    rows = rows.filter("stratum is not null").unionByName(every)
     return rows.groupBy("stratum").applyInPandas(one, STRATUM_SCHEMA)
 
 

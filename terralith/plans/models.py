@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import climate, geo, scalar
@@ -11,8 +13,9 @@ from .views import view
 
 FEATURES = ["bio01", "bio04", "bio05", "bio06", "bio12", "bio14", "bio15", "bio17"]
 BASE = ["bio01", "bio04", "bio12", "bio14", "bio15"]
-#: Fewer rounds than the published settings: the queries show the operators on test tables.
-QUICK = models.Params(n_estimators=40, min_child_weight=4)
+#: The published settings of the climate features and of the baseline.
+FULL = models.CONFIGS["F_climate_only"][1]
+BASELINE = models.BASELINE_PARAMS
 
 
 def climate_columns(df):
@@ -57,7 +60,7 @@ def _(spark, sf):
 @query("tree_sweep")
 def _(spark, sf):
     t = training(spark, sf)
-    configs = {"climate": (tuple(FEATURES), QUICK), "baseline": (tuple(BASE), QUICK), "early": (tuple(FEATURES), models.Params(n_estimators=60, early_stopping=10))}
+    configs = {"climate": (tuple(FEATURES), FULL), "baseline": (tuple(BASE), BASELINE), "early": (tuple(FEATURES), replace(FULL, early_stopping=10))}
     return models.sweep(t.filter("region = 'asia'"), stats.fold_ids(t), "log_rs", configs, t.filter("region = 'us'"))
 
 
@@ -65,20 +68,20 @@ def _(spark, sf):
 def _(spark, sf):
     t = training(spark, sf).filter("region <> 'other'")
     zone = climate.zone_letter(F.col("bio05"), F.col("bio06"), F.col("bio12"), F.col("bio14"))
-    return models.stratified_transfer(t.withColumn("zone", zone), "zone", F.col("region") == "us", FEATURES, "log_rs", QUICK, 20, 10, 200)
+    return models.stratified_transfer(t.withColumn("zone", zone), "zone", F.col("region") == "us", FEATURES, "log_rs", FULL, 20, 10, pooled="all_zones")
 
 
 @query("tree_attributions")
 def _(spark, sf):
     t = training(spark, sf)
-    model = models.fit(t.filter("region = 'asia'"), FEATURES, "log_rs", QUICK)
+    model = models.fit(t.filter("region = 'asia'"), FEATURES, "log_rs", FULL)
     return models.importance_ranks(models.attribute(ingest.exact_sample(t, "rec", 2000), model, ["rec"]))
 
 
 @query("anomaly_grid")
 def _(spark, sf):
     t = training(spark, sf).filter("region = 'asia'")
-    full, base = models.fit(t, FEATURES, "log_rs", QUICK), models.fit(t, BASE, "log_rs", QUICK)
+    full, base = models.fit(t, FEATURES, "log_rs", FULL), models.fit(t, BASE, "log_rs", BASELINE)
     return models.anomaly(grid(spark), full, base).select("row", "col", "longitude", "latitude", "log_rs_pred", "log_rs_climate", "rs_pred", "anomaly")
 
 
@@ -86,13 +89,13 @@ def _(spark, sf):
 def _(spark, sf):
     zone = climate.zone_letter(F.col("bio05"), F.col("bio06"), F.col("bio12"), F.col("bio14"))
     t = training(spark, sf).withColumn("zone", zone)
-    return models.zone_predictions(t, grid(spark).withColumn("zone", zone), "zone", FEATURES, "log_rs", ["row", "col"], QUICK)
+    return models.zone_predictions(t, grid(spark).withColumn("zone", zone), "zone", FEATURES, "log_rs", ["row", "col"], FULL)
 
 
 @query("region_models")
 def _(spark, sf):
     t = training(spark, sf).filter("region <> 'other'")
-    trees = models.fit_groups(t, "region", FEATURES, "log_rs", QUICK)
+    trees = models.fit_groups(t, "region", FEATURES, "log_rs", FULL)
     return trees.groupBy("region").agg(F.countDistinct("tree").alias("n_trees"), F.count("*").alias("n_nodes"), F.first("base").alias("base"))
 
 
@@ -101,7 +104,7 @@ def _(spark, sf):
     from ..operators.neighbours import nearest_reference
 
     t = training(spark, sf).filter("region = 'asia'")
-    full, base = models.fit(t, FEATURES, "log_rs", QUICK), models.fit(t, BASE, "log_rs", QUICK)
+    full, base = models.fit(t, FEATURES, "log_rs", FULL), models.fit(t, BASE, "log_rs", BASELINE)
     cells = models.anomaly(grid(spark), full, base).withColumn("cell", F.col("row") * 1000 + F.col("col"))
     wide = models.attribute(cells, full, ["cell"]).groupBy("cell").pivot("feature", FEATURES).agg(F.first("value"))
     cells = cells.join(wide.select("cell", *[F.col(f).alias(f"phi_{f}") for f in FEATURES]), "cell")

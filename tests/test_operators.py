@@ -180,6 +180,16 @@ def test_stratum_attributions_take_every_row(spark):
     assert [(r["n_a"], r["n_b"], r["top_feature"]) for r in got] == [(2000, 60, "b")]
 
 
+def test_pooled_stratum_and_published_settings(spark):
+    from terralith.plans import models as plans
+
+    rows = [(z, float(k % 7), float(k % 7) + (z == "q"), k % 3 == 0) for z in ("p", "q", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "zone string, a double, y double, us boolean")
+    got = models.stratified_transfer(df, "zone", F.col("us"), ["a"], "y", models.Params(n_estimators=5), 20, 10, 20, pooled="all").collect()
+    assert {r["stratum"]: (r["n_a"], r["n_b"]) for r in got} == {"p": (40, 20), "q": (40, 20), "all": (120, 60)}
+    assert plans.FULL == models.CONFIGS["F_climate_only"][1] and plans.BASELINE == models.BASELINE_PARAMS
+
+
 def test_ridge_matches_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(100, 3)) * [1, 5, 0.1] + [3, 2, 1]
