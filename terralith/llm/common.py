@@ -51,6 +51,50 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of a sample for each piece that it cuts, and pieces at most.
+SAMPLED, MOST_PIECES = 4, 65_536
+
+
+def sortable(number: Column) -> Column:
+    """A long as 17 characters in the order of the numbers, null first."""
+    return F.when(number.isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0")))
+
+
+def cut_points(rows: DataFrame, key: Column, pieces: int) -> list[str]:
+    """Keys (strings without a comma) that cut the rows in the order of the key into about so many even pieces, whatever its distribution.
+
+    They come from a sample by hash of SAMPLED keys for each piece, MOST_PIECES pieces at most. Ties are not cut.
+    """
+    pieces = min(pieces, MOST_PIECES)
+    if pieces < 2:
+        return []
+    keys = rows.select(key.alias("k"))
+    n = keys.count()
+    share = min(1.0, SAMPLED * pieces / max(1, n))
+    # the number of the row in the scan spreads the sample over ties too; the sample only places the cuts
+    some = keys.filter(F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("k").limit(2 * SAMPLED * MOST_PIECES).collect()
+    return sorted({some[i * len(some) // pieces]["k"] for i in range(1, pieces)}) if some else []
+
+
+def piece_of(key: Column, cuts: list[str]) -> Column:
+    """How many of the sorted cuts are not above the key, by binary search in a constant array."""
+    if not cuts:
+        return F.lit(0)
+    known, steps = F.split(F.lit(",".join(cuts)), ","), F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= key, at + step).otherwise(at))
+
+
 def words_of(text: Column) -> Column:
     """array<string>: the words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATOR), lambda w: w != "")

@@ -3,35 +3,38 @@
 Texts are sets of word shingles (five words). Equal texts are joined first, so that everything after works on
 distinct texts. Min-hash values are cut into bands; texts that share a band are candidates. For these the
 values are compared a few at a time, and a pair is dropped as soon as the posterior probability (uniform prior)
-that its similarity reaches the threshold falls below a tolerance. What is left spans candidate components,
-within which similarities are computed exactly on the shingle sets.
+that its similarity reaches the threshold falls below a tolerance. The pairs that are left, and no others, are
+verified exactly on their shingle sets.
 
-Groups are cut into chunks, and a task meets two chunks at most, whatever the group's size. No pair is ever a
-row: tasks return link counts of documents and edges that span their block.
+The members of a band are cut into chunks, and a task meets two chunks at most, whatever the band's size. No pair
+is ever a row: a block's surviving pairs travel as one packed row, a text's set goes once to each block that
+has a surviving pair of it, and verification returns link counts and edges that span the block.
+
+Equal texts are told by two 64-bit hashes and the length. Shingles are 64-bit hashes of their words.
 
 Cases: a null or empty text has no shingle and no link, and is a class of its own. A text of one to four words
-has one shingle, all its words. Rows that repeat id and text count as copies. A null id is larger than any.
-Empty tables give empty tables. Only the id and the text are read.
+has one shingle, all its words; very long texts are compared whole. Rows that repeat id and text count as copies. A
+null id is larger than any, and stays null. Empty tables give empty tables. Only the id and the text are read;
+one_of_each returns all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, U64, checkpoint, give_back, mix, partitions, shingles, slices, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, U64, checkpoint, give_back, mix, partitions, shingles, slices, unused, word_hashes
 from .graph import components
 
 HASHES, BANDS, BAND_ROWS, STEP = 128, 20, 3, 16
 TOLERANCE = 1e-6
-#: Texts of one chunk of a candidate bucket, and of a component (whose shingle sets travel along).
-BUCKET_CHUNK, SET_CHUNK = 512, 256
-NO_ID = 2**63 - 1
+#: Texts of one chunk of a band's members, and shingles (with repeats) of one.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 _RNG = np.random.default_rng(20_240_229)
 _XOR = _RNG.integers(0, 2**63, HASHES, dtype=np.int64).astype(U64)
 _MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -155,49 +158,58 @@ def pairs_in(chunk: np.ndarray, first: int, i: int, j: int) -> tuple[np.ndarray,
     return a + first, b + first
 
 
-def in_blocks(rows: DataFrame, key: str, size: Column, chunk: int, item: str) -> DataFrame:
-    """Deals the members of each group to blocks (key, bi, bj) of one or two chunks; sorted by block within partitions."""
-    chunks = F.greatest(F.lit(1), F.ceil(size / chunk)).cast("int")
-    dealt = rows.withColumn("_n", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), item), F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("bi", F.least("chunk", "_o")).withColumn("bj", F.greatest("chunk", "_o")).drop("_o", "_n")
-    return dealt.repartition(partitions(rows.sparkSession), key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes of a text: `node`, its vertex in the graph, and `check`, which tells texts of one vertex apart."""
+    return [F.xxhash64(text).alias("node"), F.xxhash64(F.lit(17), F.length(text), text).alias("check")]
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), *text_keys(text), text.alias("text"))
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, size, sig): node is a 64-bit hash of the text, size the number of shingles with repeats."""
+    """(id, node, check, size, sig): size is the number of shingles with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            sig_bounds, hashes = shingles(*word_hashes(batch.column(2)), SHINGLE_WORDS)
+            sig_bounds, hashes = shingles(*word_hashes(batch.column(3)), SHINGLE_WORDS)
             sig = signatures(sig_bounds, hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(sig_bounds), pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "node", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(sig_bounds), pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "node", "check", "size", "sig"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "id long, node long, size long, sig binary")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "id long, node long, check long, size long, sig binary")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+def distinct_texts(signed: DataFrame) -> DataFrame:
+    """(vertex, node, check, least, copies, size, sig) of each different text. Where texts share a node, their vertices come from both hashes."""
+    texts = checkpoint(signed.groupBy("node", "check").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig")))
+    shared = texts.groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1")
+    if not shared.limit(1).count():
+        return texts.withColumn("vertex", F.col("node"))
+    return checkpoint(texts.join(shared, "node", "left").withColumn("vertex", F.when(F.col("_n").isNull(), F.col("node")).otherwise(F.xxhash64("node", "check"))).drop("_n"))
+
+
+BLOCK = "key long, bi int, bj int"
 
 
-def candidate_edges(texts: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges that span the pairs of distinct texts that share a band and survive the pruning."""
+def candidates(texts: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(key, bi, bj, vertices, pairs): the pairs of texts that share a band and survive the pruning, one row for each block of two chunks; pairs are packed places in vertices."""
     least = least_matches(threshold, tolerance)
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
             keys = band_keys(sig)
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS)), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(node)))], names=["node", "key", "band"])
+            node, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS)), pa.array(np.repeat(size, BANDS)), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(node)))], names=["vertex", "size", "key", "band"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["key", "bi", "bj"]):
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
             keys = band_keys(sig)
-            node, band, chunk, bi, bj = (table.column(c).to_numpy() for c in ("node", "band", "chunk", "bi", "bj"))
+            vertex, band, chunk, key, bi, bj = (table.column(c).to_numpy() for c in ("vertex", "band", "chunk", "key", "bi", "bj"))
             bounds = group_bounds(table, ["key", "bi", "bj"])
-            edges: list[tuple[int, int]] = []
+            left: list[tuple[np.ndarray, np.ndarray]] = []
             some: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
             for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -207,18 +219,32 @@ def candidate_edges(texts: DataFrame, threshold: float, tolerance: float) -> Dat
                     a, b = (np.concatenate(x) for x in zip(*some, strict=True))
                     some, held = [], 0
                     for at in range(0, len(a), 50_000):
-                        pa_, pb = a[at : at + 50_000], b[at : at + 50_000]
-                        owned = (keys[pa_] == keys[pb]).argmax(axis=1) == band[pa_]  # a pair counts in the first band it shares
-                        pa_, pb = pa_[owned], pb[owned]
-                        left = prune(sig, pa_, pb, least)
-                        edges += spanning(node[pa_[left]], node[pb[left]])
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+                        x, y = a[at : at + 50_000], b[at : at + 50_000]
+                        owned = (keys[x] == keys[y]).argmax(axis=1) == band[x]  # a pair counts in the first band it shares
+                        x, y = x[owned], y[owned]
+                        kept = prune(sig, x, y, least)
+                        left.append((x[kept], y[kept]))
+            if not left:
+                continue
+            a, b = (np.concatenate(x) for x in zip(*left, strict=True))
+            block = np.searchsorted(bounds, a, side="right") - 1
+            cut = np.searchsorted(block, np.arange(len(bounds)))
+            rows = []
+            for k in np.unique(block).tolist():
+                at, pair = np.unique(np.c_[a[cut[k] : cut[k + 1]], b[cut[k] : cut[k + 1]]], return_inverse=True)
+                f = bounds[k]
+                rows.append((int(key[f]), int(bi[f]), int(bj[f]), vertex[at].tolist(), pair.astype("<u2").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["key", "bi", "bj", "vertices", "pairs"])
 
-    banded = texts.select("node", "sig").mapInArrow(bands, "node long, key long, band int")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = banded.join(shared, "key").join(texts.select("node", "sig"), "node")
-    return in_blocks(members, "key", F.col("n"), BUCKET_CHUNK, "node").select("key", "bi", "bj", "node", "band", "chunk", "sig").mapInArrow(compare, "a long, b long")
+    banded = texts.select("vertex", "size", "sig").mapInArrow(bands, "vertex long, size long, key long, band int")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).filter("n > 1")
+    members = banded.drop("size").join(shared, "key").join(texts.select("vertex", "sig"), "vertex")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    dealt = members.withColumn("_n", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "vertex"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("bi", F.least("chunk", "_o")).withColumn("bj", F.greatest("chunk", "_o"))
+    dealt = dealt.select("key", "bi", "bj", "vertex", "band", "chunk", "sig").repartition(partitions(texts.sparkSession), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return dealt.mapInArrow(compare, f"{BLOCK}, vertices array<long>, pairs binary")
 
 
 def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,21 +266,31 @@ def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return np.rint(out[a, b]).astype(np.int64)
 
 
-def verify(members: DataFrame, threshold: float) -> DataFrame:
-    """Exact links within candidate components: edges (a, b) that span them, and rows (a, null, documents, texts) that count a's links."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(vertex, copies, set): each text's distinct shingle hashes in order, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["root", "bi", "bj"]):
-            node, chunk, bi, bj, copies = (table.column(c).to_numpy() for c in ("node", "chunk", "bi", "bj", "copies"))
-            raw = table.column("text").combine_chunks()
-            raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-            to, hashes = shingles(*word_hashes(raw), SHINGLE_WORDS)
-            bounds = group_bounds(table, ["root", "bi", "bj"])
+        for batch in slices(batches):
+            to, hashes = shingles(*word_hashes(batch.column(2)), SHINGLE_WORDS)
+            sets = [np.unique(hashes[x:y]).tobytes() for x, y in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["vertex", "copies", "set"])
+
+    return texts.select("vertex", "copies", "text").mapInArrow(run, "vertex long, copies long, set binary")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Exact links among the candidate pairs: edges (a, b) that span them, and rows (a, null, documents, texts) that count a's links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["key", "bi", "bj"]):
+            vertex, copies = (table.column(c).to_numpy() for c in ("vertex", "copies"))
+            data = table.column("data").to_pylist()
+            bounds = group_bounds(table, ["key", "bi", "bj"])
             rows: list[tuple] = []
             for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                sets = [np.unique(hashes[to[k] : to[k + 1]]) for k in range(first, last)]
+                a, b = np.frombuffer(data[first], "<u2").astype(np.int64).reshape(-1, 2).T  # the block's pairs come first
+                sets = [np.frombuffer(x, U64) for x in data[first + 1 : last]]
                 size = np.array([len(s) for s in sets])
-                a, b = pairs_in(chunk[first:last], 0, bi[first], bj[first])
                 near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
                 a, b = a[near], b[near]
                 if not len(a):
@@ -262,53 +298,61 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
                 both = common_counts(sets, a, b)
                 linked = both >= threshold * (size[a] + size[b] - both) - 1e-9
                 a, b = a[linked], b[linked]
-                own, many = node[first:last], copies[first:last]
-                texts = np.bincount(np.r_[a, b], minlength=last - first)
-                documents = np.bincount(np.r_[a, b], weights=np.r_[many[b], many[a]], minlength=last - first)
+                own, many = vertex[first + 1 : last], copies[first + 1 : last]
+                texts = np.bincount(np.r_[a, b], minlength=len(own))
+                documents = np.bincount(np.r_[a, b], weights=np.r_[many[b], many[a]], minlength=len(own))
                 rows += [(int(own[k]), None, int(documents[k]), int(texts[k])) for k in np.flatnonzero(texts)]
                 rows += [(x, y, 0, 0) for x, y in spanning(own[a], own[b])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "documents", "texts"])
 
-    return members.select("root", "bi", "bj", "node", "chunk", "copies", "text").mapInArrow(run, "a long, b long, documents long, texts long")
+    block = ["key", "bi", "bj"]
+    members = pairs.select(*block, F.posexplode("vertices").alias("at", "vertex")).join(sets, "vertex").select(*block, "at", "vertex", "copies", F.col("set").alias("data"))
+    heads = pairs.select(*block, F.lit(-1).alias("at"), F.lit(0).cast("long").alias("vertex"), F.lit(0).cast("long").alias("copies"), F.col("pairs").alias("data"))
+    dealt = members.unionByName(heads).repartition(partitions(pairs.sparkSession), *block).sortWithinPartitions(*block, "at")
+    return dealt.mapInArrow(run, "a long, b long, documents long, texts long")
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
     """One row for each document: doc_id, class_id (the smallest id linked to it by any chain), copy_of (the smallest id of the same text), n_links (documents of similarity >= threshold, copies too), n_text_links (different texts), text_hash, and stays: true for the rows of one document of each class."""
-    signed = sign(docs, id_col, text_col)
-    texts = checkpoint(signed.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig")))
+    texts = distinct_texts(sign(docs, id_col, text_col))
     full = texts.filter("size > 0")
-    roots = components(candidate_edges(full, threshold, tolerance))
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    # one row for each distinct text: among copies, the row of the smallest id
-    in_group = roots.join(sizes, "root").join(full.select("node", "least", "copies"), "node")
-    with_text = keyed(docs, id_col, text_col).join(in_group.withColumnRenamed("least", "id"), ["node", "id"]).dropDuplicates(["node"])
-    found = checkpoint(verify(in_blocks(with_text, "root", F.col("n"), SET_CHUNK, "node"), threshold))
-    final = components(found.filter("b is not null").select("a", "b"))
-    links = found.filter("b is null").groupBy("a").agg(F.sum("documents").alias("documents"), F.sum("texts").alias("texts")).withColumnRenamed("a", "node")
-    placed = full.select("node", "least", "copies").join(final, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = placed.groupBy("root").agg(F.min(F.struct("least", "node")).alias("first"))
+    pairs = checkpoint(candidates(full, threshold, tolerance))
+    # one row for each distinct text that is in a pair: among copies, a row of the smallest id
+    asked = pairs.select(F.explode("vertices").alias("vertex")).distinct().join(full.select("vertex", "node", "check", "least", "copies"), "vertex")
+    own = keyed(docs, id_col, text_col)
+    same = (own["node"] == asked["node"]) & (own["check"] == asked["check"]) & own["id"].eqNullSafe(asked["least"])
+    with_text = own.join(asked, same).select("vertex", "copies", "text").dropDuplicates(["vertex"])
+    found = checkpoint(verify(pairs, shingle_sets(with_text), threshold))
+    final = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "vertex")
+    links = found.filter("b is null").groupBy(F.col("a").alias("vertex")).agg(F.sum("documents").alias("documents"), F.sum("texts").alias("texts"))
+    placed = full.select("vertex", "node", "check", "least", "copies").join(final, "vertex", "left").join(links, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    # null ids come last
+    classes = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "vertex")).alias("first"))
     known = placed.join(classes, "root").select(
-        "node", F.col("first.least").alias("class_id"), F.col("least").alias("copy_of"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.col("first.node") == F.col("node")).alias("leads"),
+        "node", "check", F.col("first.least").alias("class_id"), F.col("least").alias("copy_of"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.col("first.vertex") == F.col("vertex")).alias("leads"),
     )
-    own = keyed(docs, id_col, text_col).select("id", "node")
-    out = own.join(known, "node", "left")
-    real = lambda c: F.when(c != NO_ID, c)
+    out = own.select("id", "node", "check").join(known, ["node", "check"], "left")
+    alone = F.col("leads").isNull()  # a text without words
     return out.select(
-        real(F.col("id")).alias("doc_id"),
-        real(F.coalesce("class_id", "id")).alias("class_id"),
-        real(F.coalesce("copy_of", "id")).alias("copy_of"),
+        F.col("id").alias("doc_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
         F.col("node").alias("text_hash"),
-        F.coalesce(F.col("leads") & (F.col("id") == F.col("class_id")), F.lit(True)).alias("stays"),
+        F.col("check").alias("text_check"),
+        (alone | (F.col("leads") & F.col("id").eqNullSafe(F.col("class_id")))).alias("stays"),
     )
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay when each class keeps one document, that of the smallest id; of rows that repeat id and text one stays."""
-    stays = jaccard_join(docs, id_col=id_col, text_col=text_col, **options).filter("stays").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_hash", F.xxhash64(text))
-    return rows.join(stays, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    own, node, check = names = unused(docs, "_id", "_node", "_check")
+    joined = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
+    stays = joined.filter("stays").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_node"), F.col("text_check").alias("stay_check")).distinct()
+    hashes = text_keys(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select("*", F.col(id_col).cast("long").alias(own), *[h.alias(n) for h, n in zip(hashes, (node, check), strict=True)])
+    same = rows[own].eqNullSafe(stays["stay_id"]) & (rows[node] == stays["stay_node"]) & (rows[check] == stays["stay_check"])
+    return rows.join(stays, same, "left_semi").dropDuplicates(names).drop(*names)
