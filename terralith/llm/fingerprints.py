@@ -5,8 +5,9 @@ Sketches of parts merge into the sketch of the whole, and estimate resemblance (
 number of distinct shingles. Where a text has no more than k shingles, all of these are exact.
 
 Cases: a null text counts as empty. A text of one to four words has one shingle, all its words; an empty one
-has an empty sketch. Two empty sketches are alike (1), an empty and a full one are not (0). Equal texts have
-equal sketches. Other columns are not read.
+has an empty sketch; very long texts are sketched whole. Two empty sketches are alike (1), an empty and a full one are
+not (0). Equal texts have equal sketches, repeated rows equal rows. Ids may be any long; null ids come last and stay
+null. A single document is its own next one; an empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, words_of
+from .common import SHINGLE_WORDS, cut_points, piece_of, sortable, unused, words_of
 
 K = 128
-#: Neighbour search: rows of one id range, and ranges at most (the table of range tops is broadcast; it has this many rows at most).
-RANGE_ROWS, MOST_RANGES = 512, 65_536
+#: Neighbour search: rows of one range of ids (there are common.MOST_PIECES ranges at most; the table of their tops is broadcast), and the characters of a tie that ranges tell apart.
+RANGE_ROWS, TIE_CHARS = 512, 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,24 +90,22 @@ def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", ti
 
     enrich adds columns to the rows before they are carried; it is applied once, after the range tops are picked.
 
-    Ids are cut into ranges that are sorted apart. The top of each range is added to the range above it, so that
-    one shuffle of the rows is enough and no task sees more than a range.
+    Rows are cut into even ranges of (id, tie) that are sorted apart. The top of each range is added to the range
+    above it, so that one shuffle of the rows is enough and no task sees more than a range.
     """
-    bounds = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = int(bounds["lo"] or 0), int(bounds["hi"] or 0)
-    ranges = max(1, min(MOST_RANGES, -(-bounds["n"] // RANGE_ROWS)))
-    width = max(1, -(-(hi - lo + 1) // ranges))
-    at = F.coalesce(F.col(id_col), F.lit(lo - 1))
-    rows = docs.withColumn("_at", at).withColumn("_range", F.floor((at - lo) / width).cast("long"))
-    order = Window.orderBy(F.col("_range").asc())  # over one row for each range: MOST_RANGES + 1 at most
-    tops = docs.select(at.alias("_at")).groupBy(F.floor((F.col("_at") - lo) / width).cast("long").alias("_range")).agg(F.max("_at").alias("_at"))
-    above = tops.select("_at", F.coalesce(F.lead("_range").over(order), F.first("_range").over(order)).alias("_up"))
-    ghosts = rows.join(F.broadcast(above), "_at").withColumn("_range", F.col("_up")).drop("_up")
-    every = enrich(rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.lit(1))))
-    w = Window.partitionBy("_range").orderBy(F.col("_ghost"), F.col("_at").desc(), F.col(tie).desc())
+    key, range_, ghost, up = unused(docs, "_key", "_range", "_ghost", "_up")
+    at = F.concat(sortable(F.col(id_col).cast("long")), F.hex(F.encode(F.substring(F.coalesce(F.col(tie), F.lit("")), 1, TIE_CHARS), "UTF-8")))
+    cuts = cut_points(docs, at, -(-docs.count() // RANGE_ROWS))
+    rows = docs.withColumn(key, at).withColumn(range_, piece_of(F.col(key), cuts))
+    tops = docs.select(at.alias(key)).groupBy(piece_of(F.col(key), cuts).alias(range_)).agg(F.max(key).alias(key))
+    order = Window.orderBy(F.col(range_).asc())  # over one row for each range: common.MOST_PIECES at most
+    above = tops.select(key, F.coalesce(F.lead(range_).over(order), F.first(range_).over(order)).alias(up))
+    ghosts = rows.join(F.broadcast(above), key).withColumn(range_, F.col(up)).drop(up)
+    every = enrich(rows.withColumn(ghost, F.lit(0)).unionByName(ghosts.withColumn(ghost, F.lit(1))))
+    w = Window.partitionBy(range_).orderBy(F.col(ghost), F.col(id_col).desc_nulls_last(), F.col(tie).desc())
     for c in carried:
         every = every.withColumn(prefix + c, F.lead(c).over(w))
-    return every.filter("_ghost = 0").drop("_at", "_range", "_ghost")
+    return every.filter(F.col(ghost) == 0).drop(key, range_, ghost)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
