@@ -1,16 +1,20 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source's documents, in an order given by a hash, form one sequence of words that is cut into blocks. A
-source's target gives the exact number of blocks to draw, its quota. A binary tree over the output shards
-splits the vector of quotas: at each node the left half's share of every source is one multivariate-
-hypergeometric draw, seeded by the node's place, so that any worker can walk any path of the tree alone. A
-shard thus owns a range of each source's permuted draws; ranges are disjoint, and a block comes again only
+source's target gives the exact number of draws, its quota; the last draw takes only the words that the target
+still asks for. A binary tree over the output shards splits the vector of quotas: at each node the left half's
+share of every source is one multivariate-hypergeometric draw, seeded by the node's place, so that any worker can
+walk any path of the tree alone. The tree gives each shard its own range of each source's draws, and a draw's block
+is its place under a keyed permutation of the source's blocks: ranges are disjoint, and a block comes again only
 after the whole source was drawn. Within a shard the pieces are ordered by a hash.
 
-Cases: a null or empty text has size 0 and is never drawn. A null source is a source of its own, the last.
-A source without words has target 0. Repeated rows each hold their own words. An empty table gives an empty
-table. Only the named columns are read. Sources are metadata: their table, one row each, goes to the driver
-and is refused beyond MOST_SOURCES.
+Blocks are long (BLOCK_WORDS), so that few documents are cut: those at the edge of a drawn and an undrawn block.
+
+Cases: a null or empty text has size 0 and is never drawn; a very long text spans many blocks. A null source is a
+source of its own, the last. A source without words has target 0. Repeated rows each hold their own words; null ids
+stay null. An empty table gives an empty table. Only the named columns are read; assemble returns all columns,
+whatever their names. Sources are metadata: their table, one row each, goes to the driver and is refused beyond
+MOST_SOURCES.
 """
 
 from __future__ import annotations
@@ -20,15 +24,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, words_of
+from .common import U64, checkpoint, mix as mix64, words_of
 
 SHARE, MOST_REPEATS = 1.5, 2.0
 WEIGHTS = (3.0, 1.0, 2.0)
-BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 2048, 1024, 1 << 28
+BLOCK_WORDS, MOST_BLOCKS = 2048, 1 << 28
 SHARD_BLOCKS = 4096
 MOST_SOURCES = 100_000
 BUCKET_ROWS, MOST_BUCKETS = 512, 65_536
@@ -48,9 +52,24 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
         capped = [c or o for c, o in zip(capped, over, strict=True)]
 
 
+def permuted(block: np.ndarray, blocks: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A keyed permutation of the numbers below `blocks`: four Feistel rounds, walked on while the result lies beyond."""
+    half = np.array([max(1, (int(n - 1).bit_length() + 1) // 2) for n in np.unique(blocks)], dtype=U64)[np.unique(blocks, return_inverse=True)[1]]
+    out, todo = block.astype(U64), np.arange(len(block))
+    while len(todo):
+        h, k = half[todo], key[todo].astype(U64)
+        low, x = (U64(1) << h) - U64(1), out[todo]
+        left, right = x >> h, x & low
+        for turn in range(4):
+            left, right = right, left ^ (mix64(right ^ mix64(k + U64(turn + 1))) & low)
+        out[todo] = left << h | right
+        todo = todo[out[todo] >= blocks[todo].astype(U64)]
+    return out.astype(np.int64)
+
+
 @dataclass
 class Plan:
-    """What the draw depends on: for each source its size, target, block length, number of blocks, quota and permutation."""
+    """What the draw depends on: for each source its size, target, block length, number of blocks, quota, key, and the words that its last draw takes."""
 
     names: list[str | None]
     sizes: list[int]
@@ -58,8 +77,8 @@ class Plan:
     block: list[int]
     blocks: list[int]
     quota: list[int]
-    factor: list[int]
-    shift: list[int]
+    last: list[int]
+    key: list[int]
     shards: int
     seed: int
 
@@ -86,23 +105,40 @@ class Plan:
         return out
 
 
+def quota_of(size: int, block: int, words: int, place: int) -> tuple[int, int]:
+    """Draws that take so many words, and the words of the last one. `place` is the turn, within each pass, of the source's last and shorter block."""
+    if not words:
+        return 0, 0
+    blocks = -(-size // block)
+    passes, rest = divmod(words, size)
+    lacking = blocks * block - size
+
+    def before(turn: int) -> int:
+        return turn * block - (lacking if turn > place else 0)
+
+    turn = min(rest // block, blocks)
+    while before(turn) < rest:
+        turn += 1
+    if rest == 0:
+        return passes * blocks, block if place != blocks - 1 else block - lacking
+    return passes * blocks + turn, rest - before(turn - 1)
+
+
 def plan_of(names: list, sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, seed: int = SEED) -> Plan:
     each = [weights[i % len(weights)] for i in range(len(sizes))]
     target = targets(sizes, each, share, most)
     floor = -(-sum(sizes) // MOST_BLOCKS)
-    block = [max(1, floor, min(BLOCK_WORDS, s // LEAST_BLOCKS)) for s in sizes]
+    block = [max(1, min(max(floor, BLOCK_WORDS), s)) for s in sizes]
     blocks = [-(-s // b) for s, b in zip(sizes, block, strict=True)]
-    quota = [min(int(most * n), round(t / b)) if n else 0 for t, b, n in zip(target, block, blocks, strict=True)]
-    rng = np.random.default_rng(seed)
-    factor, shift = [], []
-    for n in blocks:
-        a = int(rng.integers(1, max(2, n)))
-        while n > 1 and math.gcd(a, n) > 1:
-            a = a % n + 1
-        factor.append(a)
-        shift.append(int(rng.integers(0, max(1, n))))
+    key = [int(k) for k in np.random.default_rng(seed).integers(0, 2**62, len(sizes))]
+    quota, last = [], []
+    for s, b, n, t, k in zip(sizes, block, blocks, target, key, strict=True):
+        place = int(permuted(np.array([n - 1]), np.array([n]), np.array([k]))[0]) if n else 0
+        q, w = quota_of(s, b, min(round(t), math.floor(most * s)), place)
+        quota.append(q)
+        last.append(w)
     shards = 1 << max(0, math.ceil(math.log2(max(1, sum(quota) / SHARD_BLOCKS))))
-    return Plan(names, sizes, target, block, blocks, quota, factor, shift, shards, seed)
+    return Plan(names, sizes, target, block, blocks, quota, last, key, shards, seed)
 
 
 def sized(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, seed: int, carried: list[str]) -> DataFrame:
@@ -137,42 +173,51 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     placed = rows.withColumn("_within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(first, ["_source", "_bucket"])
     placed = placed.withColumn("_start", F.col("_first") + F.col("_within")).drop("_first", "_within", "_key", "_bucket", "_source")
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    piece = pa.struct([(c, pa.int64()) for c in ("shard", "place", "epoch", "first", "words")])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan  # goes with the task: MOST_SOURCES entries at most
         index = {n: i for i, n in enumerate(p.names)}
-        sizes, block, blocks, quota = (np.array(x, dtype=np.int64) for x in (p.sizes, p.block, p.blocks, p.quota))
-        factor, shift = np.array(p.factor, dtype=np.int64), np.array(p.shift, dtype=np.int64)
-        for pdf in batches:
-            s = np.array([index[None if x is None or x != x else x] for x in pdf["source"]], dtype=np.int64)
-            start, size = pdf["_start"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
-            b0, b1 = start // block[s] if len(s) else start, (start + size - 1) // block[s] if len(s) else start
+        sizes, block, blocks, quota, last, key = (np.array(x, dtype=np.int64) for x in (p.sizes, p.block, p.blocks, p.quota, p.last, p.key))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            s = np.array([index[x] for x in column["source"].to_pylist()], dtype=np.int64)
+            start, size = (column[c].to_numpy(zero_copy_only=False) for c in ("_start", "size"))
+            b0, b1 = start // block[s], (start + size - 1) // block[s]
             count = np.where(size > 0, b1 - b0 + 1, 0)
             row = np.repeat(np.arange(len(s)), count)
             b = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + b0[row]
             sr = s[row]
-            lo = np.maximum(start[row], b * block[sr])
-            words = np.minimum(start[row] + size[row], (b + 1) * block[sr]) - lo
-            permuted = (b * factor[sr] + shift[sr]) % np.maximum(blocks[sr], 1)
-            times = np.maximum(0, -(-(quota[sr] - permuted) // np.maximum(blocks[sr], 1)))
+            turns = permuted(b, blocks[sr], key[sr])
+            times = np.maximum(0, -(-(quota[sr] - turns) // np.maximum(blocks[sr], 1)))
             rep = np.repeat(np.arange(len(row)), times)
             epoch = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
-            turn = epoch * blocks[sr[rep]] + permuted[rep]
+            turn = epoch * blocks[sr[rep]] + turns[rep]
+            # the last draw of a source takes only the first words of its block
+            lo = np.maximum(start[row], b * block[sr])[rep]
+            upto = b[rep] * block[sr[rep]] + np.where(turn == quota[sr[rep]] - 1, last[sr[rep]], block[sr[rep]])
+            words = np.minimum((start[row] + size[row])[rep], upto) - lo
+            some = np.flatnonzero(words > 0)
+            rep, epoch, turn, lo, words = rep[some], epoch[some], turn[some], lo[some], words[some]
             shard = p.shard_of(sr[rep], turn)
             with np.errstate(over="ignore"):
-                place = (((turn + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (sr[rep].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(p.seed)) >> np.uint64(1)
-            pieces: list[list] = [[] for _ in range(len(s))]
-            for r, *piece in zip(row[rep].tolist(), shard.tolist(), place.astype(np.int64).tolist(), epoch.tolist(), (lo - start[row])[rep].tolist(), words[rep].tolist(), strict=True):
-                pieces[r].append(tuple(piece))
-            yield pdf.drop(columns="_start").assign(source_size=sizes[s] if len(s) else [], target=np.array(p.target)[s] if len(s) else [], pieces=pieces)
+                place = (mix64((turn + 1).astype(U64) ^ mix64(sr[rep].astype(U64) + U64(p.seed))) >> U64(1)).astype(np.int64)
+            cut = np.searchsorted(row[rep], np.arange(len(s) + 1))
+            pieces = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in (shard, place, epoch, lo - start[row[rep]], words)], fields=list(piece)))
+            kept = [n for n in batch.schema.names if n != "_start"]
+            yield pa.RecordBatch.from_arrays([*(column[n] for n in kept), pa.array(sizes[s]), pa.array(np.array(p.target, dtype=float)[s]), pieces], names=[*kept, "source_size", "target", "pieces"])
 
     schema = placed.drop("_start").selectExpr("*", "cast(0 as long) source_size", "cast(0 as double) target", "cast(null as array<struct<shard: bigint, place: bigint, epoch: bigint, first: bigint, words: bigint>>) pieces").schema
-    return placed.mapInPandas(draw, schema)
+    return placed.mapInArrow(draw, schema)
 
 
 def digest(mixed: DataFrame) -> DataFrame:
-    """The contract's columns: the pieces become the number of words taken."""
+    """The contract's columns: the pieces become the number of words taken; then the words that each shard takes, as shard:place:words in the mix's order."""
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    placed = F.array_join(F.transform(F.array_sort("pieces"), lambda x: F.concat_ws(":", x["shard"], x["place"], x["words"])), " ")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), placed.alias("placed"))
 
 
 def assemble(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
