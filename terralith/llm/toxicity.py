@@ -1,19 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words map to symbols: INSULT, THREAT, TARGET, NEGATION, REPORT, or OTHER; a full stop, exclamation, question
-mark or semicolon ends a clause. Five transducers read a clause and rewrite its symbols: insults and threats
-get their base reading, a target in the clause aims them, a negation shortly before lifts them, a verb of
-speech reports them. Their composition is one transducer, a table over (state, symbol), that is run on the
-clauses that hold an insult or a threat. Each reading of a matched clause has a weight; a document's score is
-the logistic function of its summed readings.
+mark or semicolon, also before closing quotes and brackets, or a line's end ends a clause. Five transducers read a
+clause from left to right and rewrite its symbols: insults and threats get their base reading, a target before aims
+them, a negation shortly before lifts them, a verb of speech before reports them. Their composition is one transducer,
+a table over (state, symbol). The target transducer also reads the clause from right to left, so that a target after a
+match aims it too; both directions together make a bimachine, which is run on the clauses that hold an insult or a
+threat. Each reading of a matched clause has a weight; a document's score is the logistic function of its summed
+readings.
 
 Learned, from labelled training rows only: the insults (words and word stems that occur in many different
 contexts of toxic texts and hardly in others) and the readings' weights. Targets, negations, verbs of speech
 and threats are the short word lists below. The fit uses a sample of at most TRAIN_DOCS labelled rows, picked
 by hash; support counts distinct neighbourhoods, so that copies of one text count once.
 
-Cases: a null or empty text matches nothing and has the lowest score of the fit. Without labelled rows of both
-kinds no insult is known and all scores are the share of toxic rows (0 without rows). Repeated rows score alike.
+Cases: a null or empty text matches nothing and has the score of the fit's constant alone. Very long texts are read
+whole. Without labelled rows of both kinds no insult is known and all scores are the share of toxic rows (0 without
+rows). Rows without a label teach nothing. Repeated rows score alike, null ids too. Further columns pass through, but
+for those that carry the added names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +52,7 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 SYMBOLS = 7
 #: Readings a match can have: (insult or threat) x aimed x negated x reported.
 READINGS = 16
+MATCH = 16
 NEGATION_REACH = 3
 
 
@@ -61,13 +67,18 @@ class Transducer:
         return {s for s, _ in self.step}
 
 
-def matching() -> Transducer:
-    """Insults and threats; bit 8 tells a threat."""
-    return Transducer(0, {(0, s): (0, 8 if s == THREAT else 0) for s in range(SYMBOLS)})
+def insulting() -> Transducer:
+    """Bit 16: an insult, which is a match."""
+    return Transducer(0, {(0, s): (0, MATCH if s == INSULT else 0) for s in range(SYMBOLS)})
+
+
+def threatening() -> Transducer:
+    """Bits 16 and 8: a threat, which is a match of its own kind."""
+    return Transducer(0, {(0, s): (0, MATCH | 8 if s == THREAT else 0) for s in range(SYMBOLS)})
 
 
 def targeting() -> Transducer:
-    """Bit 1: a target stands in the clause so far."""
+    """Bit 1: a target stands in the part of the clause read so far, from either end."""
     return Transducer(0, {(q, s): (0 if s == END else 1 if s == TARGET else q, 1 if q else 0) for q in (0, 1) for s in range(SYMBOLS)})
 
 
@@ -96,14 +107,40 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(0, step)
 
 
-def grammar() -> tuple[np.ndarray, np.ndarray]:
-    """Next state and reading flags of the composed transducer, as tables."""
-    t = compose(compose(matching(), targeting()), compose(negating(), reporting()))
+def tables(t: Transducer) -> tuple[list[list[int]], list[list[int]]]:
+    """Next state and flags of a transducer, by state and symbol."""
     n = len(t.states())
-    go, flags = np.zeros((n, SYMBOLS), dtype=np.int64), np.zeros((n, SYMBOLS), dtype=np.int64)
-    for (q, s), (to, f) in t.step.items():
-        go[q, s], flags[q, s] = to, f
-    return go, flags
+    return tuple([[t.step[q, s][k] for s in range(SYMBOLS)] for q in range(n)] for k in (0, 1))
+
+
+def grammar() -> Transducer:
+    """The composition of the five transducers that read from left to right."""
+    return compose(compose(compose(insulting(), threatening()), targeting()), compose(negating(), reporting()))
+
+
+FORWARD, BACKWARD = tables(grammar()), tables(targeting())
+
+
+def read_clause(clause: list[int]) -> list[tuple[int, int]]:
+    """(place, reading) of each match of a clause."""
+    (go, flags), (back, seen) = FORWARD, BACKWARD
+    ahead, state = [], 0
+    for s in reversed(clause):
+        ahead.append(seen[state][s])
+        state = back[state][s]
+    out, state = [], 0
+    for i, (s, aimed) in enumerate(zip(clause, reversed(ahead), strict=True)):
+        flag = flags[state][s]
+        if flag & MATCH:
+            reading = flag & ~MATCH | aimed
+            if not reading & 8 or reading & 1:  # a threat without a target is none
+                out.append((i, reading))
+        state = go[state][s]
+    return out
+
+
+#: A line's end as a word of its own, and what may stand between a clause's last sign and the end of its word.
+LINE_END, CLOSING = "\u2029", "\"'”’»)]}*_"
 
 
 def bare(word: str) -> str:
@@ -142,16 +179,15 @@ class Model:
 
     def readings(self, text: pa.Array) -> np.ndarray:
         """texts x READINGS: summed weights of the matches in all clauses, by reading."""
-        bounds, at, words = split_words(text)
+        bounds, at, words = split_words(pc.replace_substring(pc.fill_null(text, ""), "\n", f" {LINE_END} "))
         names = words.to_pylist()
         each = [self.symbol(w) for w in names]
         symbol = np.array([s for s, _ in each], dtype=np.int64)
         weight = np.array([x for _, x in each])
-        ends = np.array([w[-1] in ".!?;" for w in names], dtype=bool)
+        ends = np.array([w[-1] in ".!?;" or w == LINE_END or w[-1] in CLOSING and w.rstrip(CLOSING)[-1:] in (*".!?;",) for w in names], dtype=bool)
         out = np.zeros((len(bounds) - 1, READINGS))
         if not len(at):
             return out
-        go, flags = grammar()
         seq = symbol[at]
         hits = np.flatnonzero((seq == INSULT) | (seq == THREAT))
         closes = np.flatnonzero(ends[at])
@@ -163,15 +199,8 @@ class Model:
             k = int(np.searchsorted(closes, h))
             first = max(int(bounds[doc]), int(closes[k - 1]) + 1 if k else 0)
             last = min(int(bounds[doc + 1]), int(closes[k]) + 1 if k < len(closes) else int(bounds[doc + 1]))
-            clause = seq[first:last]
-            aimed = 1 if (clause == TARGET).any() else 0  # a target after the match aims it too
-            state = 0
-            for i, s in enumerate(clause.tolist(), first):
-                if s in (INSULT, THREAT):
-                    flag = int(flags[state, s]) | aimed
-                    if s == INSULT or flag & 1:  # a threat without a target is none
-                        out[doc, flag] += weight[at[i]]
-                state = int(go[state, s])
+            for i, reading in read_clause(seq[first:last].tolist()):
+                out[doc, reading] += weight[at[first + i]]
             done = last - 1
         return out
 
