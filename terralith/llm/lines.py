@@ -8,11 +8,15 @@ k is an interval of the array whose longest common prefix is 2^k or more. Ranks
 over sub-ranges of the second key, so that a line in a third of all documents loads no single task.
 
 An interval of at least min_lines marks a repeated run: its first member in the order of (doc_id, line) stays,
-and the lines of every later member are deleted. Overlapping marks join to the maximal runs.
+and the lines of every later member are deleted. An interval of a single line does so too if the line has at least
+min_chars characters, so that boilerplate lines go, but not the short lines that texts share by chance. Overlapping
+marks join to the maximal runs. Intervals are found at powers of two lines; a longer common prefix in between has all
+its lines marked by the overlapping intervals below it.
 
 Cases: a null text has no lines and stays null. Rows that repeat id and text are one document and are treated
-alike; rows that repeat an id only are told apart by their text. A null id is larger than any. Empty tables
-give empty tables. Further columns are carried along.
+alike; rows that repeat an id only are told apart by their text. A null id counts as the largest id, and as another
+one than any. Very long texts are cut whole. Empty tables give empty tables. Further columns are carried along,
+whatever their names; those with the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -24,22 +28,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, release, slices
+from .common import checkpoint, partitions, release, slices, unused
 
-MIN_LINES = 2
+#: A repeated run counts from so many lines on, a single line from so many characters on.
+MIN_LINES, MIN_CHARS = 2, 60
 NO_ID = 2**63 - 1
 #: Sub-ranges of a second key within a group, and buckets of the first order.
 SUBRANGES, BUCKETS = 256, 4096
 OUTER = " \t\x0b\x0c\r"
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, line, h): one row for each line that is not blank, numbered within its document."""
+def document_keys(id_col: str, text: Column) -> tuple[Column, Column]:
+    """The id, and a hash that tells documents of one id apart, and those without an id from those of the largest."""
+    key = F.col(id_col).cast("long")
+    return F.coalesce(key, F.lit(NO_ID)), F.when(key.isNull(), F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(text))
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, th, line, h, wide): one row for each line that is not blank, numbered within its document; wide tells lines of min_chars and more."""
     text = F.col(text_col).cast("string")
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(OUTER))), lambda x: x != "")
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), hashes.alias("hs"))
-    return keyed.select("id", "th", F.posexplode("hs").alias("line", "h"))
+    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) >= min_chars).alias("wide")))
+    key, th = document_keys(id_col, text)
+    keyed = docs.select(key.alias("id"), th.alias("th"), hashes.alias("hs"))
+    return keyed.select("id", "th", F.posexplode("hs").alias("line", "x")).select("id", "th", "line", "x.h", "x.wide")
 
 
 def _running(counts: DataFrame, group: list[str], order: str, sub: Column) -> DataFrame:
@@ -54,11 +66,11 @@ def _running(counts: DataFrame, group: list[str], order: str, sub: Column) -> Da
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
-    """(id, th, line, rank, n, first) of the lines whose id repeats: rank counts the lines of smaller id, n those of the same, first is the first of these."""
+    """(id, th, line, rank, n, first, wide) of the lines whose id repeats: rank counts the lines of smaller id, n those of the same, first is the first of these."""
     counts = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "line")).alias("first")).filter("n > 1")
     bucket = F.shiftright("h", 52) + 2048
     ranks = _running(counts, [], "h", bucket).select("h", F.col("before").alias("rank"), "n", "first")
-    return lines.join(ranks, "h").select("id", "th", "line", "rank", "n", "first")
+    return lines.join(ranks, "h").select("id", "th", "line", "rank", "n", "first", "wide")
 
 
 def double(ranked: DataFrame, step: int, total: int) -> DataFrame:
@@ -89,16 +101,17 @@ def combined(ranked: DataFrame, step: int, length: int) -> DataFrame:
     return keyed.join(groups.filter("n > 1"), ["rank", "second"]).select("id", "th", "line", "rank", "n", "first")
 
 
-def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """The suffix array of all repeating suffixes (id, th, line, rank, n), and the later copies (id, th, line, length).
 
-    length is the deepest interval that a later copy lies in, min_lines or a power of two.
+    length is the deepest interval that a later copy lies in: one line, min_lines or a power of two.
     """
     # rows that repeat a document are taken once
-    lines = line_table(docs, id_col, text_col).dropDuplicates(["id", "th", "line"])
+    lines = line_table(docs, id_col, text_col, min_chars).dropDuplicates(["id", "th", "line"])
     ranked = checkpoint(first_ranks(lines))
     total, step = ranked.count(), 1
-    found = [later_members(ranked, 1)] if min_lines == 1 else []
+    found = [later_members(ranked if min_lines == 1 else ranked.filter("wide"), 1)]
+    ranked = ranked.drop("wide")
     while True:
         if step < min_lines < 2 * step:
             found.append(later_members(combined(ranked, step, min_lines), min_lines))
@@ -115,14 +128,15 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return ranked, marks.groupBy("id", "th", "line").agg(F.max("length").alias("length"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with the later copies of repeated line runs deleted from the text, and n_lines, n_lines_removed, n_runs, longest_match added."""
-    _, marks = repeated_runs(docs, id_col=id_col, text_col=text_col, min_lines=min_lines)
-    own = marks.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("line", "length")).alias("_marks"))  # a document's own lines
-    added = ["n_lines", "n_lines_removed", "n_runs", "longest_match"]
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the later copies of repeated line runs deleted from the text, and n_lines, n_lines_removed, n_runs, longest_run (lines of the longest deleted run) added."""
+    _, marks = repeated_runs(docs, id_col=id_col, text_col=text_col, min_lines=min_lines, min_chars=min_chars)
+    added = ["n_lines", "n_lines_removed", "n_runs", "longest_run"]
     base = docs.drop(*added)
-    keyed = base.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th"))
-    joined = keyed.join(own, ["_id", "_th"], "left").drop("_id", "_th")
+    own_id, own_th, own_marks = unused(base, "_id", "_th", "_marks")
+    own = marks.groupBy(F.col("id").alias(own_id), F.col("th").alias(own_th)).agg(F.collect_list(F.struct("line", "length")).alias(own_marks))  # a document's own lines
+    key, th = document_keys(id_col, F.col(text_col).cast("string"))
+    joined = base.select("*", key.alias(own_id), th.alias(own_th)).join(own, [own_id, own_th], "left").select(*base.columns, own_marks)
     at = base.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +150,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     steps[m["line"]] += 1
                     steps[min(m["line"] + m["length"], len(full))] -= 1
                 gone = np.cumsum(steps)[: len(full)] > 0
+                edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
                 drop = {full[i] for i in np.flatnonzero(gone)}
                 texts.append(text if text is None or not drop else "\n".join(x for i, x in enumerate(all_lines) if i not in drop))
-                more.append((len(full), len(drop), int((np.diff(np.r_[0, gone.astype(np.int8)]) > 0).sum()), max((m["length"] for m in marks or ()), default=0)))
+                more.append((len(full), len(drop), len(edge) // 2, int((edge[1::2] - edge[::2]).max(initial=0))))
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int32()) for c in zip(*more, strict=True))], names=[*batch.schema.names[:-1], *added])
 

@@ -103,14 +103,15 @@ kept as (select words.doc_id, string_agg(word, ' ' order by p) as kept from word
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join gone using (doc_id) left join kept using (doc_id)
 """
 
-# blank lines carry no number; a line goes if it is in a pair of lines that stands somewhere before
+# blank lines carry no number; a line goes if it is in a pair of lines that stands somewhere before, or has 60 characters and stands somewhere before itself
 LINES_SQL = """
 with raw as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null),
 full_lines as (select doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t from raw where trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 numbered as (select *, row_number() over (partition by doc_id order by pos) as n from full_lines),
 pairs as (select doc_id, n, md5(t || chr(10) || lead(t) over (partition by doc_id order by n)) as k, lead(n) over (partition by doc_id order by n) as following from numbered),
 marked as (select doc_id, n from (select doc_id, n, row_number() over (partition by k order by doc_id, n) as place from pairs where following is not null) where place > 1),
-gone as (select distinct doc_id, n from (select doc_id, n from marked union all select doc_id, n + 1 from marked)),
+alone as (select doc_id, n from (select doc_id, n, row_number() over (partition by md5(t) order by doc_id, n) as place from numbered where length(t) >= 60) where place > 1),
+gone as (select distinct doc_id, n from (select doc_id, n from marked union all select doc_id, n + 1 from marked union all from alone)),
 runs as (select doc_id, count(*) as n_runs from gone g where not exists (select 1 from gone h where h.doc_id = g.doc_id and h.n = g.n - 1) group by doc_id),
 kept as (select raw.doc_id, string_agg(line, chr(10) order by raw.pos) as kept from raw left join numbered using (doc_id, pos) left join gone using (doc_id, n) where gone.n is null group by raw.doc_id)
 select d.doc_id, cast(coalesce(a.n, 0) as int) as n_lines, cast(coalesce(g.n, 0) as int) as n_lines_removed, cast(coalesce(n_runs, 0) as int) as n_runs, sha256(coalesce(kept, '')) as kept_sha256

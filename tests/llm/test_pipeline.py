@@ -49,11 +49,12 @@ def test_stages(spark, folder, tmp_path):
             order = sorted({(r["doc_id"], r["text"]) for r in rows_in})
             for i, t in order:
                 ls = t.split("\n")
-                for k in range(len(ls) - 1):
+                for k in range(len(ls)):
                     first.setdefault(tuple(ls[k : k + 2]), (i, k))
+                    first.setdefault(ls[k], (i, k))
             for i, t in order:
                 ls = t.split("\n")
-                drop = {x for k in range(len(ls) - 1) if first[tuple(ls[k : k + 2])] != (i, k) for x in (k, k + 1)}
+                drop = {x for k in range(len(ls) - 1) if first[tuple(ls[k : k + 2])] != (i, k) for x in (k, k + 1)} | {k for k, x in enumerate(ls) if len(x) >= 60 and first[x] != (i, k)}
                 left = "\n".join(x for k, x in enumerate(ls) if k not in drop)
                 if left:
                     want[i] = left

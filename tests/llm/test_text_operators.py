@@ -80,8 +80,7 @@ def brute_links(pairs):
 
 @pytest.mark.parametrize("chunk", [512, 2])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(jaccard, "BUCKET_CHUNK", chunk)
-    monkeypatch.setattr(jaccard, "SET_CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     pairs = list(enumerate(near_copies()))
     pairs.append(pairs[0])  # a repeated row
     pairs.append((3, " ".join(words(99, 50))))  # an id met with another text
@@ -90,6 +89,24 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, chunk):
     assert jaccard.jaccard_join(empty(spark)).count() == 0
 
 
+def test_jaccard_join_verifies_the_surviving_pairs_only(spark, monkeypatch):
+    seen = []
+    real = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, sets, t: seen.append(pairs) or real(pairs, sets, t))
+    chain = words(5, 400)
+    texts = [" ".join(chain[k * 9 : k * 9 + 100]) for k in range(30)]  # neighbours of a chain are alike, distant ones are not
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(table(spark, texts)).collect()}
+    assert sorted((i, *g) for i, g in got.items()) == brute_links(list(enumerate(texts)))
+    n = sum(len(r["pairs"]) // 4 for r in seen[0].collect())
+    assert 29 <= n < 30 * 29 / 2 / 3  # not all pairs of the one component
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "text_keys", lambda text: [F.pmod(F.xxhash64(text), F.lit(3)).alias("node"), F.xxhash64(F.lit(17), F.length(text), text).alias("check")])
+    pairs = list(enumerate(near_copies()))
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(table(spark, pairs)).collect()) == brute_links(pairs)
+
+
 def test_pruning_drops_only_hopeless_pairs():
     least = jaccard.least_matches()
     assert least[128] < 0.8 * 128 - 3 * np.sqrt(128 * 0.16) and least[128] > 60
@@ -168,6 +185,22 @@ def test_next_document_across_ranges(spark, monkeypatch):
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
+def test_next_document_of_uneven_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
+    ids = [-(2**63), 2**63 - 1, 2**60 + 1, 0, 1, 2, 3, *[None] * 20, *[77] * 20]  # outliers, and two ids of a third of all rows each
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["text"]: r["next_text"] for r in fingerprints.with_next(df, ["text"]).collect()}
+    order = [t for _, t in sorted(((-(2**70) if i is None else i, t) for i, t in rows), reverse=True)]
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+    from terralith.llm.common import cut_points, piece_of, sortable
+
+    key = F.concat(sortable(F.col("doc_id")), F.hex("text"))
+    cuts = cut_points(df, key, 15)
+    sizes = [r["count"] for r in df.groupBy(piece_of(key, cuts)).count().collect()]
+    assert len(cuts) > 8 and max(sizes) <= 9
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(words(1, 300)), " ".join(words(1, 300)[150:] + words(2, 200))
     df = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
@@ -219,6 +252,63 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.assemble(empty(spark)).count() == 0
 
 
+def test_draws_equal_a_plain_walk_of_the_tree(spark, monkeypatch):
+    """Every draw of every source is dealt anew, one by one, by splitting the quotas from the root down."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 16)
+    sizes = [random.Random(k).randint(0, 300) for k in range(60)] + [4000]
+    df = spark.createDataFrame([(2**60 + k, " ".join(words(k, n)), "en", ["a", "b", None][k % 3], 0) for k, n in enumerate(sizes)] + [(None, "x y z", "en", "a", 0), (2**63 - 1, "p q", "en", "c", 0), (-(2**63), "r", "en", "c", 0)], SCHEMA)
+    rows = df.select("doc_id", "source", F.size(F.split("text", " ")).alias("n"), F.length("text").alias("l"), F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("k")).collect()
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    assert got.keys() == {r["doc_id"] for r in rows}
+    names = ["a", "b", "c", None]
+    own = {s: [(r["doc_id"], r["n"] if r["l"] else 0, r["k"]) for r in rows if r["source"] == s] for s in names}
+    plan = mixing.plan_of(names, [sum(n for _, n, _ in own[s]) for s in names])
+    assert plan.shards >= 4
+    left = [list(range(q)) for q in plan.quota]  # each source's draws, handed down in order
+
+    def walk(depth, index, shards, draws):
+        if shards == 1:
+            return [(index, s, t) for s, ts in enumerate(draws) for t in ts]
+        counts = np.array([len(d) for d in draws])
+        take = np.random.default_rng([plan.seed, depth, index]).multivariate_hypergeometric(counts, int(counts.sum()) // 2, method="marginals")
+        return walk(depth + 1, 2 * index, shards // 2, [d[:n] for d, n in zip(draws, take)]) + walk(depth + 1, 2 * index + 1, shards // 2, [d[n:] for d, n in zip(draws, take)])
+
+    dealt = {(s, t): shard for shard, s, t in walk(0, 0, plan.shards, left)}
+    assert len(dealt) == sum(plan.quota)
+    buckets = 16
+    for s, name in enumerate(names):
+        order = sorted(own[name], key=lambda r: (r[2] % buckets, r[2], r[0] if r[0] is not None else -(2**70), r[1]))
+        sequence = [(i, w) for i, n, _ in order for w in range(n)]
+        size, block, blocks = plan.sizes[s], plan.block[s], plan.blocks[s]
+        turn_of = mixing.permuted(np.arange(blocks), np.full(blocks, blocks), np.full(blocks, plan.key[s]))
+        assert sorted(turn_of.tolist()) == list(range(blocks))
+        block_of = {int(t): k for k, t in enumerate(turn_of)}
+        want, total = {}, 0
+        for t in range(plan.quota[s]):
+            at = sequence[block_of[t % blocks] * block : (block_of[t % blocks] + 1) * block]
+            if t == plan.quota[s] - 1:
+                at = at[: plan.last[s]]
+            total += len(at)
+            for i, w in at:
+                want.setdefault(i, []).append((dealt[s, t], t // blocks, w))
+        assert total == round(plan.target[s])
+        for i, _, _ in own[name]:
+            said = [(p["shard"], p["epoch"], w) for p in got[i]["pieces"] for w in range(p["first"], p["first"] + p["words"])]
+            assert sorted(said) == sorted(want.get(i, []))
+
+
+def test_quotas_are_exact():
+    for size, block in ((1, 1), (7, 3), (9, 3), (10, 4), (10, 10)):
+        blocks = -(-size // block)
+        for place in range(blocks):
+            lengths = [block] * blocks
+            lengths[place] = size - block * (blocks - 1)
+            for words_ in range(2 * size + 1):
+                q, last = mixing.quota_of(size, block, words_, place)
+                assert sum((lengths * 2)[: max(0, q - 1)]) + (last if q else 0) == words_ and last <= (lengths * 3)[max(0, q - 1)]
+
+
 def test_shards_split_the_quotas():
     plan = mixing.plan_of(["a", "b"], [3_000_000, 500_000], seed=3)
     plan.shards = 8
@@ -249,6 +339,34 @@ def test_grammar_reads_clauses():
     assert readings(m, "kill time") == {} and readings(m, "I will kill you") == {9: 1.0}
     assert readings(m, "you clownish idiot; fine day") == {1: 3.0}
     assert readings(m, "") == {} and readings(m, None) == {}
+    assert readings(m, 'he left." idiot') == {0: 1.0} and readings(m, "(you know.) an idiot") == {0: 1.0}
+    assert readings(m, "you fell\nidiot") == {0: 1.0}
+
+
+def test_grammar_equals_a_plain_reading_of_clauses():
+    """Every clause of five symbols at most, read word by word without transducers."""
+    T = toxicity
+    for n in range(6):
+        for clause in itertools.product((T.OTHER, T.INSULT, T.THREAT, T.TARGET, T.NEGATION, T.REPORT), repeat=n):
+            want = []
+            for i, s in enumerate(clause):
+                if s in (T.INSULT, T.THREAT):
+                    aimed = T.TARGET in clause
+                    lifted = T.NEGATION in clause[max(0, i - T.NEGATION_REACH) : i]
+                    if s == T.INSULT or aimed:
+                        want.append((i, aimed + 2 * lifted + 4 * (T.REPORT in clause[:i]) + 8 * (s == T.THREAT)))
+            assert T.read_clause(list(clause)) == want
+
+
+def test_every_transducer_counts(monkeypatch):
+    nothing = lambda: toxicity.Transducer(0, {(0, s): (0, 0) for s in range(toxicity.SYMBOLS)})
+    clauses = list(itertools.product(range(6), repeat=4))
+    real = [toxicity.read_clause(list(c)) for c in clauses]
+    for name in ("insulting", "threatening", "targeting", "negating", "reporting"):
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, name, nothing)
+            m.setattr(toxicity, "FORWARD", toxicity.tables(toxicity.grammar()))
+            assert [toxicity.read_clause(list(c)) for c in clauses] != real
 
 
 def test_toxicity_learns_insults(spark):
@@ -367,22 +485,56 @@ def test_revisits(spark):
         (8, "http://a.org/x?a=1&b=2", 45, "response", 404, {"etag": '"9"'}, "gone"),
         (9, None, 70, "revisit", 304, {}, None),
         (10, "http://a.org/X", 70, "revisit", 304, {"etag": '"1"'}, None),
+        (11, "a.org/x?a=1&b=2", 55, "response", 200, {"ETag": '"5"', "etag": '"6"'}, ""),
+        (12, "a.org/x?a=1&b=2", 56, "revisit", 304, {"Etag": '"5"', "DATE": "d"}, None),
+        (13, "a.org/x?a=1&b=2", 57, "revisit", 304, None, None),
+        (None, "a.org/x?a=1&b=2", 58, "revisit", 304, {}, None),
+        (15, "a.org/x?a=1&b=2", None, "revisit", 304, {}, None),
     ]
-    df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, status int, headers map<string,string>, body string").withColumn("time", F.timestamp_seconds("at")).withColumn("outcome", F.lit("clash"))
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, status int, headers map<string,string>, body string").withColumn("time", F.timestamp_seconds("at")).withColumn("body", F.encode("body", "UTF-8"))
+    for name in ("outcome", "canonical", "_span", "_order", "_seen", "_at", "answered_by"):
+        df = df.withColumn(name, F.lit("clash"))
     got = {r["record_id"]: r for r in warc.resolve(df.unionByName(df.filter("record_id = 1"))).collect()}
-    assert {k: (r["outcome"], r["answered_by"], r["body"]) for k, r in got.items()} == {2: ("resolved", 1, "one"), 4: ("validator_mismatch", None, None), 5: ("resolved", 3, "two"), 6: ("no_earlier_response", None, None), 7: ("unvalidated", None, None), 10: ("no_earlier_response", None, None)}
+    assert {k: (r["outcome"], r["answered_by"], r["body"]) for k, r in got.items()} == {
+        2: ("resolved", 1, b"one"), 4: ("validator_mismatch", None, None), 5: ("resolved", 3, b"two"), 6: ("no_earlier_response", None, None), 7: ("unvalidated", None, None), 10: ("no_earlier_response", None, None),
+        9: ("no_earlier_response", None, None), 12: ("resolved", 11, b""), 13: ("unvalidated", None, None), None: ("no_earlier_response", None, None), 15: ("no_earlier_response", None, None),
+    }
     assert got[2]["headers"] == {"etag": 'W/"1"', "date": "d2", "content-type": "t"} and got[2]["status"] == 200
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows_of_a_span", [512, 4])
+def test_revisits_of_a_hot_address(spark, monkeypatch, rows_of_a_span):
+    """Most captures are of one address, one has a false date; each revisit against a plain search for the latest earlier response."""
+    monkeypatch.setattr(warc, "SPAN_ROWS", rows_of_a_span)
+    rng = random.Random(2)
+    rows = []
+    for k in range(150):
+        url, at = ("hot.org/" if k % 3 else f"u{k % 4}.org/"), (rng.randrange(400) if k else -(10**9))
+        full = rng.random() < 0.4
+        rows.append((k, url, at, "response" if full else "revisit", 200 if full else 304, {"etag": str(k % 2)}, f"b{k}".encode() if full else None))
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, status int, headers map<string,string>, body binary").withColumn("time", F.timestamp_seconds("at"))
+    got = {r["record_id"]: (r["outcome"], r["answered_by"], r["body"]) for r in warc.resolve(df).collect()}
+    for k, url, at, kind, _, h, _ in rows:
+        if kind == "revisit":
+            before = [(r[2], r[0], r) for r in rows if r[1] == url and r[3] == "response" and (r[2], r[0]) < (at, k)]
+            last = max(before)[2] if before else None
+            assert got[k] == (("no_earlier_response", None, None) if last is None else ("resolved", last[0], last[6]) if last[5] == h else ("validator_mismatch", None, None))
+
+
 def test_warc_files(spark, tmp_path):
     def record(kind, url, block):
-        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{kind}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: 2024-01-0{1 if kind == 'response' else 2}T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{kind}{url}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: 2024-01-0{1 if kind == 'response' else 2}T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
-    data = record("response", "http://a.org/", b"HTTP/1.1 200 OK\r\nETag: \"1\"\r\n\r\nhello") + record("revisit", "http://a.org", b"HTTP/1.1 304 Not Modified\r\nETag: \"1\"\r\n\r\n")
-    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data))
-    got = warc.resolve(warc.read_warc(spark, str(tmp_path / "*.gz"))).collect()
-    assert [(r["outcome"], r["body"]) for r in got] == [("resolved", "hello")]
+    bodies = {"http://a.org/": b"caf\xe9 \x00\xff", "http://b.org/": b"x\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc", "http://c.org/": b"", "http://d.org/": b"d" * 3_000_000}
+    data = [record("warcinfo", "x", b"software: none")]
+    for url, body in bodies.items():
+        data += [record("response", url, b"HTTP/1.1 200 OK\r\nETag: \"1\"\r\n\r\n" + body), record("revisit", url, b"HTTP/1.1 304 Not Modified\r\nETag: \"1\"\r\n\r\n")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))  # a member for each record
+    (tmp_path / "b.warc").write_bytes(b"".join(data))
+    for name in ("a.warc.gz", "b.warc"):
+        got = warc.resolve(warc.read_warc(spark, str(tmp_path / name))).collect()
+        assert sorted((r["url"], r["outcome"], r["body"]) for r in got) == sorted((u, "resolved", b) for u, b in bodies.items())
 
 
 # ---- 9: line dedup
@@ -391,7 +543,9 @@ def test_warc_files(spark, tmp_path):
 def line_docs():
     a = [f"line {k}" for k in range(12)]
     texts = ["\n".join(a), "\n".join(["new"] + a[3:8] + ["x", a[0], a[2]]), "\n".join(a[:2] + ["", "  "] + a[2:4]), "same\n" * 9, "same\nsame\nother", None, "", "\n\n", "lone", " line 0 \r\n\tline 1", "\n".join(a), "\n".join(f"l{k % 7}" for k in range(900))]
-    return [(30 - k, t) for k, t in enumerate(texts)] + [(29, "line 5\nline 6"), (30, "\n".join(a))]
+    wide = " ".join(words(8, 20))  # more than MIN_CHARS characters
+    texts += [f"first\n{wide}\nb", f"{wide}", f"c\n  {wide}\nd\n{wide}\n{wide[:59]}", f"e\n{wide[:59]}\nf"]
+    return [(30 - k, t) for k, t in enumerate(texts)] + [(29, "line 5\nline 6"), (30, "\n".join(a)), (2**63 - 1, "line 3\nline 4")]
 
 
 @pytest.mark.parametrize("least", [1, 2, 3, 5])
@@ -400,15 +554,17 @@ def test_lines_equal_brute_force(spark, least):
     cut = lambda t: [x.strip(lines.OUTER) for x in (t or "").split("\n")]
     xx = {(i, t): i for i, t in pairs}
     hashes = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for t in {t for _, t in pairs}], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
-    first, want = {}, {}
+    first, alone, want = {}, {}, {}
     order = sorted(xx, key=lambda p: (p[0], hashes[p[1]]))
     for p in order:
         ls = [x for x in cut(p[1]) if x]
         for k in range(len(ls) - least + 1):
             first.setdefault(tuple(ls[k : k + least]), (p, k))
+        for k, x in enumerate(ls):
+            alone.setdefault(x, (p, k))
     for p in order:
         ls = [x for x in cut(p[1]) if x]
-        gone = set()
+        gone = {k for k, x in enumerate(ls) if len(x) >= lines.MIN_CHARS and alone[x] != (p, k)}
         for k in range(len(ls) - least + 1):
             if first[tuple(ls[k : k + least])] != (p, k):
                 gone |= set(range(k, k + least))
@@ -419,11 +575,22 @@ def test_lines_equal_brute_force(spark, least):
             if not x or n - 1 not in gone:
                 kept.append(raw)
         want[p] = (len(ls), len(gone), None if p[1] is None else "\n".join(kept))
-    got = lines.dedup_lines(table(spark, pairs), min_lines=least).collect()
+    clash = table(spark, pairs)
+    for name in ("_id", "_th", "_marks", "id", "th", "first", "longest_run"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    got = lines.dedup_lines(clash, min_lines=least).collect()
+    assert {r["_marks"] + r["th"] for r in got} == {"clashclash"}
     assert sorted((r["doc_id"], r["n_lines"], r["n_lines_removed"], r["text"] or "") for r in got) == sorted((i, *want[i, t][:2], want[i, t][2] or "") for i, t in pairs)
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_longest_run_and_documents_without_id(spark):
+    a = [f"l{k}" for k in range(7)]
+    pairs = [(1, "\n".join(a)), (2, "\n".join(["x", *a, "y"])), (None, "p\nq"), (2**63 - 1, "p\nq"), (None, "p\nq")]
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_lines_removed"], r["longest_run"]) for r in lines.dedup_lines(table(spark, pairs)).collect())
+    assert got[:2] == [(False, 1, 0, 0), (False, 2, 7, 7)] and got[3] == got[4] and got[2][2] + got[3][2] == 2  # one of the two documents gives way
+
+
 def test_ranks_are_the_suffix_array(spark):
     pairs = line_docs()
     df = table(spark, pairs)
