@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, jaccard, language, lines, mixing, neighbours, packing, substrings, toxicity, warc
 
-TOKENIZER = os.environ.get("TERRALITH_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
