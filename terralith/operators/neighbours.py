@@ -2,45 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km
+from ..functions.geo import EARTH_KM, haversine_km
 
-#: References up to this number travel to every task as one array; beyond it the search goes by ranges of latitude.
+#: References up to this number travel to every task as one array; beyond it the search goes by squares of the globe.
 MOST_BROADCAST = 2_000
+#: Sides of the squares, in degrees; the last one holds everything.
+SQUARES = (1.0, 4.0, 15.0, 60.0, 360.0)
 
 
 def nearest_reference(cells: DataFrame, refs: DataFrame, key: str, ref_key: str, carry: tuple[str, ...] = (), lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """Cells with the nearest reference's key, distance_km and carried columns; ties go to the smaller key.
+    """Each cell row with the nearest reference's key, distance_km and carried columns; ties go to the smaller key.
+
+    One row in, one row out: rows may repeat, and the cells' key may be NULL. A cell without a position, or without
+    any reference, gets NULLs. References without a position or a key take no part.
 
-    The reference table is counted first. A small one is scanned per cell without a shuffle; a larger one is
-    joined by bands of latitude, ring after ring, until no nearer reference can lie outside the rings searched.
+    The references are counted first: a small table is scanned within each row, without a shuffle; a larger one is
+    joined by squares for each different position. Both give the same rows.
     """
-    slim = refs.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(F.col(ref_key).alias("_k"), F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    distance = haversine_km(F.col(lon), F.col(lat), F.col("_lon"), F.col("_lat"))
+    slim = refs.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull() & F.col(ref_key).isNotNull()).select(F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"), F.col(ref_key).alias("k"), *[F.col(c).alias(f"c_{c}") for c in carry]).alias("_r"))
     if slim.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        best = cells.crossJoin(F.broadcast(slim)).groupBy(*cells.columns).agg(F.min(F.struct(distance.alias("d"), "_k", *[f"_c_{c}" for c in carry])).alias("_b"))
-        return best.select(*cells.columns, F.col("_b._k").alias(ref_key), F.col("_b.d").alias("distance_km"), *[F.col(f"_b._c_{c}").alias(c) for c in carry])
-    return _by_bands(cells, slim, key, ref_key, carry, lon, lat)
-
-
-def _by_bands(cells: DataFrame, refs: DataFrame, key: str, ref_key: str, carry: tuple[str, ...], lon: str, lat: str, band_deg: float = 1.0) -> DataFrame:
-    km_per_band = 6371.0 * 3.141592653589793 / 180 * band_deg
-    band = lambda c: F.floor(F.col(c) / band_deg).cast("int")
-    known = refs.withColumn("_band", band("_lat"))
-    open_, done, reach = cells, None, 1
-    while True:
-        tried = open_.withColumn("_band", F.explode(F.sequence(band(lat) - reach, band(lat) + reach))).join(known, "_band")
-        d = haversine_km(F.col(lon), F.col(lat), F.col("_lon"), F.col("_lat"))
-        best = tried.groupBy(key).agg(F.min(F.struct(d.alias("d"), "_k", *[f"_c_{c}" for c in carry])).alias("_b"))
-        found = open_.join(best, key, "left")
-        # whatever lies outside the bands searched is at least `reach` bands away
-        sure = F.col("_b.d") <= reach * km_per_band
-        part = found.filter(sure | F.lit(reach * band_deg >= 180))
-        done = part if done is None else done.unionByName(part)
-        if reach * band_deg >= 180:
-            break
-        open_ = found.filter(~F.coalesce(sure, F.lit(False))).drop("_b")
-        reach *= 4
-    return done.select(*cells.columns, F.col("_b._k").alias(ref_key), F.col("_b.d").alias("distance_km"), *[F.col(f"_b._c_{c}").alias(c) for c in carry])
+        every = slim.agg(F.array_sort(F.collect_list("_r")).alias("_refs"))  # one row of MOST_BROADCAST entries at most
+        judged = F.transform("_refs", lambda r: _candidate(F.col(lon), F.col(lat), r, carry))
+        found = cells.crossJoin(F.broadcast(every)).withColumn("_b", F.when(F.col(lon).isNotNull() & F.col(lat).isNotNull(), F.array_min(judged))).drop("_refs")
+    else:
+        here = cells.select(F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).filter("_lon is not null and _lat is not null").distinct()
+        best = _by_squares(here, slim, carry)
+        found = cells.join(best, (F.col(lon) == F.col("_lon")) & (F.col(lat) == F.col("_lat")), "left").drop("_lon", "_lat")
+    return found.select(*cells.columns, F.col("_b.k").alias(ref_key), F.col("_b.d").alias("distance_km"), *[F.col(f"_b.c_{c}").alias(c) for c in carry])
+
+
+def _candidate(lon: Column, lat: Column, r: Column, carry: tuple[str, ...]) -> Column:
+    return F.struct(haversine_km(lon, lat, r["lon"], r["lat"]).alias("d"), r["k"].alias("k"), *[r[f"c_{c}"].alias(f"c_{c}") for c in carry])
+
+
+def _by_squares(positions: DataFrame, refs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """(_lon, _lat, _b): each position looks at its square and those around; whoever may have a nearer reference beyond them goes on with larger squares."""
+    lon, lat = F.col("_lon"), F.col("_lat")
+    open_, done = positions, None
+    for side in SQUARES:
+        around = max(1, round(360 / side))
+        wrap = lambda c: F.pmod(F.floor(c), F.lit(around)).cast("int")  # noqa: E731, B023
+        known = refs.withColumn("_y", F.floor(F.col("_r.lat") / side).cast("int")).withColumn("_x", wrap(F.col("_r.lon") / side))
+        last = side == SQUARES[-1]
+        # so many squares to either side that what lies beyond is a square's side away, which takes more of them towards the poles
+        share = F.lit(math.sin(math.radians(min(side, 90.0)))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9))
+        reach = F.when(share >= 1, F.lit(around)).otherwise(F.ceil(F.degrees(F.asin(F.least(share, F.lit(1.0)))) / side))
+        xs = F.when(2 * reach + 1 >= around, F.sequence(F.lit(0), F.lit(around - 1))).otherwise(F.transform(F.sequence(-reach, reach), lambda i: F.pmod(F.floor(lon / side) + i, F.lit(around))))  # noqa: B023
+        y = F.floor(lat / side).cast("int")
+        dealt = open_.withColumn("_y", F.explode(F.sequence(y - 1, y + 1))).withColumn("_x", F.explode(F.transform(xs, lambda x: x.cast("int"))))
+        near = dealt.join(known, ["_y", "_x"]).withColumn("_c", _candidate(lon, lat, F.col("_r"), carry))
+        best = near.groupBy("_lon", "_lat").agg(F.min("_c").alias("_b"))
+        found = open_.join(best, ["_lon", "_lat"], "left")
+        sure = F.coalesce(F.col("_b.d") < side * EARTH_KM * math.pi / 180, F.lit(False)) | F.lit(last)
+        done = found.filter(sure) if done is None else done.unionByName(found.filter(sure))
+        open_ = found.filter(~sure).select("_lon", "_lat")
+    return done

@@ -1,4 +1,4 @@
-"""Ranks and running counts that no single task has to sort: values go to buckets of their range, buckets are summed, and only a bucket is ordered at a time."""
+"""Ranks and running counts that no single task has to sort: values go to buckets cut at their quantiles, buckets are summed, and only a bucket is ordered at a time."""
 
 from __future__ import annotations
 
@@ -9,13 +9,18 @@ BUCKETS = 1024
 
 
 def before(df: DataFrame, group: list[str], value: str, n: str | None = None, ties: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
-    """Adds `before`: the sum of n (or the number of rows) that come earlier in the group by (value, ties). Values must not be NULL."""
+    """Adds `before`: the sum of n (or the number of rows) that come earlier in the group by (value, ties). Values must not be NULL.
+
+    The cuts are approximate quantiles of each group's values, so that outliers leave the buckets even; what is
+    counted within and before a bucket is exact.
+    """
     count = F.col(n) if n else F.lit(1)
     v = F.col(value).cast("double")
-    ends = df.groupBy(*group).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))  # one row for each group
-    spread = df.join(ends, group) if group else df.crossJoin(F.broadcast(ends))
-    share = F.coalesce(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    rows = spread.withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")).withColumn("_n", count.cast("long")).drop("_lo", "_hi")
+    cuts = df.groupBy(*group).agg(F.percentile_approx(v, [k / buckets for k in range(1, buckets)], 16 * buckets).alias("_cuts"))  # one row for each group
+    spread = df.join(cuts, group) if group else df.crossJoin(F.broadcast(cuts))
+    steps = F.array(*[F.lit(1 << b) for b in range(buckets.bit_length() - 1, -1, -1)])
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= v, at + step).otherwise(at))  # cuts not above the value
+    rows = spread.withColumn("_b", bucket).withColumn("_n", count.cast("long")).drop("_cuts")
     sums = rows.groupBy(*group, "_b").agg(F.sum("_n").alias("_s"))
     over = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # `buckets` rows at most
     base = sums.select(*group, "_b", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_base"))
