@@ -85,3 +85,36 @@ def inputs_gate(files: DataFrame, wanted: DataFrame, least_bytes: int = 1024) ->
     """(name, pass, detail) for wanted files against a listing of (path, length)."""
     found = files.filter(F.col("length") > least_bytes).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
     return wanted.join(found, "file", "left").select(F.lit("inputs").alias("gate"), F.col("file").alias("name"), F.col("length").isNotNull().alias("pass"), F.coalesce(F.col("length").cast("string"), F.lit("missing")).alias("detail"))
+
+
+def table_gate(df: DataFrame, name: str, required: tuple[str, ...], least_rows: int, source: str | None = None, generated: str = "synthetic") -> DataFrame:
+    """Rows, columns, complete target rows and real sources of an input table."""
+    c, have = F.col, set(df.columns)
+    missing = [k for k in required if k not in have]
+    measures = {"n": F.count("*"), "complete": F.count_if(F.lit(True) if missing else F.forall(F.array(*[c(k).isNotNull() for k in required]), lambda x: x)), "made": F.count_if(c(source).contains(generated)) if source else F.lit(0)}
+    return gate(df, name, measures, {
+        "rows": (c("n") >= least_rows, c("n")),
+        "columns": (F.lit(not missing), F.lit(", ".join(missing) or "all")),
+        "complete": ((c("complete") > 0) & F.lit(not missing), c("complete")),
+        "real_sources": (c("made") == 0, c("made")),
+    })
+
+
+def comparison_gate(pixels: DataFrame, a: tuple[str, str, str] = ("r", "g", "b"), b: tuple[str, str, str] = ("r2", "g2", "b2"), alpha: str = "a", value: str = "v", value2: str = "v2", most_difference: float = 60.0, least_correlation: float = 0.7, least_seen: float = 0.3) -> DataFrame:
+    """Two pictures of one map, pixel by pixel: mean colour difference and correlation of their values where the first is visible, and the visible share."""
+    c, seen = F.col, F.col(alpha) > 0
+    apart = sum((F.abs(c(x) - c(y)) for x, y in zip(a, b, strict=True)), F.lit(0)) / 3
+    measures = {"difference": F.avg(F.when(seen, apart)), "correlation": F.abs(F.corr(F.when(seen, c(value)), F.when(seen, c(value2)))), "share": F.avg(seen.cast("double"))}
+    return gate(pixels, "comparison", measures, {
+        "mean_difference": (c("difference") < most_difference, F.round(c("difference"), 4)),
+        "correlation": (c("correlation") > least_correlation, F.round(c("correlation"), 4)),
+        "coverage": (c("share") > least_seen, F.round(c("share"), 4)),
+    })
+
+
+def coverage_gate(tiles: DataFrame, wanted: DataFrame, least_share: float = 0.95) -> DataFrame:
+    """Whether the tiles (zoom, tx, ty, bytes) hold those wanted (zoom, tx, ty), with some content each."""
+    held = tiles.filter(F.col("bytes") > 0).select("zoom", "tx", "ty").distinct().withColumn("held", F.lit(1))
+    c = F.col
+    measures = {"n": F.count("*"), "share": F.count("held") / F.count("*")}
+    return gate(wanted.distinct().join(held, ["zoom", "tx", "ty"], "left"), "coverage", measures, {"wanted": (c("n") > 0, c("n")), "held": (c("share") >= least_share, F.round(c("share"), 4))})

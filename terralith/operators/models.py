@@ -35,6 +35,14 @@ class Params:
     seed: int = 42
 
 
+@dataclass(frozen=True)
+class Ridge:
+    """A ridge regression on standardised features, as another kind of model in a sweep."""
+
+    alpha: float = 10.0
+    early_stopping: int = 0
+
+
 # The feature sets and settings of the published configurations.
 CLIMATE = ("bio01", "bio04", "bio05", "bio06", "bio12", "bio14", "bio15", "bio17")
 SOIL = ("soc", "nitrogen", "phh2o", "clay", "sand", "silt", "bdod", "cec")
@@ -50,6 +58,17 @@ CONFIGS: dict[str, tuple[tuple[str, ...], Params]] = {
     "F_climate_only": (CLIMATE, Params(n_estimators=200)),
     "F_NPP": (CLIMATE + PRODUCTIVITY, Params(subsample=0.85, min_child_weight=4, reg_alpha=0.5)),
 }
+#: Land-cover classes take part as one-hot columns lc_NN, those with at least ten sites.
+CONFIGS["Full_MODIS"] = (SOIL + CLIMATE + ENGINEERED + PRODUCTIVITY + tuple(f"lc_{c:02d}" for c in range(1, 17)), Params())
+#: Feature blocks and kinds of models that the published diagnosis compares.
+BLOCKS: dict[str, tuple[tuple[str, ...], Params | Ridge]] = {
+    "all, default trees": (SOIL + CLIMATE + ENGINEERED, Params(n_estimators=400, max_depth=5, subsample=0.85, min_child_weight=1, reg_alpha=0.0, reg_lambda=1.0)),
+    "all, shallow trees": (SOIL + CLIMATE + ENGINEERED, Params(n_estimators=200, colsample=1.0, min_child_weight=1, reg_alpha=0.0)),
+    "all, ridge": (SOIL + CLIMATE + ENGINEERED, Ridge(10.0)),
+    "climate, trees": (BASELINE, Params(n_estimators=200, subsample=1.0, colsample=1.0, min_child_weight=1, reg_alpha=0.0)),
+    "climate, ridge": (BASELINE, Ridge(5.0)),
+    "soil, trees": (SOIL, Params(n_estimators=200, subsample=1.0, colsample=1.0, min_child_weight=1, reg_alpha=0.0)),
+}
 BASELINE_PARAMS = Params(n_estimators=400, max_depth=4, subsample=0.85, colsample=1.0, min_child_weight=1, reg_alpha=0.0, reg_lambda=1.0)
 
 
@@ -220,7 +239,17 @@ def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
 RUN_SCHEMA = "config string, fold int, n_features int, n_train int, n_test int, r2 double, rmse double, mae double, bias double, pred_std double, obs_std double, n_trees int"
 
 
-def sweep(train: DataFrame, folds: DataFrame, target: str, configs: dict[str, tuple[tuple[str, ...], Params]], transfer: DataFrame | None = None) -> DataFrame:
+def ridge_predictions(x: np.ndarray, y: np.ndarray, new: np.ndarray, alpha: float) -> np.ndarray:
+    """Predictions for new rows by the ridge that the rows (x, y) give, features standardised, the constant not penalised."""
+    x, new = x.astype(float), new.astype(float)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    z = (x - mean) / scale
+    beta = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
+    return y.mean() + (new - mean) / scale @ beta
+
+
+def sweep(train: DataFrame, folds: DataFrame, target: str, configs: dict[str, tuple[tuple[str, ...], Params | Ridge]], transfer: DataFrame | None = None) -> DataFrame:
     """Every configuration on every fold (fold >= 1), and, with a transfer table, on all training rows against it (fold 0).
 
     folds has (block, fold) and train a block column. Each (configuration, fold) is one group of training-table size.
@@ -243,6 +272,9 @@ def sweep(train: DataFrame, folds: DataFrame, target: str, configs: dict[str, tu
         if not len(a) or not len(b):
             return pd.DataFrame(columns=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
         xb, yb = _matrix(b, feats), b[target].to_numpy(float)
+        if isinstance(p, Ridge):
+            said = ridge_predictions(_matrix(a, feats), a[target].to_numpy(float), xb, p.alpha)
+            return pd.DataFrame([{"config": config, "fold": run, "n_features": len(feats), "n_train": len(a), "n_test": len(b), **metrics(yb, said), "n_trees": 0}])
         forest = fit_forest(_matrix(a, feats), a[target].to_numpy(float), feats, p, (xb, yb) if p.early_stopping else None)
         return pd.DataFrame([{"config": config, "fold": run, "n_features": len(feats), "n_train": len(a), "n_test": len(b), **metrics(yb, forest.predict(xb)), "n_trees": len({r[0] for r in forest.rows})}])
 
@@ -308,12 +340,52 @@ def attribute(df: DataFrame, model: Forest, keys: list[str]) -> DataFrame:
     return kept.mapInPandas(run, kept.select(*keys, F.lit("").alias("feature"), F.lit(0.0).alias("value")).schema)
 
 
+def attribute_wide(df: DataFrame, model: Forest, prefix: str = "phi_") -> DataFrame:
+    """The rows with a Shapley value column for each feature of the model, in one pass; NULL where a feature is missing."""
+    names = [prefix + f for f in model.features]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 5000):
+                part = pdf.iloc[at : at + 5000]
+                x = _matrix(part, model.features)
+                ok = ~np.isnan(x).any(axis=1)
+                phi = np.full(x.shape, np.nan)
+                phi[ok] = model.attributions(x[ok])
+                values = phi.astype(object)
+                values[~ok] = None
+                yield pd.concat([part, pd.DataFrame(values, columns=names, index=part.index)], axis=1)
+
+    return df.mapInPandas(run, df.select("*", *[F.lit(None).cast("double").alias(n) for n in names]).schema)
+
+
 def importance_ranks(attributions: DataFrame) -> DataFrame:
     """(feature, importance, rank): mean absolute attribution, largest first. One row for each feature."""
     mean = attributions.groupBy("feature").agg(F.avg(F.abs(F.col("value"))).alias("importance"))
     return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
+def group_attributions(train: DataFrame, group: str, features: list[str], target: str, params: Params = Params()) -> DataFrame:
+    """(group, n, feature, importance, rank): one model for each group, and the mean absolute Shapley value of each feature over all the group's rows."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.dropna(subset=[target, *features]).sort_values([target, *features], kind="stable")
+        x = _matrix(rows, features)
+        forest = fit_forest(x, rows[target].to_numpy(float), features, params)
+        importance = np.abs(forest.attributions(x)).mean(axis=0) if len(rows) else np.zeros(len(features))
+        order = np.lexsort((features, -importance))
+        return pd.DataFrame({group: pdf[group].iloc[0], "n": len(rows), "feature": [features[i] for i in order], "importance": importance[order], "rank": np.arange(1, len(features) + 1)})
+
+    kind = train.schema[group].dataType.simpleString()
+    return train.select(group, target, *features).groupBy(group).applyInPandas(one, f"{group} {kind}, n int, feature string, importance double, rank int")
+
+
+def anomalies(grid: DataFrame, models: dict[str, Forest], baseline: Forest) -> DataFrame:
+    """The grid with log_rs_<name> and anomaly_<name> of several models over one baseline (log_rs_climate), in one pass."""
+    out = score(grid, {f"log_rs_{n}": m for n, m in models.items()} | {"log_rs_climate": baseline})
+    return out.withColumns({f"anomaly_{n}": F.exp(F.col(f"log_rs_{n}") - F.col("log_rs_climate")) for n in models})
+
+
 def anomaly(grid: DataFrame, full: Forest, baseline: Forest) -> DataFrame:
     """The grid with log_rs_pred, log_rs_climate and their ratio, in one pass."""
     out = score(grid, {"log_rs_pred": full, "log_rs_climate": baseline})
@@ -348,11 +420,18 @@ def stratified_transfer(df: DataFrame, stratum: str, is_test: Column, features:
     return rows.groupBy("stratum").applyInPandas(one, STRATUM_SCHEMA)
 
 
+#: Zones are classes of climate; each one's trees go to the driver and on to the tasks.
+MOST_ZONES = 100
+
+
 def zone_predictions(train: DataFrame, grid: DataFrame, zone: str, features: list[str], target: str, keys: list[str], params: Params, least: int = 30) -> DataFrame:
     """(keys, zone, prediction): each zone's cells scored by the model of the zone's sites; zones with few sites give none."""
     trees = {}
-    models = fit_groups(train.join(train.groupBy(zone).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least), zone), zone, features, target, params)
-    for name, part in models.toPandas().groupby(zone):  # zones are a handful of classes
+    models = fit_groups(train.filter(F.col(zone).isNotNull()).join(train.groupBy(zone).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least), zone), zone, features, target, params)
+    found = models.select(zone).distinct().limit(MOST_ZONES + 1).count()
+    if found > MOST_ZONES:
+        raise ValueError(f"more than {MOST_ZONES} zones")
+    for name, part in models.toPandas().groupby(zone):  # MOST_ZONES models at most
         trees[name] = Forest.of(part.drop(columns=[zone, "base"]), features, float(part["base"].iloc[0]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -53,3 +53,30 @@ def _(spark, sf):
 def _(spark, sf):
     have = set(view(spark, sf, "v_sites").columns)
     return spark.createDataFrame([(c, c in have) for c in ("rs_annual", "koppen")], "name string, present boolean")
+
+
+@query("gate_table", "with m as (select count(*) as n, count_if(rs_annual is not null and longitude is not null) as complete, count_if(contains(source, 'synthetic')) as made from v_sites) select 'sites' as gate, name, pass, detail from m, lateral (values ('rows', n >= 100, cast(n as varchar)), ('columns', true, 'all'), ('complete', complete > 0, cast(complete as varchar)), ('real_sources', made = 0, cast(made as varchar))) x(name, pass, detail)")
+def _(spark, sf):
+    return checks.table_gate(view(spark, sf, "v_sites"), "sites", ("rs_annual", "longitude"), 100, "source")
+
+
+COMPARED_SQL = "with c as (select *, 255 - r as r2, g as g2, b as b2, r * 1e0 + g as v, g * 1e0 + b as v2 from v_px), m as (select avg(case when a > 0 then (abs(r - r2) + abs(g - g2) + abs(b - b2)) / 3e0 end) as d, abs(corr(case when a > 0 then v end, case when a > 0 then v2 end)) as k, avg(case when a > 0 then 1e0 else 0e0 end) as s from c) select 'comparison' as gate, name, pass from m, lateral (values ('mean_difference', d < 60), ('correlation', k > 0.7e0), ('coverage', s > 0.3e0)) x(name, pass)"
+
+
+@query("gate_comparison", COMPARED_SQL)
+def _(spark, sf):
+    c = F.col
+    pixels = view(spark, sf, "v_px").select("*", (255 - c("r")).alias("r2"), c("g").alias("g2"), c("b").alias("b2"), (c("r") * 1.0 + c("g")).alias("v"), (c("g") * 1.0 + c("b")).alias("v2"))
+    return checks.comparison_gate(pixels).select("gate", "name", "pass")
+
+
+@query("gate_coverage", "with t as (select distinct cast(p_size % 7 as int) as zoom, cast(p_partkey % 4 as int) as tx, cast(p_partkey % 3 as int) as ty from part), held as (select distinct cast(p_size % 7 as int) as zoom, cast(p_partkey % 4 as int) as tx, cast(p_partkey % 3 as int) as ty from part where p_partkey % 5 > 0), m as (select count(*) as n, count(h.zoom) / count(*) as share from t left join held h using (zoom, tx, ty)) select 'coverage' as gate, name, pass, detail from m, lateral (values ('wanted', n > 0, cast(n as varchar)), ('held', share >= 0.95e0, cast(round(share, 4) as varchar))) x(name, pass, detail)")
+def _(spark, sf):
+    c = F.col
+    t = table(spark, sf, "part").select((c("p_size") % 7).cast("int").alias("zoom"), (c("p_partkey") % 4).cast("int").alias("tx"), (c("p_partkey") % 3).cast("int").alias("ty"), (c("p_partkey") % 5).alias("bytes"))
+    return checks.coverage_gate(t, t.select("zoom", "tx", "ty"))
+
+
+@query("gate_picture", "with m as (select count_if(a > 0) as seen, count(distinct case when a > 0 then r * 65536 + g * 256 + b end) as colours, avg(case when a > 0 and abs(ratio - 1) < 0.02e0 then (greatest(r, g, b) - least(r, g, b)) / (greatest(r, g, b) + 1e-6) end) as near, avg(case when a > 0 and (ratio < 0.85e0 or ratio > 1.15e0) then (greatest(r, g, b) - least(r, g, b)) / (greatest(r, g, b) + 1e-6) end) as far from v_px) select 'picture' as gate, name, pass from m, lateral (values ('visible', seen > 100), ('colours', colours > 50), ('pale_centre', coalesce(near < far, false))) x(name, pass)")
+def _(spark, sf):
+    return checks.picture_gate(view(spark, sf, "v_px"), 100, 50).select("gate", "name", "pass")

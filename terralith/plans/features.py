@@ -58,10 +58,12 @@ def _(spark, sf):
     return f.groupBy(climate.biome(F.col("landcover")).alias("biome")).agg(F.count("*").alias("n"), F.count_if(climate.is_land(F.col("landcover"))).alias("n_land"))
 
 
-@query("landcover_names", "with names(code, label) as (values (0, 'Water'), (1, 'Evergreen needleleaf forests'), (4, 'Deciduous broadleaf forests'), (10, 'Grasslands'), (12, 'Croplands')) select coalesce(n.label, 'Unclassified') as label, count(*) as n from (select case when landcover in (0, 1, 4, 10, 12) then landcover else 999 end as code from v_feat) f left join names n on f.code = n.code group by 1")
+NAMES_SQL = ", ".join(f"({code}, '{name}')" for code, name in climate.IGBP_NAMES.items())
+
+
+@query("landcover_names", f"with names(code, label) as (values {NAMES_SQL}) select coalesce(n.label, 'Unclassified') as label, count(*) as n from v_feat f left join names n on f.landcover = n.code group by 1")
 def _(spark, sf):
-    code = F.when(F.col("landcover").isin(0, 1, 4, 10, 12), F.col("landcover")).otherwise(999)
-    return view(spark, sf, "v_feat").groupBy(climate.igbp_name(code).alias("label")).agg(F.count("*").alias("n"))
+    return view(spark, sf, "v_feat").groupBy(climate.igbp_name(F.col("landcover")).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("one_hot_classes", "with f as (select landcover from v_feat), big as (select landcover from f where landcover in (select landcover from f group by landcover having count(*) >= 10)) select 'lc_' || lpad(cast(landcover as varchar), 2, '0') as feature, cast(count(*) as double) as total from big group by 1")

@@ -60,9 +60,13 @@ def _(spark, sf):
     return tagged.filter(F.col("region").isin("asia", "us")).groupBy("region").agg(F.count("*").alias("n"), F.count_if(F.col("longitude") < -50).alias("n_west"))
 
 
-@query("column_completeness", "select column_name, present_share from (select count(bio01) / count(*) as bio01, count(nitrogen) / count(*) as nitrogen, count(soc) / count(*) as soc from v_feat) unpivot (present_share for column_name in (bio01, nitrogen, soc)) order by present_share, column_name limit 2")
+MEASURED = ("bio01", "bio05", "bio06", "bio12", "bio14", "bio17", "nitrogen", "soc", "clay", "sand", "phh2o", "landcover", "stratum", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+SHARES_SQL = ", ".join(f"count({c}) / count(*) as {c}" for c in MEASURED)
+
+
+@query("column_completeness", f"select column_name, present_share from (select {SHARES_SQL} from v_feat) unpivot (present_share for column_name in ({', '.join(MEASURED)})) order by present_share, column_name limit 15")
 def _(spark, sf):
-    return op.top_rows(op.completeness(view(spark, sf, "v_feat").select("bio01", "nitrogen", "soc")), [F.col("present_share"), F.col("column_name")], 2)
+    return op.top_rows(op.completeness(view(spark, sf, "v_feat").select(*MEASURED)), [F.col("present_share"), F.col("column_name")], 15)
 
 
 @query("source_value_counts", "select manipulation, count(*) as n from v_sites where manipulation is not null group by manipulation")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import climate, geo, scalar
 from ..operators import documents, ingest, models, stats
 from ..registry import query
+from ..sources import synthetic
 from .views import view
 
 FEATURES = ["bio01", "bio04", "bio05", "bio06", "bio12", "bio14", "bio15", "bio17"]
@@ -18,18 +19,25 @@ FULL = models.CONFIGS["F_climate_only"][1]
 BASELINE = models.BASELINE_PARAMS
 
 
+#: The climate features' least and greatest value, and how each leans on warmth and on wetness.
+CLIMATE = {name: synthetic.COVARIATES[name] for name in FEATURES}
+
+
 def climate_columns(df):
-    """Smooth climate fields over positions, with a hash of the position in place of noise."""
+    """Smooth climate fields over positions: warmth falls towards the poles, wetness changes in belts, and waves take the place of noise."""
     lon, lat = F.col("longitude"), F.col("latitude")
-    wave = lambda k: F.sin(lon * k) * F.cos(lat * (k + 0.3))
-    df = df.withColumn("bio01", F.lit(27.0) - F.abs(lat) * 0.6 + wave(0.9) * 3).withColumn("bio12", scalar.clip(F.lit(800.0) + F.cos(F.radians(lat * 2.5)) * 1500 + wave(1.3) * 250, 50.0, 4000.0))
-    return df.withColumns({"bio04": scalar.clip(F.abs(lat) * 35 + wave(0.4) * 100, 50.0, 1500.0), "bio05": F.col("bio01") + 12 + wave(0.2) * 2, "bio06": F.col("bio01") - 15 + wave(0.6) * 3, "bio14": F.col("bio12") / 14, "bio15": F.lit(75.0) + wave(2.1) * 50, "bio17": F.col("bio12") / 6})
+    wave = lambda k: F.sin(lon / (k + 2) + k) * F.cos(lat / (k + 3))
+    warmth, wetness = F.cos(F.radians(lat)) * 2.2 - 1.2 + wave(1) * 0.2, F.cos(F.radians(lat * 6)) * 0.6 + wave(2) * 0.4
+    made = {}
+    for k, (name, (low, high, by_warmth, by_wetness)) in enumerate(CLIMATE.items(), 3):
+        made[name] = F.lit(low) + F.lit(high - low) / (F.lit(1.0) + F.exp(-(warmth * by_warmth + wetness * by_wetness + wave(k) * 0.3)))
+    return df.withColumns(made)
 
 
 def training(spark, sf):
     sites = climate_columns(view(spark, sf, "v_sites")).withColumn("site_id", F.concat("source", F.lit("_"), F.col("rec").cast("string")))
     lon, lat = F.col("longitude"), F.col("latitude")
-    target = F.lit(4.4) + F.col("bio01") * 0.04 + F.ln(F.col("bio12") + 50) * 0.3 + F.col("rs_annual") * 2e-5
+    target = F.col("bio01") / 25 + F.ln(F.lit(0.25) + F.col("bio12") / (F.col("bio12") + 900)) + 6 + F.col("rs_annual") * 2e-5
     return sites.withColumn("log_rs", target).withColumn("region", geo.region_of(lon, lat)).withColumn("block", geo.block_id(lon, lat))
 
 
@@ -105,10 +113,53 @@ def _(spark, sf):
 
     t = training(spark, sf).filter("region = 'asia'")
     full, base = models.fit(t, FEATURES, "log_rs", FULL), models.fit(t, BASE, "log_rs", BASELINE)
-    cells = models.anomaly(grid(spark), full, base).withColumn("cell", F.col("row") * 1000 + F.col("col"))
-    wide = models.attribute(cells, full, ["cell"]).groupBy("cell").pivot("feature", FEATURES).agg(F.first("value"))
-    cells = cells.join(wide.select("cell", *[F.col(f).alias(f"phi_{f}") for f in FEATURES]), "cell")
+    cells = models.attribute_wide(models.anomaly(grid(spark), full, base), full, "phi_").withColumn("cell", F.col("row") * 1000 + F.col("col"))
     cells = nearest_reference(cells, ingest.dedup_cells(t).select("site_id", "longitude", "latitude"), "cell", "site_id")
     code = climate.zone_code(F.col("bio01"), F.col("bio12"), F.col("bio14"), F.col("bio17"))
     docs = cells.select(F.round("latitude", 2).alias("lat"), F.round("longitude", 2).alias("lon"), documents.model_block("log_rs_pred", FEATURES, "log_rs_climate", "phi_").alias("fnpp"), code.alias("koppen_code"), climate.zone_label(code).alias("koppen"), F.rint("distance_km").cast("int").alias("nearest_train_km"))
     return documents.as_json_lines(docs)
+
+
+def generated(spark, sf):
+    """Generated sites with all published features, one for each row of the customer table, and land cover as one-hot columns."""
+    from .pipeline import engineer
+
+    n = view(spark, sf, "v_sites").count()
+    sites = engineer(synthetic.sites(spark, min(n, 5_000)))
+    classes = [r["landcover"] for r in sites.groupBy(F.col("landcover").cast("int").alias("landcover")).count().filter("count >= 10").orderBy("landcover").collect()]  # sixteen at most
+    region = geo.region_of(F.col("longitude"), F.col("latitude"))
+    return sites.select("*", region.alias("region"), geo.block_id(F.col("longitude"), F.col("latitude")).alias("block"), *scalar.one_hot(F.col("landcover").cast("int"), classes)), classes
+
+
+@query("block_comparison")
+def _(spark, sf):
+    sites, _ = generated(spark, sf)
+    asia = sites.filter("region = 'asia'").withColumn("rec", F.xxhash64("site_id") % 1_000_000_007)
+    folds = stats.kfold_ids(asia, "rec").withColumnRenamed("rec", "block")
+    return models.sweep(asia.drop("block").withColumnRenamed("rec", "block"), folds, "log_rs_annual", models.BLOCKS, sites.filter("region = 'us'"))
+
+
+@query("full_modis")
+def _(spark, sf):
+    sites, classes = generated(spark, sf)
+    features, params = models.CONFIGS["Full_MODIS"]
+    kept = tuple(f for f in features if not f.startswith("lc_") or f in {f"lc_{c:02d}" for c in classes})
+    return models.sweep(sites.filter("region = 'asia'"), stats.fold_ids(sites), "log_rs_annual", {"Full_MODIS": (kept, params), "F_NPP": models.CONFIGS["F_NPP"]}, sites.filter("region = 'us'"))
+
+
+@query("region_attributions")
+def _(spark, sf):
+    return models.group_attributions(training(spark, sf).filter("region <> 'other'"), "region", FEATURES, "log_rs", FULL)
+
+
+@query("dual_anomaly")
+def _(spark, sf):
+    from .pipeline import engineer
+
+    sites, _ = generated(spark, sf)
+    asia = sites.filter("region = 'asia'")
+    named = {"climate": "F_climate_only", "all": "B_heavier_reg"}
+    fitted = {n: models.fit(asia, list(models.CONFIGS[c][0]), "log_rs_annual", models.CONFIGS[c][1]) for n, c in named.items()}
+    base = models.fit(asia, list(models.BASELINE), "log_rs_annual", BASELINE)
+    out = models.anomalies(engineer(synthetic.grid(spark, 2.0)), fitted, base)
+    return out.select("row", "col", "longitude", "latitude", *[f"{k}_{n}" for n in named for k in ("log_rs", "anomaly")], "log_rs_climate")

@@ -1,9 +1,10 @@
-"""Readers: tables, flux exports, key/value files, layer registries, models, polygons, pictures, traces."""
+"""Readers: tables, flux exports, key/value files, layer registries, models, polygons, rasters, pictures, tile archives, traces."""
 
 from __future__ import annotations
 
 import json
 import re
+import sqlite3
 import struct
 import zlib
 from collections.abc import Iterator
@@ -150,11 +151,12 @@ def decode_png(data: bytes) -> np.ndarray:
         if f in (0, 2):
             now[n:] = (line + (up[n:] if f else 0)) & 255
             continue
+        if f == 1:
+            now[n:] = (line.reshape(width, n).cumsum(axis=0) & 255).ravel()
+            continue
         for i in range(width * n):
             a, b, c = now[i], up[i + n], up[i]
-            if f == 1:
-                p = a
-            elif f == 3:
+            if f == 3:
                 p = (a + b) // 2
             else:
                 e = a + b - c
@@ -179,6 +181,133 @@ def read_pictures(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "path string, py int, px int, r int, g int, b int, a int")
 
 
+#: Bytes and notation of the kinds of numbers in a raster's directory.
+TIFF_KINDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
+
+
+def tiff_tags(data: bytes) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the first directory of a TIFF, plain or of the large form."""
+    order = "<" if data[:2] == b"II" else ">"
+    large = struct.unpack(order + "H", data[2:4])[0] == 43
+    at = struct.unpack(order + ("Q" if large else "I"), data[8:16] if large else data[4:8])[0]
+    count, at = (struct.unpack(order + "Q", data[at : at + 8])[0], at + 8) if large else (struct.unpack(order + "H", data[at : at + 2])[0], at + 2)
+    step, room = (20, 8) if large else (12, 4)
+    tags = {}
+    for k in range(count):
+        e = data[at + k * step : at + (k + 1) * step]
+        tag, kind = struct.unpack(order + "HH", e[:4])
+        n = struct.unpack(order + ("Q" if large else "I"), e[4 : 4 + room])[0]
+        if kind not in TIFF_KINDS:
+            continue
+        size, sign = TIFF_KINDS[kind]
+        raw = e[4 + room :]
+        if size * n > room:
+            start = struct.unpack(order + ("Q" if large else "I"), raw[:room])[0]
+            raw = data[start : start + size * n]
+        tags[tag] = (raw[:n].rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(f"{order}{n}{sign}", raw[: size * n])
+    return order, tags
+
+
+def lzw_decode(data: bytes) -> bytes:
+    """The LZW form of TIFF: codes of 9 to 12 bits, the widest bit first."""
+    out, bits, held, width = bytearray(), 0, 0, 9
+    table: list[bytes] = []
+    last = b""
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
+def tiff_blocks(data: bytes, band: int = 1, window: tuple[int, int, int, int] | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, values) of each strip or tile that meets the window (row, column, rows, columns); only these are decoded."""
+    order, t = tiff_tags(data)
+    one = lambda tag, default: t.get(tag, (default,))[0]
+    w, h, n = one(256, 0), one(257, 0), one(277, 1)
+    bits, kind, packing, predictor, apart = one(258, 1), one(339, 1), one(259, 1), one(317, 1), one(284, 1) == 2
+    if packing not in (1, 5, 8, 32946) or bits not in (8, 16, 32, 64):
+        raise ValueError(f"a raster packed in a way that is not read: {packing}, {bits} bits")
+    dtype = np.dtype(order + {1: "u", 2: "i", 3: "f"}[kind] + str(bits // 8))
+    bw, bh = (one(322, w), one(323, h)) if 324 in t else (w, min(one(278, h), h))
+    offsets, counts = (t[324], t[325]) if 324 in t else (t[273], t[279])
+    across, down = -(-w // bw), -(-h // bh)
+    r0, c0, rows, cols = window or (0, 0, h, w)
+    each = 1 if apart else n
+    for by in range(down):
+        for bx in range(across):
+            if by * bh >= r0 + rows or (by + 1) * bh <= r0 or bx * bw >= c0 + cols or (bx + 1) * bw <= c0:
+                continue
+            k = by * across + bx + ((band - 1) * across * down if apart else 0)
+            raw = data[offsets[k] : offsets[k] + counts[k]]
+            raw = raw if packing == 1 else lzw_decode(raw) if packing == 5 else zlib.decompress(raw)
+            high = bh if 324 in t else min(bh, h - by * bh)
+            if predictor == 3:  # bytes of equal weight lie together, as differences
+                parts = np.frombuffer(raw, np.uint8)[: high * bw * each * bits // 8].reshape(high, -1)
+                lanes = np.cumsum(parts.reshape(high, -1, each), axis=1, dtype=np.uint8).reshape(high, bits // 8, bw * each)
+                x = np.ascontiguousarray(lanes.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(high, bw, each)
+            else:
+                x = np.frombuffer(raw, dtype)[: high * bw * each].reshape(high, bw, each)
+                if predictor == 2:
+                    x = np.cumsum(x, axis=1, dtype=dtype.newbyteorder("="))
+            x = x[: min(high, h - by * bh), : min(bw, w - bx * bw), 0 if apart else band - 1]
+            top, left = max(0, r0 - by * bh), max(0, c0 - bx * bw)
+            yield by * bh + top, bx * bw + left, x[top : r0 + rows - by * bh, left : c0 + cols - bx * bw].astype(float)
+
+
+def read_geotiff(spark: SparkSession, pattern: str, band: int = 1, nodata_mask: bool = True, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(path, row, col, longitude, latitude, value) of rasters, one row for each cell, in the coordinates of the file; nodata and NaN become NULL.
+
+    window: (row, column, rows, columns) to read, block by block.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                data = bytes(content)
+                _, t = tiff_tags(data)
+                xres, yres = t.get(33550, (1.0, 1.0))[:2]
+                i, j, _, x0, y0 = t.get(33922, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))[:5]
+                empty = float(t[42113][0].strip() or "nan") if 42113 in t else np.nan
+                for r, c, x in tiff_blocks(data, band, window):
+                    row, col = np.indices(x.shape)
+                    row, col = row.ravel() + r, col.ravel() + c
+                    v = x.ravel()
+                    known = ~np.isnan(v) & ~((v == empty) | (v == np.float32(empty)) if nodata_mask else np.zeros(len(v), bool))
+                    yield pd.DataFrame({"path": path, "row": row, "col": col, "longitude": x0 + (col + 0.5 - i) * xres, "latitude": y0 - (row + 0.5 - j) * yres, "value": pd.Series(v).astype(object).where(known, None)})
+
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    return files.mapInPandas(run, "path string, row int, col int, longitude double, latitude double, value double")
+
+
+def read_mbtiles(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, zoom, tx, ty, data) of tile archives, rows counted from the north."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with sqlite3.connect(":memory:") as db:
+                    db.deserialize(bytes(content))
+                    found = db.execute("select zoom_level, tile_column, tile_row, tile_data from tiles order by 1, 2, 3")
+                    while some := found.fetchmany(256):
+                        yield pd.DataFrame([(path, z, x, (1 << z) - 1 - y, bytes(d)) for z, x, y, d in some], columns=["path", "zoom", "tx", "ty", "data"])
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "path string, zoom int, tx int, ty int, data binary")
+
+
 def read_traces(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, line_no, x, y) of electrochemistry traces: pairs of numbers after any preamble; a cut-off last line is dropped."""
     number = r"([-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)"

@@ -61,9 +61,10 @@ def write_forest(spark: SparkSession, model: Forest, path: str) -> None:
 
 
 def geotiff(values: np.ndarray, west: float, north: float, xres: float, yres: float, nodata: float = -9999.0, epsg: int = 4326) -> bytes:
-    """A single-band float picture with its place on the globe; missing values become nodata."""
-    data = np.where(np.isnan(values), nodata, values).astype("<f4")
-    h, w = data.shape
+    """A picture with its place on the globe: one band of floats (height x width), missing values as nodata, or bytes of red, green, blue and alpha (height x width x 4)."""
+    colour = values.ndim == 3
+    data = np.ascontiguousarray(values, dtype=np.uint8) if colour else np.where(np.isnan(values), nodata, values).astype("<f4")
+    h, w = data.shape[:2]
     strips = [zlib.compress(data[y : y + 64].tobytes()) for y in range(0, h, 64)]
     text = f"{nodata:g}\0".encode()
     keys = (1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, epsg)
@@ -71,18 +72,21 @@ def geotiff(values: np.ndarray, west: float, north: float, xres: float, yres: fl
     add = lambda tag, kind, fmt, *v: entries.append((tag, kind, len(v), struct.pack("<" + fmt * len(v), *v)))
     add(256, 4, "I", w)
     add(257, 4, "I", h)
-    add(258, 3, "H", 32)
+    add(258, 3, "H", *([8] * 4 if colour else [32]))
     add(259, 3, "H", 8)
-    add(262, 3, "H", 1)
+    add(262, 3, "H", 2 if colour else 1)
     add(273, 4, "I", *[0] * len(strips))
-    add(277, 3, "H", 1)
+    add(277, 3, "H", 4 if colour else 1)
     add(278, 4, "I", 64)
     add(279, 4, "I", *map(len, strips))
-    add(339, 3, "H", 3)
+    if colour:
+        add(338, 3, "H", 2)
+    add(339, 3, "H", *([1] * 4 if colour else [3]))
     add(33550, 12, "d", xres, yres, 0.0)
     add(33922, 12, "d", 0.0, 0.0, 0.0, west, north, 0.0)
     add(34735, 3, "H", *keys)
-    entries.append((42113, 2, len(text), text))
+    if not colour:
+        entries.append((42113, 2, len(text), text))
     at = 8 + 2 + 12 * len(entries) + 4
     places, extra = {}, b""
     for tag, _, _, raw in entries:
@@ -104,16 +108,17 @@ def geotiff(values: np.ndarray, west: float, north: float, xres: float, yres: fl
     return head + struct.pack("<I", 0) + extra + b"".join(strips)
 
 
-def geotiff_blocks(cells: DataFrame, value: str, west: float, north: float, xres: float, yres: float, block: int = 512) -> DataFrame:
-    """(by, bx, data): the file of each block x block square of a cell table, made where the block lies."""
+def geotiff_blocks(cells: DataFrame, value: str | tuple[str, ...], west: float, north: float, xres: float, yres: float, block: int = 512) -> DataFrame:
+    """(by, bx, data): the file of each block x block square of a cell table, made where the block lies. value: one column, or those of red, green, blue and alpha."""
+    names = [value] if isinstance(value, str) else list(value)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         by, bx = int(pdf["by"].iloc[0]), int(pdf["bx"].iloc[0])
-        out = np.full((block, block), np.nan)
-        out[pdf["row"] % block, pdf["col"] % block] = pdf[value].astype(float)
+        out = np.full((block, block), np.nan) if len(names) == 1 else np.zeros((block, block, len(names)), dtype=np.uint8)
+        out[pdf["row"] % block, pdf["col"] % block] = pdf[names[0]].astype(float) if len(names) == 1 else pdf[names].fillna(0)
         return pd.DataFrame([{"by": by, "bx": bx, "data": geotiff(out, west + bx * block * xres, north - by * block * yres, xres, yres)}])
 
-    keyed = cells.select("row", "col", value, F.floor(F.col("row") / block).cast("int").alias("by"), F.floor(F.col("col") / block).cast("int").alias("bx"))
+    keyed = cells.select("row", "col", *names, F.floor(F.col("row") / block).cast("int").alias("by"), F.floor(F.col("col") / block).cast("int").alias("bx"))
     return keyed.groupBy("by", "bx").applyInPandas(run, "by int, bx int, data binary")
 
 
@@ -136,8 +141,14 @@ def tile_blobs(tiles: DataFrame, size: int = 256) -> DataFrame:
     return tiles.select("zoom", "tx", "ty", "ix", "iy", "r", "g", "b", "a").groupBy("zoom", "tx", "ty").applyInPandas(run, "zoom int, tx int, ty int, data binary")
 
 
+MOST_TILES = 1_000_000
+
+
 def write_mbtiles(blobs: DataFrame, path: str, name: str) -> int:
-    """A tile archive in one SQLite file; tiles pass the driver one partition at a time."""
+    """A tile archive in one SQLite file; tiles pass the driver one partition at a time, MOST_TILES at most: an export for a viewer, not a store."""
+    count = blobs.limit(MOST_TILES + 1).count()
+    if count > MOST_TILES:
+        raise ValueError(f"more than {MOST_TILES} tiles")
     count = 0
     with sqlite3.connect(path) as db:
         db.execute("create table if not exists tiles (zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")

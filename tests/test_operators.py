@@ -124,6 +124,19 @@ def test_nearest_both_ways(spark, monkeypatch):
     assert sorted((r["cell"], r["ref"], r["soc"]) for r in a) == sorted((r["cell"], r["ref"], r["soc"]) for r in b)
 
 
+def test_nearest_of_repeated_missing_and_tied_rows(spark, monkeypatch):
+    """Both ways keep every row; ties go to the smaller key; a cell without a position or a key is a row like any other."""
+    cells = spark.createDataFrame([(1, 10.0, 0.0), (1, 10.0, 0.0), (2, None, 5.0), (None, 179.9, 89.0), (3, -179.5, 0.2), (4, 60.0, -80.0)], "cell int, longitude double, latitude double")
+    refs = spark.createDataFrame([(7, 9.0, 0.0, "b"), (5, 11.0, 0.0, "a"), (9, 179.5, 0.2, "c"), (11, -10.0, 88.0, None), (12, None, 1.0, "x"), (None, 10.0, 0.0, "y")], "ref int, longitude double, latitude double, name string")
+    want = [(None, 11, None), (1, 5, "a"), (1, 5, "a"), (2, None, None), (3, 9, "c"), (4, 5, "a")]
+    for most in (2_000, 0):
+        monkeypatch.setattr(neighbours, "MOST_BROADCAST", most)
+        got = neighbours.nearest_reference(cells, refs, "cell", "ref", ("name",)).collect()
+        assert sorted(((r["cell"], r["ref"], r["name"]) for r in got), key=repr) == sorted(want, key=repr)
+        none = neighbours.nearest_reference(cells, refs.limit(0), "cell", "ref").collect()
+        assert len(none) == 6 and {r["ref"] for r in none} == {None}
+
+
 def test_raster_pieces(spark):
     g = raster.make_grid(spark, 0.0, 0.0, 4.0, 2.0, 1.0)
     assert g.count() == 8
@@ -239,6 +252,70 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sinks.geotiff_blocks(spark.createDataFrame([(0, 0, 1.0)], "row int, col int, v double"), "v", 0, 1, 1, 1, 4).count() == 1
 
 
+def test_rasters_come_back(spark, tmp_path):
+    v = np.arange(70 * 9, dtype=float).reshape(70, 9)
+    v[3, 4] = np.nan
+    (tmp_path / "a.tif").write_bytes(sinks.geotiff(v, 10.0, 50.0, 0.5, 0.25))
+    got = {(r["row"], r["col"]): r for r in readers.read_geotiff(spark, str(tmp_path / "a.tif")).collect()}
+    assert len(got) == v.size and got[3, 4]["value"] is None and got[69, 8]["value"] == v[69, 8]
+    assert (got[0, 0]["longitude"], got[2, 3]["latitude"]) == (10.25, 50.0 - 2.5 * 0.25)
+    some = readers.read_geotiff(spark, str(tmp_path / "a.tif"), window=(60, 2, 6, 3)).collect()
+    assert sorted((r["row"], r["col"], r["value"]) for r in some) == [(r, c, v[r, c]) for r in range(60, 66) for c in range(2, 5)]
+    rgba = np.random.default_rng(0).integers(0, 256, (5, 6, 4), dtype=np.uint8)
+    for band in range(4):
+        (_, _, x), *_ = readers.tiff_blocks(sinks.geotiff(rgba, 0, 1, 1, 1), band + 1)
+        assert (x == rgba[:, :, band]).all()
+    db = tmp_path / "t.mbtiles"
+    sinks.write_mbtiles(spark.createDataFrame([(1, 0, 1, bytearray(b"x")), (0, 0, 0, bytearray(b"y"))], "zoom int, tx int, ty int, data binary"), str(db), "n")
+    assert sorted((r["zoom"], r["tx"], r["ty"], bytes(r["data"])) for r in readers.read_mbtiles(spark, str(db)).collect()) == [(0, 0, 0, b"y"), (1, 0, 1, b"x")]
+
+
+def test_lzw_of_rasters():
+    def pack(data):  # the plain textbook encoder
+        table, out, w = {bytes([i]): i for i in range(256)}, [(256, 9)], b""
+        size, width = 258, 9
+        for b in data:
+            if w + bytes([b]) in table:
+                w += bytes([b])
+                continue
+            out.append((table[w], width))
+            table[w + bytes([b])] = size
+            size += 1
+            width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+            w = bytes([b])
+        out += [(table[w], width), (257, 9 if size + 1 < 512 else 10 if size + 1 < 1024 else 11 if size + 1 < 2048 else 12)]
+        bits = "".join(f"{c:0{n}b}" for c, n in out)
+        bits += "0" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+    for data in (b"aaaaaaa", b"-----A---B", bytes(range(256)) * 4, np.random.default_rng(1).integers(0, 9, 3000, dtype=np.uint8).tobytes()):
+        assert readers.lzw_decode(pack(data)) == data
+
+
+def test_ridge_among_the_models():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(50, 3)) * [1, 5, 0.1]
+    y = x @ [1.0, -2.0, 3.0] + 4
+    assert np.allclose(models.ridge_predictions(x, y, x[:5], 1e-9), y[:5])
+
+
+def test_buckets_stay_even_beside_an_outlier(spark):
+    df = spark.createDataFrame([(float(k % 700),) for k in range(3000)] + [(1e12,)], "v double")
+    from terralith.operators import ranks
+
+    got = sorted((r["v"], r["before"]) for r in ranks.before(df, [], "v", buckets=16).collect())
+    assert [b for _, b in got] == list(range(3001))
+
+
+def test_wide_attributions_equal_long_ones(spark):
+    s = synthetic.sites(spark, 200)
+    m = models.fit(s, ["bio01", "bio12"], "log_rs_annual", models.Params(n_estimators=10))
+    rows = s.select("site_id", F.when(F.col("site_id") != "site_3", F.col("bio01")).alias("bio01"), "bio12")
+    wide = {(r["site_id"], f): r[f"phi_{f}"] for r in models.attribute_wide(rows, m).collect() for f in m.features}
+    long = {(r["site_id"], r["feature"]): r["value"] for r in models.attribute(rows, m, ["site_id"]).collect()}
+    assert wide["site_3", "bio01"] is None and {k: v for k, v in wide.items() if v is not None} == long
+
+
 def test_synthetic_is_stable(spark):
     a = synthetic.sites(spark, 200)
     b = synthetic.sites(spark, 200).repartition(7)
