@@ -161,7 +161,9 @@ def fit_forest(x: np.ndarray, y: np.ndarray, features: list[str], p: Params, hel
     forest = Forest(list(features), float(y.mean()) if len(y) else 0.0)
     pred = np.full(len(y), forest.base)
     best, best_round, seen = math.inf, -1, np.full(len(held[1]), forest.base) if held else None
-    order = np.argsort(x, axis=0, kind="stable")  # missing values last
+    # each column as places among its different values, so that a node's sums by value are one pass over its rows
+    known = [np.unique(c[~np.isnan(c)]) for c in x.T]
+    codes = np.stack([np.where(np.isnan(c), -1, np.searchsorted(u, c)) for c, u in zip(x.T, known, strict=True)], axis=0) if x.size else np.zeros((x.shape[1], 0), np.int64)
     for k in range(p.n_estimators if len(y) else 0):
         g = pred - y
         used = np.sort(rng.choice(len(y), max(1, int(len(y) * p.subsample)), replace=False)) if p.subsample < 1 else np.arange(len(y))
@@ -177,24 +179,26 @@ def fit_forest(x: np.ndarray, y: np.ndarray, features: list[str], p: Params, hel
             nodes.append([k, me, -1, 0.0, -1, -1, True, weight * p.learning_rate, h])
             if depth == p.max_depth or len(rows) < 2:
                 return me
-            inside = np.zeros(len(g), bool)
-            inside[rows] = True
             parent = _soft(gs, p.reg_alpha) ** 2 / (h + p.reg_lambda)
             top = (1e-12, None)
+            mine = g[rows]
             for c in cols:
-                o = order[inside[order[:, c]], c]
-                v = x[o, c]
-                n = int((~np.isnan(v)).sum())
-                if n < 2:
+                code = codes[c][rows]
+                own = mine
+                if code.min() < 0:
+                    own, code = mine[code >= 0], code[code >= 0]
+                count = np.bincount(code, minlength=1)
+                seen_ = np.flatnonzero(count)
+                if len(seen_) < 2:
                     continue
-                gl, hl = np.cumsum(g[o[:n]])[:-1], np.arange(1.0, n)
-                can = v[1:n] > v[: n - 1]
-                gm, hm = gs - (gl[-1] + g[o[n - 1]]), h - n
+                sums, v = np.bincount(code, weights=own)[seen_], known[c][seen_]
+                gl, hl = np.cumsum(sums)[:-1], np.cumsum(count[seen_])[:-1].astype(float)
+                gm, hm = gs - sums.sum(), h - len(code)
                 for to_left in (True, False) if hm else (True,):
                     a, ha = gl + (gm if to_left else 0), hl + (hm if to_left else 0)
                     b, hb = gs - a, h - ha
                     gain = _soft(a, p.reg_alpha) ** 2 / (ha + p.reg_lambda) + _soft(b, p.reg_alpha) ** 2 / (hb + p.reg_lambda) - parent
-                    gain = np.where(can & (ha >= p.min_child_weight) & (hb >= p.min_child_weight), gain, -np.inf)
+                    gain = np.where((ha >= p.min_child_weight) & (hb >= p.min_child_weight), gain, -np.inf)
                     i = int(gain.argmax())
                     if gain[i] > top[0]:
                         top = (float(gain[i]), (int(c), float((v[i] + v[i + 1]) / 2), to_left))
