@@ -17,7 +17,8 @@ A document is known by a 64-bit hash of its id and text: places come back by it,
 exchange, which orders by them.
 
 Cases: a null text has no words. Documents shorter than a window are kept whole. Rows that repeat an id are
-each judged by their own text, against smaller ids only. A null id is larger than any. Empty tables give empty tables.
+each judged by their own text, against smaller ids only. A null id counts as the largest id, and stays null. Very long
+texts are probed whole. Empty tables give empty tables. Only the id and the text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import U64, mix, partitions, slices, window_hashes, word_hashes
 
 WINDOW = 50
+#: Bytes of text whose probes make one part of the hash range: a part is unpacked in one task.
+PART_TEXT = 32 << 20
 NO_ID = 2**63 - 1
 PACKED = "part int, keys binary, ids binary, counts binary, gaps binary, hashes binary, wide int"
 PLACES = "key long, places binary"
@@ -148,9 +151,11 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, text and `places`: the packed first words of the windows that a document of smaller id has too (null: none)."""
     block = window // 2
-    parts = partitions(docs.sparkSession)
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    slim = slim.withColumn("key", F.xxhash64("doc_id", "text"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-size // PART_TEXT))
+    own = F.col(id_col).cast("long")
+    slim = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), own.alias("own"))
+    slim = slim.select("doc_id", "text", F.xxhash64(F.col("own").isNull(), "doc_id", "text").alias("key"), "own")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
@@ -190,7 +195,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     anchors = exchange(slim.mapInArrow(probe, PACKED), lambda d, p, h: met_in_two(d, p, h, block), 32, parts)
     around = slim.join(anchors, "key").select("doc_id", "text", "places", "key").mapInArrow(candidates, PACKED)
     flagged = exchange(around, in_smaller, 64, parts)
-    return slim.join(flagged, "key", "left").select("doc_id", "text", "places")
+    return slim.join(flagged, "key", "left").select(F.col("own").alias("doc_id"), "text", "places")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -204,7 +209,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 gone = covered(len(words), _places(found), window)
                 edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if found else b" ".join(words)
-                rows.append((None if key == NO_ID else key, len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass"), [[int(a), int(b - a)] for a, b in zip(edge[::2], edge[1::2], strict=True)]))
+                rows.append((key, len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass"), [[int(a), int(b - a)] for a, b in zip(edge[::2], edge[1::2], strict=True)]))
             yield _batch(rows, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("runs", pa.list_(pa.list_(pa.int64())))])

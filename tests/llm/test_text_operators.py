@@ -635,3 +635,54 @@ def test_packing_round_trip(spark):
     assert {r["ids_crc32"] for r in packing.digest(packing.pack(table(spark, [(0, None)]), queries.TOKENIZER)).collect()} == {zlib.crc32((2).to_bytes(4, "little"))}
     assert packing.pack(empty(spark), queries.TOKENIZER).count() == 0
     assert packing.piece_lengths(4096 * 2 + 5) == [4096, 4096, 4, 1] and packing.piece_lengths(0) == []
+
+
+# ---- all: ids at the ends of their range, no id, repeated rows, clashing names, a very long text, an empty table
+
+
+HARD_IDS = [-(2**63), 2**63 - 1, 2**60 + 1, None, 5, 5]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op7", "op9", "op10"])
+def test_hard_rows(spark, name):
+    long = " ".join(words(77, 700_000))  # some four megabytes
+    texts = [" ".join(words(k, 60)) for k in range(4)] + ["same text of five words"] * 2
+    pairs = [*zip(HARD_IDS, texts, strict=True), (9, long), (10, None), (11, ""), (None, texts[0])]
+    df = table(spark, pairs)
+    for column in ("_id", "_hash", "_key", "_range", "_marks", "_bucket", "_source", "key", "vertex", "at"):
+        df = df.withColumn(column, F.lit("clash"))
+    known = {(i, t) for i, t in pairs}
+    run = {
+        "op1": lambda d: jaccard.jaccard_join(d),
+        "op2": lambda d: language.classify(d, None).select("doc_id", "lang_pred"),
+        "op3": fingerprints.compare_with_edits,
+        "op4": lambda d: mixing.digest(mixing.mix(d)),
+        "op5": lambda d: toxicity.score(d, toxicity.Model({"w1": 1.0})).select("doc_id", "score"),
+        "op7": lambda d: substrings.digest(substrings.remove_repeats(d)),
+        "op9": lambda d: lines.digest(lines.dedup_lines(d)),
+        "op10": lambda d: packing.digest(packing.pack(d, queries.TOKENIZER)).filter("start = 0"),
+    }[name]
+    got = [r["doc_id"] for r in run(df).collect()]
+    assert sorted(got, key=repr) == sorted((i for i, _ in pairs), key=repr) and len(known) == len(pairs) - 1
+    assert run(df.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_every_column(spark):
+    df = table(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2**63 - 1, "q r s t u v")]).withColumn("_id", F.lit(9)).withColumn("_node", F.lit(3))
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns and sorted((r["doc_id"], r["_id"], r["_node"]) for r in got.collect()) == [(5, 9, 3), (2**63 - 1, 9, 3)]
+
+
+def test_network_equals_plain_convolutions():
+    rng = np.random.default_rng(0)
+    net = language.train(rng.integers(1, 70, (40, 32), dtype=np.uint8), rng.integers(0, 3, 40), ["a", "b", "c"], epochs=1)
+    x = rng.integers(0, 70, (3, 32), dtype=np.uint8)
+    for row, said in zip(x, net.probabilities(x), strict=True):
+        h = []
+        for f in range(net.filters.shape[1]):
+            w = net.filters[:, f].reshape(-1, net.embed.shape[1])
+            best = max(sum(float(net.embed[row[i + k] if i + k < len(row) else 0] @ w[k]) for k in range(len(w))) for i in range(len(row)))
+            h.append(max(0.0, best + float(net.bias[f])))
+        z = np.array(h) @ net.out_w + net.out_b
+        p = np.exp(z - z.max())
+        assert np.allclose(p / p.sum(), said, atol=1e-4)
