@@ -46,6 +46,17 @@ PROPOSED = "home int, target binary, other binary, sim binary"
 _PROPOSED = pa.schema([("home", pa.int32()), ("target", pa.binary()), ("other", pa.binary()), ("sim", pa.binary())])
 
 
+def between_rounds(df: DataFrame) -> DataFrame:
+    """A checkpoint that also drops the size estimated for the plan behind it.
+
+    A checkpoint hands that estimate on, and a cogroup multiplies those of its sides: after ten rounds it is a number
+    of millions of digits, on which the driver spends minutes and hundreds of megabytes.
+    """
+    kept = checkpoint(df)
+    spark = kept.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+
+
 def home_of(ids: np.ndarray, homes: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U64)) % U64(homes)).astype(np.int64)
 
@@ -334,10 +345,10 @@ def settle(state: DataFrame, turn: int) -> DataFrame:
 def build(nodes: DataFrame, count: int, longest: float) -> tuple[DataFrame, int]:
     """The neighbour graph (STATE) of distinct vectors (id, v)."""
     homes = max(1, -(-count // HOME_NODES))
-    start = checkpoint(as_bytes(nodes, homes, longest))
-    state = checkpoint(merge(start, first_proposals(start, count, homes)))
+    start = between_rounds(as_bytes(nodes, homes, longest))
+    state = between_rounds(merge(start, first_proposals(start, count, homes)))
     for turn in range(ROUNDS):
-        state = checkpoint(merge(settle(state, turn), local_joins(state, homes, turn)))
+        state = between_rounds(merge(settle(state, turn), local_joins(state, homes, turn)))
         fresh = state.agg(F.sum(F.length(F.replace(F.hex("fresh"), F.lit("00"), F.lit(""))) / 2)).first()[0] or 0
         release(state.sparkSession)
         if fresh < SETTLED * count * DEGREE:
@@ -413,14 +424,14 @@ def search(state: DataFrame, queries: DataFrame, homes: int) -> DataFrame:
             out_d.append(done[top].astype("u1").tobytes())
         return pa.table([left.column("home"), left.column("query"), left.column("vec"), *(pa.array(c, pa.binary()) for c in (out_i, out_s, out_d)), pa.array(out_c, pa.int32())], names=names)
 
-    now = checkpoint(state.join(queries, "id", "left_semi").mapInArrow(start, pool))
+    now = between_rounds(state.join(queries, "id", "left_semi").mapInArrow(start, pool))
     ended = []
     while True:  # pools only improve, and each walk expands a node at least
         near = now.groupBy("home").applyInArrow(asks, REQUEST).groupBy("home").cogroup(state.groupBy("home")).applyInArrow(give_lists, REPLY)
         wanted = near.groupBy("home").applyInArrow(reached, REQUEST)
         vectors = wanted.groupBy("home").cogroup(state.groupBy("home")).applyInArrow(give_vectors, REPLY)
         given = near.withColumn("what", F.lit(0)).unionByName(vectors.withColumn("what", F.lit(1)))
-        now = checkpoint(now.groupBy("home").cogroup(given.groupBy("home")).applyInArrow(step, pool))
+        now = between_rounds(now.groupBy("home").cogroup(given.groupBy("home")).applyInArrow(step, pool))
         ended.append(now.filter("open = 0").select("query", "ids"))
         now = now.filter("open = 1")
         release(state.sparkSession)
