@@ -154,8 +154,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), -(-size // PART_TEXT))
     own = F.col(id_col).cast("long")
-    slim = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), own.alias("own"))
-    slim = slim.select("doc_id", "text", F.xxhash64(F.col("own").isNull(), "doc_id", "text").alias("key"), "own")
+    known = F.coalesce("own", F.lit(NO_ID)).alias("doc_id")
+    slim = docs.select(F.col(text_col).cast("string").alias("text"), own.alias("own"))
+    # both joins below take the same three columns, so that the texts are shuffled once
+    slim = slim.select("text", F.xxhash64(F.col("own").isNull(), known, "text").alias("key"), "own")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=8 << 20):
@@ -192,8 +194,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 rows = list(pack_probes(keys, ids, np.concatenate(owners), np.concatenate(places), np.concatenate(hashes), parts, 64))
                 yield _batch(rows, _PACKED)
 
-    anchors = exchange(slim.mapInArrow(probe, PACKED), lambda d, p, h: met_in_two(d, p, h, block), 32, parts)
-    around = slim.join(anchors, "key").select("doc_id", "text", "places", "key").mapInArrow(candidates, PACKED)
+    anchors = exchange(slim.select(known, "text", "key").mapInArrow(probe, PACKED), lambda d, p, h: met_in_two(d, p, h, block), 32, parts)
+    around = slim.join(anchors, "key").select(known, "text", "places", "key").mapInArrow(candidates, PACKED)
     flagged = exchange(around, in_smaller, 64, parts)
     return slim.join(flagged, "key", "left").select(F.col("own").alias("doc_id"), "text", "places")
 
