@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, lines, mixing, neighbours, packing, substrings, toxicity, warc
+from . import alignment, fingerprints, importance, jaccard, language, lines, mixing, neighbours, packing, substrings, toxicity, url_rules, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -62,6 +65,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir), TOKENIZER))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir), *ALIGNED)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -73,6 +89,9 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_url_filters": op12_url_filters,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
@@ -116,9 +135,60 @@ select d.doc_id, cast(coalesce(a.n, 0) as int) as n_lines, cast(coalesce(g.n, 0)
 from documents d left join (select doc_id, count(*) as n from numbered group by doc_id) a using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id) left join runs using (doc_id) left join kept using (doc_id)
 """
 
+# the CRC of each different run, byte by byte: eight terms stand for the table of the polynomial
+_TABLE = {1 << k: functools.reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), 1 << k) for k in range(8)}
+_STEP = functools.reduce(lambda a, b: f"xor({a}, {b})", [f"((x >> {k}) & 1) * {_TABLE[1 << k]}" for k in range(8)]).replace("x >>", "xor(c, b) >>")
+IMPORTANCE_SQL = f"""
+with words as (select 'd' as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents
+  union all select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') from benchmark),
+runs as (select side, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) as f from words),
+counted as (select side, id, f, count(*) as n from runs group by all),
+coded as (select f, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(f)) + 1), lambda i: ('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::bigint)), lambda c, b: xor(c >> 8, {_STEP})), 4294967295::bigint) % 10000 as bucket from (select distinct f from counted)),
+per as (select side, id, bucket, sum(n) as n from counted join coded using (f) group by all),
+sums as (select sum(n) filter (side = 'd') as sd, sum(n) filter (side = 'b') as sb from per),
+gain as (select b as bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (coalesce(sd, 0) + 10000)::double / ((coalesce(s, 0) + 1)::double * (coalesce(sb, 0) + 10000)::double))) as g
+  from (select unnest(range(10000)) as b) left join (select bucket, sum(n) filter (side = 'd') as s, sum(n) filter (side = 'b') as t from per group by bucket) on b = bucket, sums),
+weighed as (select id, sum(n) as n_features, sum(n * g) as weight from per join gain using (bucket) where side = 'd' group by id),
+scored as (select w.id as doc_id, len(ws) as n_words, cast(coalesce(n_features, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight, cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || w.id)[1:8])::bigint + 0.5e0) / 4294967296e0))) as bigint) as score from words w left join weighed using (id) where side = 'd'),
+placed as (select doc_id, row_number() over (order by score desc, doc_id) as place from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when place <= (select 5 * count(*) // 100 from placed) then place end as rank from scored left join placed using (doc_id)
+"""
+
+URL_SQL = """
+with raw as (select page_id, url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+cut as (select *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from raw),
+given as (select *, case
+  when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+  when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+  when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+  when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+  when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule from cut),
+known as (select page_id, host, path, rule, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end as label,
+  case when rest is null then [] else list_sort(list_distinct(list_concat(
+    ['scheme ' || translate(split_part(url, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')],
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host ' || x), list_transform(list_filter(regexp_split_to_array(host, '[.-]'), lambda x: x <> ''), lambda x: 'host ' || x),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path ' || regexp_replace(x, '[0-9]+', '#', 'g')),
+    list_transform(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1) <> ''), lambda x: 'query ' || split_part(x, '=', 1))))) end as tokens from given),
+known_tokens as (select * replace (list_filter(tokens, lambda x: x <> 'scheme ') as tokens) from known),
+taught as (select row_number() over () as k, tokens, label from known_tokens where label is not null),
+size as (select count(*) as n, count(*) filter (label = 'block') as blocks from taught),
+usual as (select case when blocks > n - blocks then 'block' else 'allow' end as label, greatest(blocks, n - blocks) / n as prior, n from size),
+each as (select k, label, unnest(tokens) as t from taught),
+parts as (select k, label, [t] as p from each union all select a.k, a.label, [a.t, b.t] from each a join each b on a.k = b.k and a.t < b.t
+  union all select a.k, a.label, [a.t, b.t, c.t] from each a join each b on a.k = b.k and a.t < b.t join each c on a.k = c.k and b.t < c.t),
+counts as (select p, count(*) as all_, count(*) filter (label = 'block') as block_, count(*) filter (label = 'allow') as allow_ from parts group by p),
+rules as (select p, r.label, both_, both_ / all_ as sure from (select p, all_, 'block' as label, block_ as both_ from counts union all select p, all_, 'allow', allow_ from counts) r, usual where both_ >= ceil(0.01e0 * n) and both_ / all_ >= 0.8e0 and (r.label <> usual.label or both_ / all_ > prior)),
+kept as (select * from rules r where not exists (select 1 from rules g where g.label = r.label and len(g.p) < len(r.p) and list_has_all(r.p, g.p) and g.sure >= r.sure)),
+asked as (select distinct tokens from known_tokens where label is null),
+best as (select tokens, label, array_to_string(p, ' + ') as because from asked join kept on list_has_all(tokens, p) qualify row_number() over (partition by tokens order by sure desc, both_ desc, label desc, array_to_string(p, ' + ')) = 1)
+select page_id, host, path, rule, coalesce(k.label, b.label, usual.label, 'allow') as verdict, case when rule is null then because end as because from known_tokens k left join best b on k.label is null and b.tokens = k.tokens left join usual on true
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": JACCARD_SQL,
     "op7_substring_dedup": SUBSTRING_SQL,
     "op8_warc_revisits": warc.DIGEST_SQL,
     "op9_line_dedup": LINES_SQL,
+    "op11_importance_resampling": IMPORTANCE_SQL,
+    "op12_url_filters": URL_SQL,
 }
