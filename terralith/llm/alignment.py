@@ -210,7 +210,7 @@ def _block(number: int, ids: list, found: list[dict], pairs: np.ndarray, doc: np
     yield pa.RecordBatch.from_arrays([pa.array(d, f.type) for d, f in zip(data, _DOC_ARROW, strict=True)], schema=_DOC_ARROW)
 
 
-def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """DOC_SCHEMA: the documents of each block, and one row for the block with its different pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
                     size = len(text or "")
                     if ids and rows + size > BATCH_BYTES:
                         flush()
-                    if held[0] and bytes_ + size > BLOCK_BYTES:
+                    if held[0] and bytes_ + size > block_bytes:
                         yield from block()
                     waiting.append(text)
                     ids.append(doc_id)
@@ -293,9 +293,9 @@ def _counted(asked: DataFrame) -> DataFrame:
     return total.join(F.broadcast(highest), F.col("pair") % VOCABULARY == F.col("b")).select("pair", "total", (F.col("total") == F.col("highest")).alias("best"))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """OUT_SCHEMA, a row for each document."""
-    blocks = checkpoint(aligned_blocks(docs, a_path, b_path, id_col, text_col))
+    blocks = checkpoint(aligned_blocks(docs, a_path, b_path, id_col, text_col, block_bytes))
     asked = _asked(blocks)
     answers = asked.select("block", "pair").join(_counted(asked), "pair").select("block", "pair", "total", "best")
     own = blocks.filter("not of_block").drop("of_block")
