@@ -1,38 +1,25 @@
-"""Boosted trees, ridge and mean predictors: fitted per group in Arrow batches, scored over grids row by row.
+"""Models over tables: sweeps, transfers, groups, zones, anomalies and attributions of boosted trees, ridge and mean predictors.
 
-Training tables are small (hundreds of sites), grids large: models are fitted in parallel, one group (a
-configuration and fold, a stratum, a region) to a task, and grids are scored where they lie, with the fitted trees
-travelling in the task. Second-order boosting on squared error with L1 and L2 penalties on leaves, row and
-column sampling, learned directions for missing values and optional early stopping.
+Fits go through boosting.fit_runs (all models of a query at once, histograms summed by Spark). What a fit gives, a forest of a
+few thousand nodes, travels to the rows: grids and test rows are scored where they lie, and metrics are aggregates
+of the scores.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field, replace
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, default_left boolean, value double, cover double"
+from . import stats
+from .boosting import Bins, Block, Growth, Params, Run, fit_runs, grow_here
+from .forests import TREE_SCHEMA, Forest
 
-
-@dataclass(frozen=True)
-class Params:
-    n_estimators: int = 250
-    max_depth: int = 3
-    learning_rate: float = 0.05
-    subsample: float = 0.7
-    colsample: float = 0.85
-    min_child_weight: float = 6.0
-    reg_alpha: float = 0.1
-    reg_lambda: float = 2.0
-    early_stopping: int = 0
-    seed: int = 42
+__all__ = ["TREE_SCHEMA", "Forest", "Params", "Ridge", "fit", "fit_forest", "fit_groups", "sweep"]
 
 
 @dataclass(frozen=True)
@@ -60,7 +47,7 @@ CONFIGS: dict[str, tuple[tuple[str, ...], Params]] = {
 }
 #: Land-cover classes take part as one-hot columns lc_NN, those with at least ten sites.
 CONFIGS["Full_MODIS"] = (SOIL + CLIMATE + ENGINEERED + PRODUCTIVITY + tuple(f"lc_{c:02d}" for c in range(1, 17)), Params())
-#: Feature blocks and kinds of models that the published diagnosis compares.
+#: Feature blocks and kinds of models that the published diagnosis compares (fixed values too).
 BLOCKS: dict[str, tuple[tuple[str, ...], Params | Ridge]] = {
     "all, default trees": (SOIL + CLIMATE + ENGINEERED, Params(n_estimators=400, max_depth=5, subsample=0.85, min_child_weight=1, reg_alpha=0.0, reg_lambda=1.0)),
     "all, shallow trees": (SOIL + CLIMATE + ENGINEERED, Params(n_estimators=200, colsample=1.0, min_child_weight=1, reg_alpha=0.0)),
@@ -72,163 +59,17 @@ BLOCKS: dict[str, tuple[tuple[str, ...], Params | Ridge]] = {
 BASELINE_PARAMS = Params(n_estimators=400, max_depth=4, subsample=0.85, colsample=1.0, min_child_weight=1, reg_alpha=0.0, reg_lambda=1.0)
 
 
-@dataclass
-class Forest:
-    """Trees in one table; children of leaves are -1. Feature order is part of the model."""
-
-    features: list[str]
-    base: float
-    rows: list[tuple] = field(default_factory=list)
-
-    def table(self) -> pd.DataFrame:
-        return pd.DataFrame(self.rows, columns=[x.split()[0] for x in TREE_SCHEMA.split(", ")])
-
-    @staticmethod
-    def of(table: pd.DataFrame, features: list[str], base: float) -> Forest:
-        return Forest(list(features), base, list(table.itertuples(index=False, name=None)))
-
-    def trees(self) -> list[dict[str, np.ndarray]]:
-        t = self.table()
-        return [{c: g[c].to_numpy() for c in t.columns} for _, g in t.groupby("tree", sort=True)] if len(t) else []
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float32)
-        out = np.full(len(x), self.base)
-        for t in self.trees():
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(64):
-                f = t["feature"][node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                v = x[np.arange(len(x)), np.maximum(f, 0)]
-                left = np.where(np.isnan(v), t["default_left"][node], v < t["threshold"][node].astype(np.float32))
-                node = np.where(inner, np.where(left, t["left"][node], t["right"][node]), node)
-            out += t["value"][node]
-        return out
-
-    def attributions(self, x: np.ndarray) -> np.ndarray:
-        """Exact path-dependent Shapley values, rows x features; with the expectation they sum to the prediction."""
-        x = x.astype(np.float32)
-        phi = np.zeros((len(x), len(self.features)))
-        for t in self.trees():
-            stack = [(0, {})]
-            while stack:
-                node, path = stack.pop()
-                f = int(t["feature"][node])
-                if f < 0:
-                    _leaf(phi, path, float(t["value"][node]))
-                    continue
-                v = x[:, f]
-                left = np.where(np.isnan(v), bool(t["default_left"][node]), v < np.float32(t["threshold"][node]))
-                for child, goes in ((int(t["left"][node]), left), (int(t["right"][node]), ~left)):
-                    share = t["cover"][child] / t["cover"][node]
-                    one, zero = path.get(f, (np.ones(len(x), bool), 1.0))
-                    stack.append((child, {**path, f: (one & goes, zero * share)}))
-        return phi
-
-    def expectation(self) -> float:
-        total = self.base
-        for t in self.trees():
-            leaf = t["feature"] < 0
-            total += float((t["value"][leaf] * t["cover"][leaf]).sum() / t["cover"][0])
-        return total
-
-
-def _leaf(phi: np.ndarray, path: dict, value: float) -> None:
-    names, d = list(path), len(path)
-    for f in names:
-        others = [g for g in names if g != f]
-        total = np.zeros(len(phi))
-        for k in range(d):
-            weight = math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d)
-            for some in combinations(others, k):
-                term = np.full(len(phi), weight)
-                for g in others:
-                    term = term * (path[g][0] if g in some else path[g][1])
-                total += term
-        phi[:, f] += value * total * (path[f][0] - path[f][1])
-
-
-def _soft(g: np.ndarray, alpha: float) -> np.ndarray:
-    return np.sign(g) * np.maximum(np.abs(g) - alpha, 0)
-
-
 def fit_forest(x: np.ndarray, y: np.ndarray, features: list[str], p: Params, held: tuple[np.ndarray, np.ndarray] | None = None) -> Forest:
-    """Exact greedy boosting; with `held` (features, target) and early_stopping, the trees after the best round are dropped."""
-    x, y = np.asarray(x, dtype=np.float32), np.asarray(y, dtype=np.float64)
-    rng = np.random.default_rng(p.seed)
-    forest = Forest(list(features), float(y.mean()) if len(y) else 0.0)
-    pred = np.full(len(y), forest.base)
-    best, best_round, seen = math.inf, -1, np.full(len(held[1]), forest.base) if held else None
-    # each column as places among its different values, so that a node's sums by value are one pass over its rows
-    known = [np.unique(c[~np.isnan(c)]) for c in x.T]
-    codes = np.stack([np.where(np.isnan(c), -1, np.searchsorted(u, c)) for c, u in zip(x.T, known, strict=True)], axis=0) if x.size else np.zeros((x.shape[1], 0), np.int64)
-    for k in range(p.n_estimators if len(y) else 0):
-        g = pred - y
-        used = np.sort(rng.choice(len(y), max(1, int(len(y) * p.subsample)), replace=False)) if p.subsample < 1 else np.arange(len(y))
-        cols = np.sort(rng.choice(len(features), max(1, int(len(features) * p.colsample)), replace=False)) if p.colsample < 1 else np.arange(len(features))
-        active = np.zeros(len(y), bool)
-        active[used] = True
-        nodes: list[list] = []
-
-        def grow(rows: np.ndarray, depth: int, k=k, g=g, cols=cols, nodes=nodes) -> int:
-            me = len(nodes)
-            gs, h = g[rows].sum(), float(len(rows))
-            weight = -float(_soft(gs, p.reg_alpha) / (h + p.reg_lambda))
-            nodes.append([k, me, -1, 0.0, -1, -1, True, weight * p.learning_rate, h])
-            if depth == p.max_depth or len(rows) < 2:
-                return me
-            parent = _soft(gs, p.reg_alpha) ** 2 / (h + p.reg_lambda)
-            top = (1e-12, None)
-            mine = g[rows]
-            for c in cols:
-                code = codes[c][rows]
-                own = mine
-                if code.min() < 0:
-                    own, code = mine[code >= 0], code[code >= 0]
-                count = np.bincount(code, minlength=1)
-                seen_ = np.flatnonzero(count)
-                if len(seen_) < 2:
-                    continue
-                sums, v = np.bincount(code, weights=own)[seen_], known[c][seen_]
-                gl, hl = np.cumsum(sums)[:-1], np.cumsum(count[seen_])[:-1].astype(float)
-                gm, hm = gs - sums.sum(), h - len(code)
-                for to_left in (True, False) if hm else (True,):
-                    a, ha = gl + (gm if to_left else 0), hl + (hm if to_left else 0)
-                    b, hb = gs - a, h - ha
-                    gain = _soft(a, p.reg_alpha) ** 2 / (ha + p.reg_lambda) + _soft(b, p.reg_alpha) ** 2 / (hb + p.reg_lambda) - parent
-                    gain = np.where((ha >= p.min_child_weight) & (hb >= p.min_child_weight), gain, -np.inf)
-                    i = int(gain.argmax())
-                    if gain[i] > top[0]:
-                        top = (float(gain[i]), (int(c), float((v[i] + v[i + 1]) / 2), to_left))
-            if top[1] is None:
-                return me
-            c, cut, to_left = top[1]
-            v = x[rows, c]
-            left = np.where(np.isnan(v), to_left, v < np.float32(cut))
-            if left.all() or not left.any():
-                return me
-            nodes[me][2:4] = [c, cut]
-            nodes[me][6] = to_left
-            nodes[me][4] = grow(rows[left], depth + 1)
-            nodes[me][5] = grow(rows[~left], depth + 1)
-            return me
-
-        grow(np.flatnonzero(active), 0)
-        one = Forest(forest.features, 0.0, [tuple(n) for n in nodes])
-        forest.rows += one.rows
-        pred += one.predict(x)
-        if held is not None and p.early_stopping:
-            seen += one.predict(held[0])
-            rmse = float(np.sqrt(np.mean((seen - held[1]) ** 2)))
-            if rmse < best:
-                best, best_round = rmse, k
-            elif k - best_round >= p.early_stopping:
-                break
-    if held is not None and p.early_stopping:
-        forest.rows = [r for r in forest.rows if r[0] <= best_round]
-    return forest
+    """One model of arrays in memory, as a task grows it; with `held` (features, target) and early_stopping, the trees after the best round are dropped."""
+    both = [np.asarray(a, dtype=np.float32).reshape(-1, len(features)) for a in ((x, held[0]) if held else (x,))]
+    every, target = np.concatenate(both), np.concatenate([y, held[1]] if held else [y]).astype(float)
+    known = [np.unique(c[~np.isnan(c)]) for c in every.T]
+    bins = [Bins.of(u, True) if len(u) <= 255 else Bins.of(np.quantile(u, np.arange(1, 255) / 255), False) for u in known]
+    codes = np.stack([b.codes(c) for b, c in zip(bins, every.T, strict=True)]) if len(features) else np.zeros((0, len(target)), np.uint8)
+    key = pd.util.hash_array(target) ^ np.arange(len(target), dtype=np.uint64)
+    part = np.repeat(np.arange(len(both)), [len(b) for b in both])
+    run = Run("", tuple(features), p, frozenset({0}), frozenset({1}) if held else frozenset(), complete=False)
+    return grow_here(Growth(run, np.arange(len(features)), bins), Block(codes, target, part, key))
 
 
 def metrics(y: np.ndarray, p: np.ndarray) -> dict[str, float]:
@@ -236,11 +77,28 @@ def metrics(y: np.ndarray, p: np.ndarray) -> dict[str, float]:
     return {"r2": 1 - float(((y - p) ** 2).sum()) / sst if sst else float("nan"), "rmse": float(np.sqrt(np.mean((y - p) ** 2))), "mae": float(np.mean(np.abs(y - p))), "bias": float(np.mean(p - y)), "pred_std": float(np.std(p)), "obs_std": float(np.std(y))}
 
 
+def metric_columns(y: str = "y", p: str = "p") -> list[Column]:
+    """The same as aggregates."""
+    e, sst = F.col(p) - F.col(y), F.var_pop(y) * F.count(y)
+    r2 = F.when(sst > 0, 1 - F.sum(e * e) / sst).otherwise(F.lit(float("nan")))
+    each = {"r2": r2, "rmse": F.sqrt(F.avg(e * e)), "mae": F.avg(F.abs(e)), "bias": F.avg(e), "pred_std": F.stddev_pop(p), "obs_std": F.stddev_pop(y)}
+    return [c.alias(n) for n, c in each.items()]
+
+
 def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
     return pdf[features].to_numpy(dtype="float32", na_value=np.nan)
 
 
+def complete(features: list[str] | tuple[str, ...], target: str) -> Column:
+    """Whether a row has the target and all features (no null, no NaN)."""
+    out = F.lit(True)
+    for c in (target, *features):
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return out
+
+
 RUN_SCHEMA = "config string, fold int, n_features int, n_train int, n_test int, r2 double, rmse double, mae double, bias double, pred_std double, obs_std double, n_trees int"
+Predictor = Callable[[np.ndarray], np.ndarray]
 
 
 def ridge_predictions(x: np.ndarray, y: np.ndarray, new: np.ndarray, alpha: float) -> np.ndarray:
@@ -253,59 +111,124 @@ def ridge_predictions(x: np.ndarray, y: np.ndarray, new: np.ndarray, alpha: floa
     return y.mean() + (new - mean) / scale @ beta
 
 
-def sweep(train: DataFrame, folds: DataFrame, target: str, configs: dict[str, tuple[tuple[str, ...], Params | Ridge]], transfer: DataFrame | None = None) -> DataFrame:
+def _ridge(sums: list[dict], features: list[str], alpha: float) -> Predictor:
+    """The ridge of several parts, from the sums of each."""
+    c = stats.solve_ridge({k: sum(s[k] for s in sums) for k in sums[0]}, features, alpha)
+    beta, constant = np.array([c[f] for f in features]), c["intercept"]
+    return lambda x: x.astype(float) @ beta + constant
+
+
+def predictions(rows: DataFrame, target: str, models: dict[tuple[str, int], tuple[list[str], Predictor]]) -> DataFrame:
+    """(config, fold, y, p): each complete row of part k by every model (config, k), scored where it lies."""
+    wanted = sorted({f for feats, _ in models.values() for f in feats})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            part, y = pdf["part"].to_numpy(), pdf[target].to_numpy(dtype=float, na_value=np.nan)
+            for (config, k), (feats, predict) in models.items():
+                own = (part == k) & ~np.isnan(y)
+                if own.any():
+                    x = _matrix(pdf[own], feats)
+                    ok = ~np.isnan(x).any(axis=1)
+                    if ok.any():
+                        yield pd.DataFrame({"config": config, "fold": k, "y": y[own][ok], "p": predict(x[ok])})
+
+    return rows.select("part", target, *wanted).mapInPandas(run, "config string, fold int, y double, p double")
+
+
+def sweep(train: DataFrame, folds: DataFrame, target: str, configs: dict[str, tuple[tuple[str, ...], Params | Ridge]], transfer: DataFrame | None = None, replicates: int = 0, seed: int = 42) -> DataFrame:
     """Every configuration on every fold (fold >= 1), and, with a transfer table, on all training rows against it (fold 0).
 
-    folds has (block, fold) and train a block column. Each (configuration, fold) is one group of training-table size.
+    folds has (block, fold) and train a block column. All trees of all configurations and folds grow together. With
+    replicates, ci_low and ci_high of r2 follow, from so many resamplings of the rows scored.
     """
     known = {c: ([f for f in feats if f in train.columns], p) for c, (feats, p) in configs.items()}
     names = sorted({f for feats, _ in known.values() for f in feats})
-    rows = train.join(folds, "block").select("fold", target, *names).withColumn("other", F.lit(False))
+    rows = train.join(folds, "block").select(F.col("fold").cast("int").alias("part"), target, *names)
     if transfer is not None:
-        rows = rows.unionByName(transfer.select(F.lit(0).alias("fold"), target, *names).withColumn("other", F.lit(True)))
-    n_folds = folds.agg(F.max("fold")).first()[0] or 0
-    runs = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(k).alias("run")) for c in known for k in range(0 if transfer is not None else 1, n_folds + 1)])
-    dealt = rows.withColumn("_run", F.explode(runs)).select("*", "_run.config", "_run.run").filter(~F.col("other") | (F.col("run") == 0)).drop("_run")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        config, run = pdf["config"].iloc[0], int(pdf["run"].iloc[0])
-        feats, p = known[config]
-        pdf = pdf.dropna(subset=[target, *feats]).sort_values([target, *feats], kind="stable")
-        test = pdf["other"] if run == 0 else (pdf["fold"] == run)
-        a, b = pdf[~test], pdf[test]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
-        xb, yb = _matrix(b, feats), b[target].to_numpy(float)
+        rows = rows.unionByName(transfer.select(F.lit(0).alias("part"), target, *names))
+    whole = {c: complete(feats, target) for c, (feats, _) in known.items()}
+    counted = rows.groupBy("part").agg(*[F.count_if(ok).alias(c) for c, ok in whole.items()]).collect()  # one for each fold
+    n = {c: {r["part"]: r[c] for r in counted if r[c]} for c in known}
+    every = sorted({r["part"] for r in counted if r["part"]})
+    runs, facts = {}, []
+    for c, (feats, _) in known.items():
+        for k in [*([0] if transfer is not None else []), *every]:
+            own = frozenset(i for i in every if i != k)
+            n_train = sum(n[c].get(i, 0) for i in own)
+            if n_train and n[c].get(k):
+                runs[c, k] = own
+                facts.append((c, k, len(feats), n_train))
+    trees = [Run(f"{c}\n{k}", tuple(known[c][0]), known[c][1], own, frozenset({k}) if known[c][1].early_stopping else frozenset()) for (c, k), own in runs.items() if isinstance(known[c][1], Params)]
+    forests = fit_runs(rows, target, trees)
+    models: dict[tuple[str, int], tuple[list[str], Predictor]] = {}
+    sums: dict[tuple[str, ...], dict[int, dict]] = {}
+    for (c, k), own in runs.items():
+        feats, p = known[c]
         if isinstance(p, Ridge):
-            said = ridge_predictions(_matrix(a, feats), a[target].to_numpy(float), xb, p.alpha)
-            return pd.DataFrame([{"config": config, "fold": run, "n_features": len(feats), "n_train": len(a), "n_test": len(b), **metrics(yb, said), "n_trees": 0}])
-        forest = fit_forest(_matrix(a, feats), a[target].to_numpy(float), feats, p, (xb, yb) if p.early_stopping else None)
-        return pd.DataFrame([{"config": config, "fold": run, "n_features": len(feats), "n_train": len(a), "n_test": len(b), **metrics(yb, forest.predict(xb)), "n_trees": len({r[0] for r in forest.rows})}])
+            if tuple(feats) not in sums:
+                sums[tuple(feats)] = {r["part"]: r.asDict() for r in stats.ridge_sums(rows, feats, target, "part").collect()}  # one for each fold
+            models[c, k] = feats, _ridge([{x: v for x, v in s.items() if x != "part"} for i, s in sums[tuple(feats)].items() if i in own], feats, p.alpha)
+        else:
+            models[c, k] = feats, forests[f"{c}\n{k}"].predict
+    n_trees = {key: len(forests[f"{key[0]}\n{key[1]}"]._flat()["roots"]) if isinstance(known[key[0]][1], Params) else 0 for key in runs}
+    scored = predictions(rows, target, models)
+    spark = train.sparkSession
+    table = spark.createDataFrame([(*f, n_trees[f[:2]]) for f in facts], "config string, fold int, n_features int, n_train int, n_trees int")
+    out = scored.groupBy("config", "fold").agg(F.count("*").cast("int").alias("n_test"), *metric_columns()).join(F.broadcast(table), ["config", "fold"])  # a row a run
+    columns = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
+    if not replicates:
+        return out.select(*columns)
+    spans = stats.resampled_r2(scored.select(F.concat_ws("\n", "config", F.col("fold").cast("string")).alias("group"), "y", "p"), replicates, seed)
+    key = F.split("group", "\n")
+    spans = spans.select(key[0].alias("config"), key[1].cast("int").alias("fold"), "ci_low", "ci_high")
+    return out.join(spans, ["config", "fold"], "left").select(*columns, "ci_low", "ci_high")
 
-    return dealt.groupBy("config", "run").applyInPandas(one, RUN_SCHEMA)
 
+def fit(train: DataFrame, features: list[str], target: str, params: Params = Params()) -> Forest:
+    """One model of all complete rows."""
+    return fit_all(train, {"": (list(features), params)}, target)[""]
 
-def fit(train: DataFrame, features: list[str], target: str, params: Params = Params(), most: int = 200_000) -> Forest:
-    """One model on the driver from a training table of at most `most` rows (refused beyond)."""
-    pdf = train.select(target, *features).na.drop().limit(most + 1).toPandas()
-    if len(pdf) > most:
-        raise ValueError(f"more than {most} training rows")
-    pdf = pdf.sort_values([target, *features], kind="stable")
-    return fit_forest(_matrix(pdf, features), pdf[target].to_numpy(float), features, params)
 
+def fit_all(train: DataFrame, models: dict[str, tuple[list[str] | tuple[str, ...], Params]], target: str) -> dict[str, Forest]:
+    """Several models of the same rows, grown together; each sees the rows that have all its features."""
+    names = sorted({f for feats, _ in models.values() for f in feats})
+    return fit_runs(train.select(F.lit(0).alias("part"), target, *names), target, [Run(n, tuple(feats), p, frozenset({0})) for n, (feats, p) in models.items()])
 
-def fit_groups(train: DataFrame, group: str, features: list[str], target: str, params: Params = Params()) -> DataFrame:
-    """(group, base, tree rows): one model for each group, in parallel."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.dropna(subset=[target, *features]).sort_values([target, *features], kind="stable")
-        forest = fit_forest(_matrix(rows, features), rows[target].to_numpy(float), features, params)
-        out = forest.table()
-        out.insert(0, "base", forest.base)
-        out.insert(0, group, pdf[group].iloc[0])
-        return out
+#: Groups, zones and strata are classes; one model of each travels to the tasks.
+MOST_GROUPS = 1_000
+
 
-    return train.select(group, target, *features).groupBy(group).applyInPandas(one, f"{group} {train.schema[group].dataType.simpleString()}, base double, {TREE_SCHEMA}")
+def _classes(df: DataFrame, column: str) -> list:
+    """The different values of a column of classes, null left out; refused beyond MOST_GROUPS."""
+    found = [r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().limit(MOST_GROUPS + 1).collect()]
+    if len(found) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} values of {column}")
+    return sorted(found)
+
+
+def _number(column: str, classes: list) -> Column:
+    """The place of the row's class in the list; null for a class that is not there."""
+    return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(column)).cast("int") - 1 if classes else F.lit(None).cast("int")
+
+
+def forests_of_groups(train: DataFrame, group: str, features: list[str], target: str, params: Params = Params(), least: int = 1) -> dict:
+    """{group: forest} of the groups with at least so many complete rows."""
+    classes = _classes(train, group)
+    ok = train.select("*", complete(features, target).alias("_ok"))
+    n = {r[0]: r[1] for r in ok.groupBy(group).agg(F.count_if("_ok")).collect()}  # one for each class
+    part = _number(group, classes)
+    runs = [Run(str(i), tuple(features), params, frozenset({i})) for i, c in enumerate(classes) if n.get(c, 0) >= least]
+    forests = fit_runs(train.select(part.alias("part"), target, *features), target, runs)
+    return {classes[int(i)]: f for i, f in forests.items()}
+
+
+def fit_groups(train: DataFrame, group: str, features: list[str], target: str, params: Params = Params()) -> DataFrame:
+    """(group, base, tree rows): one model for each group."""
+    forests = forests_of_groups(train, group, features, target, params)
+    schema = f"{group} {train.schema[group].dataType.simpleString()}, base double, {TREE_SCHEMA}"
+    return train.sparkSession.createDataFrame([(g, f.base, *(int(v) for v in r[:3]), float(r[3]), int(r[4]), int(r[5]), bool(r[6]), float(r[7]), float(r[8])) for g, f in forests.items() for r in f.rows], schema)
 
 
 def score(df: DataFrame, models: dict[str, Forest]) -> DataFrame:
@@ -369,25 +292,35 @@ def importance_ranks(attributions: DataFrame) -> DataFrame:
     return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
-def group_attributions(train: DataFrame, group: str, features: list[str], target: str, params: Params = Params()) -> DataFrame:
-    """(group, n, feature, importance, rank): one model for each group, and the mean absolute Shapley value of each feature over all the group's rows."""
+def mean_attributions(rows: DataFrame, group: str, features: list[str], target: str, forests: dict) -> DataFrame:
+    """(group, n, feature, importance): the mean absolute Shapley value over all complete rows of each group, by the group's model."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.dropna(subset=[target, *features]).sort_values([target, *features], kind="stable")
-        x = _matrix(rows, features)
-        forest = fit_forest(x, rows[target].to_numpy(float), features, params)
-        importance = np.abs(forest.attributions(x)).mean(axis=0) if len(rows) else np.zeros(len(features))
-        order = np.lexsort((features, -importance))
-        return pd.DataFrame({group: pdf[group].iloc[0], "n": len(rows), "feature": [features[i] for i in order], "importance": importance[order], "rank": np.arange(1, len(features) + 1)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, own in pdf.groupby(group):
+                if name in forests:
+                    phi = np.abs(forests[name].attributions(_matrix(own, features))).sum(axis=0)
+                    yield pd.DataFrame({group: name, "feature": features, "total": phi, "n": len(own)})
+
+    kind = rows.schema[group].dataType.simpleString()
+    sums = rows.filter(complete(features, target)).select(group, *features).mapInPandas(run, f"{group} {kind}, feature string, total double, n long")
+    return sums.groupBy(group, "feature").agg(F.sum("n").cast("int").alias("n"), (F.sum("total") / F.sum("n")).alias("importance"))
 
-    kind = train.schema[group].dataType.simpleString()
-    return train.select(group, target, *features).groupBy(group).applyInPandas(one, f"{group} {kind}, n int, feature string, importance double, rank int")
 
+def group_attributions(train: DataFrame, group: str, features: list[str], target: str, params: Params = Params()) -> DataFrame:
+    """(group, n, feature, importance, rank): one model for each group, and the mean absolute Shapley value of each feature over all the group's rows."""
+    mean = mean_attributions(train, group, features, target, forests_of_groups(train, group, features, target, params))
+    return mean.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("importance"), "feature"))).select(group, "n", "feature", "importance", "rank")  # a row a feature
 
-def anomalies(grid: DataFrame, models: dict[str, Forest], baseline: Forest) -> DataFrame:
-    """The grid with log_rs_<name> and anomaly_<name> of several models over one baseline (log_rs_climate), in one pass."""
-    out = score(grid, {f"log_rs_{n}": m for n, m in models.items()} | {"log_rs_climate": baseline})
-    return out.withColumns({f"anomaly_{n}": F.exp(F.col(f"log_rs_{n}") - F.col("log_rs_climate")) for n in models})
+
+def anomalies(grid: DataFrame, models: dict[str, Forest], baseline: Forest, baseline_name: str = "baseline") -> DataFrame:
+    """The grid with log_rs_<name> and anomaly_<name> of several models over one baseline (log_rs_<baseline_name>), in one pass. Names must differ."""
+    made = [f"log_rs_{n}" for n in (*models, baseline_name)] + [f"anomaly_{n}" for n in models]
+    lower = [c.lower() for c in (*grid.columns, *made)]
+    if twice := sorted({c for c in lower if lower.count(c) > 1}):
+        raise ValueError(f"columns of one name: {twice}")
+    out = score(grid, {f"log_rs_{n}": m for n, m in models.items()} | {f"log_rs_{baseline_name}": baseline})
+    return out.withColumns({f"anomaly_{n}": F.exp(F.col(f"log_rs_{n}") - F.col(f"log_rs_{baseline_name}")) for n in models})
 
 
 def anomaly(grid: DataFrame, full: Forest, baseline: Forest) -> DataFrame:
@@ -400,49 +333,44 @@ STRATUM_SCHEMA = "stratum string, n_a int, n_b int, skipped boolean, r2 double,
 
 
 def stratified_transfer(df: DataFrame, stratum: str, is_test: Column, features: list[str], target: str, params: Params, least_a: int = 80, least_b: int = 30, replicates: int = 1000, pooled: str | None = None) -> DataFrame:
-    """In each stratum: fit on one region, score the other, bootstrap the fit; strata with too little support are skipped. `pooled` names a further row, of all strata together."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["stratum"].iloc[0]
-        pdf = pdf.dropna(subset=[target, *features]).sort_values([target, *features], kind="stable")
-        a, b = pdf[~pdf["test"]], pdf[pdf["test"]]
-        row = {"stratum": name, "n_a": len(a), "n_b": len(b), "skipped": len(a) < least_a or len(b) < least_b}
-        if not row["skipped"]:
-            forest = fit_forest(_matrix(a, features), a[target].to_numpy(float), features, params)
-            y, p = b[target].to_numpy(float), forest.predict(_matrix(b, features))
-            rng = np.random.default_rng(params.seed)
-            boot = [metrics(y[i], p[i])["r2"] for i in (rng.integers(0, len(y), len(y)) for _ in range(replicates))]
-            lo, hi = np.nanquantile(boot, [0.025, 0.975])
-            phi = np.abs(forest.attributions(_matrix(a, features))).mean(axis=0)  # of every row fitted on
-            row |= {"r2": metrics(y, p)["r2"], "rmse": metrics(y, p)["rmse"], "ci_low": lo, "ci_high": hi, "excludes_zero": bool(lo > 0 or hi < 0), "top_feature": features[int(phi.argmax())]}
-        names = [x.split()[0] for x in STRATUM_SCHEMA.split(", ")]
-        return pd.DataFrame({n: pd.Series([row.get(n)], dtype=object) for n in names})
-
+    """In each stratum: fit on one region, score the other, resample the fit; strata with too little support are skipped. `pooled` names a further row, of all strata together."""
+    spark = df.sparkSession
     rows = df.select(F.col(stratum).cast("string").alias("stratum"), is_test.alias("test"), target, *features).filter("test is not null")
-    every = rows.withColumn("stratum", F.lit(pooled)) if pooled is not None else rows.limit(0)
-    rows = rows.filter("stratum is not null").unionByName(every)
-    return rows.groupBy("stratum").applyInPandas(one, STRATUM_SCHEMA)
-
-
-#: Zones are classes of climate; each one's trees go to the driver and on to the tasks.
-MOST_ZONES = 100
+    strata = _classes(rows, "stratum")
+    part = F.coalesce(_number("stratum", strata) * 2, F.lit(2 * len(strata))) + F.col("test").cast("int")  # rows without a stratum take part in the pooled row
+    rows = rows.withColumn("part", part)
+    n = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count_if(complete(features, target)).alias("n")).collect()}  # two for each stratum
+    sets = {name: ([2 * i], [2 * i + 1]) for i, name in enumerate(strata)}
+    if pooled is not None:
+        sets[pooled] = ([2 * i for i in range(len(strata) + 1)], [2 * i + 1 for i in range(len(strata) + 1)])
+    support = {name: tuple(sum(n.get(p, 0) for p in side) for side in parts) for name, parts in sets.items()}
+    kept = {name: parts for name, parts in sets.items() if support[name][0] >= least_a and support[name][1] >= least_b}
+    forests = fit_runs(rows, target, [Run(name, tuple(features), params, frozenset(parts[0])) for name, parts in kept.items()])
+    facts = spark.createDataFrame([(name, *support[name], name not in kept) for name in sets], "stratum string, n_a int, n_b int, skipped boolean")
+    models = {(name, p): (features, forests[name].predict) for name, parts in kept.items() for p in parts[1]}
+    pairs = predictions(rows.filter("test"), target, models).select(F.col("config").alias("group"), "y", "p")
+    measured = pairs.groupBy("group").agg(*[c for c in metric_columns()][:2])
+    spans = stats.resampled_r2(pairs, replicates, params.seed)
+    own = F.get(F.array(*[F.lit(s) for s in strata]), F.expr("part div 2").cast("int")) if strata else F.lit(None).cast("string")
+    fitted_on = rows.filter("not test").withColumn("group", F.explode(F.filter(F.array(own, F.lit(pooled).cast("string")), lambda g: g.isNotNull())))
+    mean = mean_attributions(fitted_on, "group", features, target, forests)
+    order = F.struct(F.col("importance"), (-F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))).alias("place"), "feature")
+    top = mean.groupBy("group").agg(F.max(order)["feature"].alias("top_feature"))
+    out = facts
+    for more in (measured, spans, top):
+        out = out.join(more.withColumnRenamed("group", "stratum"), "stratum", "left")  # a row a stratum
+    return out.withColumn("excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0)).select(*[x.split()[0] for x in STRATUM_SCHEMA.split(", ")])
 
 
 def zone_predictions(train: DataFrame, grid: DataFrame, zone: str, features: list[str], target: str, keys: list[str], params: Params, least: int = 30) -> DataFrame:
     """(keys, zone, prediction): each zone's cells scored by the model of the zone's sites; zones with few sites give none."""
-    trees = {}
-    models = fit_groups(train.filter(F.col(zone).isNotNull()).join(train.groupBy(zone).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least), zone), zone, features, target, params)
-    found = models.select(zone).distinct().limit(MOST_ZONES + 1).count()
-    if found > MOST_ZONES:
-        raise ValueError(f"more than {MOST_ZONES} zones")
-    for name, part in models.toPandas().groupby(zone):  # MOST_ZONES models at most
-        trees[name] = Forest.of(part.drop(columns=[zone, "base"]), features, float(part["base"].iloc[0]))
+    forests = forests_of_groups(train, zone, features, target, params, least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = np.full(len(pdf), np.nan)
             x = _matrix(pdf, features)
-            for name, model in trees.items():
+            for name, model in forests.items():
                 at = np.flatnonzero((pdf[zone] == name).to_numpy() & ~np.isnan(x).any(axis=1))
                 out[at] = model.predict(x[at])
             yield pdf[[*keys, zone]].assign(prediction=pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None))

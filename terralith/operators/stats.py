@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .ranks import before, even_parts
 
 MERSENNE = 2**31 - 1
@@ -155,19 +159,17 @@ def kfold_ids(rows: DataFrame, key: str, folds: int = 5, seed: int = 42) -> Data
     return even_parts(ordered, "_o", folds, (key,)).select(key, "fold")
 
 
-def ridge_sums(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """One row of sums that a ridge regression on standardised features is solved from: no row travels."""
+def ridge_sums(df: DataFrame, features: list[str], target: str, *by: str) -> DataFrame:
+    """One row of sums (one for each group of `by`) that a ridge regression on standardised features is solved from: no row travels."""
     rows = df.na.drop(subset=[*features, target])
     sums = [F.count("*").alias("n"), F.sum(target).alias("y")]
     sums += [F.sum(c).alias(f"x_{c}") for c in features] + [F.sum(F.col(c) * F.col(target)).alias(f"xy_{c}") for c in features]
     sums += [F.sum(F.col(a) * F.col(b)).alias(f"xx_{a}_{b}") for i, a in enumerate(features) for b in features[i:]]
-    return rows.agg(*sums)
+    return rows.groupBy(*by).agg(*sums)
 
 
 def solve_ridge(sums: dict, features: list[str], alpha: float) -> dict[str, float]:
     """Coefficients in the units of the features, and `intercept`, from one row of ridge_sums."""
-    import numpy as np
-
     n, k = sums["n"], len(features)
     mean = np.array([sums[f"x_{c}"] / n for c in features])
     cov = np.empty((k, k))
@@ -179,3 +181,59 @@ def solve_ridge(sums: dict, features: list[str], alpha: float) -> dict[str, floa
     xy = np.array([sums[f"xy_{c}"] / n for c in features]) - mean * sums["y"] / n
     beta = np.linalg.solve(cov / np.outer(scale, scale) * n + alpha * np.eye(k), xy / scale * n) / scale
     return dict(zip(features, beta.tolist(), strict=True)) | {"intercept": float(sums["y"] / n - mean @ beta)}
+
+
+def share_of(seed: tuple[int, ...], sizes: list[int], at: int, total: np.ndarray) -> np.ndarray:
+    """How many of each replicate's draws fall into part `at`: an exact multinomial over parts of these sizes, by a splitting tree.
+
+    Halves share a replicate's draws by a binomial that is seeded by their place, so that every task finds its own
+    share by as many steps as the tree is deep, and all shares add up.
+    """
+    before = np.r_[0, np.cumsum(sizes)]
+    low, high = 0, len(sizes)
+    while high - low > 1:
+        middle = (low + high) // 2
+        whole, left = int(before[high] - before[low]), int(before[middle] - before[low])
+        taken = np.random.default_rng((*seed, low, high)).binomial(total, left / whole if whole else 0.0)
+        total, (low, high) = (taken, (low, middle)) if at < middle else (total - taken, (middle, high))
+    return total
+
+
+def resampled_r2(pairs: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(group, ci_low, ci_high): the 95 % interval of r2 over bootstrap replicates of each group's (y, p) rows.
+
+    One pass: a partition's share of each replicate's draws is an exact multinomial (share_of), drawn among its own rows, and
+    gives four sums. Rows never travel; sums are groups x replicates x partitions before Spark adds them up.
+    """
+    rows = checkpoint(pairs.filter(F.col("y").isNotNull() & F.col("p").isNotNull()).select(F.col("group").cast("string").alias("group"), F.col("y").cast("double").alias("y"), F.col("p").cast("double").alias("p")))
+    found = rows.groupBy("group", F.spark_partition_id().alias("at")).agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("group", "at").collect()  # groups x partitions
+    sizes: dict[str, dict[int, int]] = {}
+    middle: dict[str, float] = {}
+    for r in found:
+        sizes.setdefault(r["group"], {})[r["at"]] = r["n"]
+        middle.setdefault(r["group"], r["y"])  # any value near the target keeps the squares small
+    number = {g: i for i, g in enumerate(sorted(sizes))}
+
+    def run(batches):
+        held: dict[str, list[np.ndarray]] = {}
+        for pdf in batches:
+            for group, own in pdf.groupby("group"):
+                held.setdefault(group, []).append(own[["y", "p"]].to_numpy(float))
+        here = TaskContext.get().partitionId()
+        for group, parts in held.items():
+            y, p = np.concatenate(parts).T
+            places = sorted(sizes[group])
+            draws = share_of((seed, number[group]), [sizes[group][k] for k in places], places.index(here), np.full(replicates, sum(sizes[group].values())))
+            y0, e = y - middle[group], (y - p) ** 2
+            rng = np.random.default_rng((seed, number[group], here, len(y)))
+            out = np.empty((replicates, 4))
+            for k, m in enumerate(draws.tolist()):
+                i = rng.integers(0, len(y), m)
+                v = y0[i]
+                out[k] = m, v.sum(), (v * v).sum(), e[i].sum()
+            yield pd.DataFrame({"group": group, "replicate": np.arange(replicates), **{c: out[:, j] for j, c in enumerate(("n", "sy", "syy", "sse"))}})
+
+    sums = rows.mapInPandas(run, "group string, replicate int, n double, sy double, syy double, sse double").groupBy("group", "replicate").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "syy", "sse")])
+    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    each = sums.select("group", F.when(sst > 0, 1 - F.col("sse") / sst).alias("r2"))
+    return each.groupBy("group").agg(F.percentile("r2", F.lit(0.025)).alias("ci_low"), F.percentile("r2", F.lit(0.975)).alias("ci_high"))  # as many rows as replicates

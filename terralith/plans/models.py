@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..functions import climate, geo, scalar
 from ..operators import documents, ingest, models, stats
 from ..registry import query
+from ..session import checkpoint
 from ..sources import synthetic
+from . import pipeline
 from .views import view
 
 FEATURES = ["bio01", "bio04", "bio05", "bio06", "bio12", "bio14", "bio15", "bio17"]
@@ -19,32 +19,36 @@ FULL = models.CONFIGS["F_climate_only"][1]
 BASELINE = models.BASELINE_PARAMS
 
 
-#: The climate features' least and greatest value, and how each leans on warmth and on wetness.
-CLIMATE = {name: synthetic.COVARIATES[name] for name in FEATURES}
-
-
-def climate_columns(df):
-    """Smooth climate fields over positions: warmth falls towards the poles, wetness changes in belts, and waves take the place of noise."""
+def covariates(df):
+    """Smooth fields over positions for every covariate of the published models: warmth falls towards the poles, wetness changes in belts, and waves take the place of noise."""
     lon, lat = F.col("longitude"), F.col("latitude")
     wave = lambda k: F.sin(lon / (k + 2) + k) * F.cos(lat / (k + 3))
-    warmth, wetness = F.cos(F.radians(lat)) * 2.2 - 1.2 + wave(1) * 0.2, F.cos(F.radians(lat * 6)) * 0.6 + wave(2) * 0.4
-    made = {}
-    for k, (name, (low, high, by_warmth, by_wetness)) in enumerate(CLIMATE.items(), 3):
-        made[name] = F.lit(low) + F.lit(high - low) / (F.lit(1.0) + F.exp(-(warmth * by_warmth + wetness * by_wetness + wave(k) * 0.3)))
-    return df.withColumns(made)
+    made = df.withColumns({"_warm": F.cos(F.radians(lat)) * 2.2 - 1.2 + wave(1) * 0.2, "_wet": F.cos(F.radians(lat * 6)) * 0.6 + wave(2) * 0.4})
+    fields = {}
+    for k, (name, (low, high, by_warmth, by_wetness)) in enumerate(synthetic.COVARIATES.items(), 3):
+        fields[name] = F.lit(low) + F.lit(high - low) / (F.lit(1.0) + F.exp(-(F.col("_warm") * by_warmth + F.col("_wet") * by_wetness + wave(k) * 0.3)))
+    landcover = F.floor((wave(1) + 1) * 7.99 + 1).cast("int")  # 1 to 16
+    return pipeline.engineer(made.withColumns(fields).withColumn("landcover", landcover).drop("_warm", "_wet"))
 
 
 def training(spark, sf):
-    sites = climate_columns(view(spark, sf, "v_sites")).withColumn("site_id", F.concat("source", F.lit("_"), F.col("rec").cast("string")))
+    sites = covariates(view(spark, sf, "v_sites")).withColumn("site_id", F.concat("source", F.lit("_"), F.col("rec").cast("string")))
     lon, lat = F.col("longitude"), F.col("latitude")
     target = F.col("bio01") / 25 + F.ln(F.lit(0.25) + F.col("bio12") / (F.col("bio12") + 900)) + 6 + F.col("rs_annual") * 2e-5
-    return sites.withColumn("log_rs", target).withColumn("region", geo.region_of(lon, lat)).withColumn("block", geo.block_id(lon, lat))
+    # written down once: filters on these fields would otherwise repeat their expressions through the whole plan
+    return checkpoint(sites.withColumn("log_rs", target).withColumn("region", geo.region_of(lon, lat)).withColumn("block", geo.block_id(lon, lat)))
+
+
+def with_landcover(sites):
+    """The sites with a column for each land-cover class of at least ten of them, and the names of these columns."""
+    classes = [r["landcover"] for r in sites.groupBy("landcover").count().filter("count >= 10").orderBy("landcover").collect()]  # sixteen at most
+    return sites.select("*", *scalar.one_hot(F.col("landcover"), classes)), [f"lc_{c:02d}" for c in classes]
 
 
 def grid(spark):
     from ..operators.raster import make_grid
 
-    return climate_columns(make_grid(spark, 25.0, -10.0, 180.0, 80.0, 2.0))
+    return checkpoint(covariates(make_grid(spark, 25.0, -10.0, 180.0, 80.0, 2.0)))
 
 
 @query("mean_predictor", "with a as (select avg(rs_annual) as m from v_sites where source = 'srdb') select round(1 - sum((rs_annual - m) ** 2) / (var_pop(rs_annual) * count(*)), 9) as r2, count(*) as n from v_sites, a where source = 'cosore'")
@@ -65,10 +69,15 @@ def _(spark, sf):
     return spark.range(1).select(F.round(F.lit(c["bio01"]), 6).alias("bio01"), F.round(F.lit(c["bio14"]), 6).alias("bio14"), F.round(F.lit(c["intercept"]), 5).alias("intercept"))
 
 
+#: Replicates of the published intervals.
+REPLICATES = 2_000
+
+
 @query("tree_sweep")
 def _(spark, sf):
+    """Every published configuration but the one with land cover (full_modis), on five folds of blocks and in transfer."""
     t = training(spark, sf)
-    configs = {"climate": (tuple(FEATURES), FULL), "baseline": (tuple(BASE), BASELINE), "early": (tuple(FEATURES), replace(FULL, early_stopping=10))}
+    configs = {c: v for c, v in models.CONFIGS.items() if c != "Full_MODIS"}
     return models.sweep(t.filter("region = 'asia'"), stats.fold_ids(t), "log_rs", configs, t.filter("region = 'us'"))
 
 
@@ -86,10 +95,14 @@ def _(spark, sf):
     return models.importance_ranks(models.attribute(ingest.exact_sample(t, "rec", 2000), model, ["rec"]))
 
 
+def full_and_baseline(sites):
+    both = models.fit_all(sites, {"full": (FEATURES, FULL), "baseline": (BASE, BASELINE)}, "log_rs")
+    return both["full"], both["baseline"]
+
+
 @query("anomaly_grid")
 def _(spark, sf):
-    t = training(spark, sf).filter("region = 'asia'")
-    full, base = models.fit(t, FEATURES, "log_rs", FULL), models.fit(t, BASE, "log_rs", BASELINE)
+    full, base = full_and_baseline(training(spark, sf).filter("region = 'asia'"))
     return models.anomaly(grid(spark), full, base).select("row", "col", "longitude", "latitude", "log_rs_pred", "log_rs_climate", "rs_pred", "anomaly")
 
 
@@ -112,7 +125,7 @@ def _(spark, sf):
     from ..operators.neighbours import nearest_reference
 
     t = training(spark, sf).filter("region = 'asia'")
-    full, base = models.fit(t, FEATURES, "log_rs", FULL), models.fit(t, BASE, "log_rs", BASELINE)
+    full, base = full_and_baseline(t)
     cells = models.attribute_wide(models.anomaly(grid(spark), full, base), full, "phi_").withColumn("cell", F.col("row") * 1000 + F.col("col"))
     cells = nearest_reference(cells, ingest.dedup_cells(t).select("site_id", "longitude", "latitude"), "cell", "site_id")
     code = climate.zone_code(F.col("bio01"), F.col("bio12"), F.col("bio14"), F.col("bio17"))
@@ -120,31 +133,20 @@ def _(spark, sf):
     return documents.as_json_lines(docs)
 
 
-def generated(spark, sf):
-    """Generated sites with all published features, one for each row of the customer table, and land cover as one-hot columns."""
-    from .pipeline import engineer
-
-    n = view(spark, sf, "v_sites").count()
-    sites = engineer(synthetic.sites(spark, min(n, 5_000)))
-    classes = [r["landcover"] for r in sites.groupBy(F.col("landcover").cast("int").alias("landcover")).count().filter("count >= 10").orderBy("landcover").collect()]  # sixteen at most
-    region = geo.region_of(F.col("longitude"), F.col("latitude"))
-    return sites.select("*", region.alias("region"), geo.block_id(F.col("longitude"), F.col("latitude")).alias("block"), *scalar.one_hot(F.col("landcover").cast("int"), classes)), classes
-
-
 @query("block_comparison")
 def _(spark, sf):
-    sites, _ = generated(spark, sf)
-    asia = sites.filter("region = 'asia'").withColumn("rec", F.xxhash64("site_id") % 1_000_000_007)
-    folds = stats.kfold_ids(asia, "rec").withColumnRenamed("rec", "block")
-    return models.sweep(asia.drop("block").withColumnRenamed("rec", "block"), folds, "log_rs_annual", models.BLOCKS, sites.filter("region = 'us'"))
+    t = training(spark, sf)
+    asia = t.filter("region = 'asia'").drop("block").withColumnRenamed("rec", "block")
+    folds = stats.kfold_ids(asia, "block").withColumnRenamed("rec", "block")
+    return models.sweep(asia, folds, "log_rs", models.BLOCKS, t.filter("region = 'us'"))
 
 
 @query("full_modis")
 def _(spark, sf):
-    sites, classes = generated(spark, sf)
+    sites, classes = with_landcover(training(spark, sf))
     features, params = models.CONFIGS["Full_MODIS"]
-    kept = tuple(f for f in features if not f.startswith("lc_") or f in {f"lc_{c:02d}" for c in classes})
-    return models.sweep(sites.filter("region = 'asia'"), stats.fold_ids(sites), "log_rs_annual", {"Full_MODIS": (kept, params), "F_NPP": models.CONFIGS["F_NPP"]}, sites.filter("region = 'us'"))
+    kept = tuple(f for f in features if not f.startswith("lc_") or f in classes)
+    return models.sweep(sites.filter("region = 'asia'"), stats.fold_ids(sites), "log_rs", {"Full_MODIS": (kept, params), "F_NPP": models.CONFIGS["F_NPP"]}, sites.filter("region = 'us'"), REPLICATES)
 
 
 @query("region_attributions")
@@ -154,12 +156,8 @@ def _(spark, sf):
 
 @query("dual_anomaly")
 def _(spark, sf):
-    from .pipeline import engineer
-
-    sites, _ = generated(spark, sf)
-    asia = sites.filter("region = 'asia'")
     named = {"climate": "F_climate_only", "all": "B_heavier_reg"}
-    fitted = {n: models.fit(asia, list(models.CONFIGS[c][0]), "log_rs_annual", models.CONFIGS[c][1]) for n, c in named.items()}
-    base = models.fit(asia, list(models.BASELINE), "log_rs_annual", BASELINE)
-    out = models.anomalies(engineer(synthetic.grid(spark, 2.0)), fitted, base)
-    return out.select("row", "col", "longitude", "latitude", *[f"{k}_{n}" for n in named for k in ("log_rs", "anomaly")], "log_rs_climate")
+    wanted = {n: models.CONFIGS[c] for n, c in named.items()} | {"baseline": (models.BASELINE, BASELINE)}
+    fitted = models.fit_all(training(spark, sf).filter("region = 'asia'"), wanted, "log_rs")
+    out = models.anomalies(grid(spark), {n: fitted[n] for n in named}, fitted["baseline"])
+    return out.select("row", "col", "longitude", "latitude", *[f"{k}_{n}" for n in named for k in ("log_rs", "anomaly")], "log_rs_baseline")
