@@ -21,6 +21,7 @@ matter, k + 1 of them. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -342,6 +343,18 @@ def settle(state: DataFrame, turn: int) -> DataFrame:
     return state.mapInArrow(run, STATE)
 
 
+def to_unit(nodes: DataFrame, top: float) -> tuple[DataFrame, float]:
+    """The vectors times a power of two that brings the largest component, `top`, below 1, and the length of the longest.
+
+    The graph and the walks work in single precision, where products of very long or very short vectors would be infinite or 0. No digit
+    is lost but of components 1e38 times smaller than the largest.
+    """
+    e = -math.frexp(top)[1]
+    first, rest = math.ldexp(1.0, e // 2), math.ldexp(1.0, e - e // 2)  # either is finite where their product may not be
+    scaled = nodes.withColumn("v", F.transform("v", lambda x: x * F.lit(first) * F.lit(rest)))
+    return scaled, float(scaled.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0])
+
+
 def build(nodes: DataFrame, count: int, longest: float) -> tuple[DataFrame, int]:
     """The neighbour graph (STATE) of distinct vectors (id, v)."""
     homes = max(1, -(-count // HOME_NODES))
@@ -380,6 +393,7 @@ def search(state: DataFrame, queries: DataFrame, homes: int) -> DataFrame:
                 ids = b.column("id").to_numpy(zero_copy_only=False)
                 vec = np.stack(_lists(b.column("vec"), "<f4"))
                 vec[:, -1] = 0
+                vec = np.ldexp(vec, -np.frexp(np.abs(vec).max(axis=1, keepdims=True))[1])  # short queries keep their digits; the order of their products stays
                 cells = lambda x: pa.array(x, pa.binary())
                 seeds = [np.r_[i, entries[entries != i]].astype("<i8") for i in ids]
                 unseen = [np.full(len(x), -np.inf, "<f4").tobytes() for x in seeds]
@@ -444,14 +458,15 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "v
     """query_id, rank, vec_id, score: for each row with is_query (a condition on vec_id), its k nearest other rows found."""
     rows = usable(table, id_col, vec_col)
     nodes = checkpoint(distinct_vectors(rows, k))
-    size = nodes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
+    size = nodes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
     asked = rows.filter(is_query).withColumnRenamed("vec_id", "query_id")
     found_schema = "query_id long, rank int, vec_id long, score double"
     if not size["n"]:
         return table.sparkSession.createDataFrame([], found_schema)
     # queries by node: equal vectors walk once
     by_node = asked.join(nodes.select("v", "id"), "v").select("query_id", "id")
-    state, homes = build(nodes, size["n"], float(size["longest"]))
+    scaled, longest = to_unit(nodes, float(size["top"]))
+    state, homes = build(scaled, size["n"], longest)
     pools = search(state, by_node.select("id").distinct(), homes)
 
     def open_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
