@@ -90,6 +90,41 @@ def downsample(cells: DataFrame, value: str, factor: int) -> DataFrame:
     return cells.groupBy(F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(F.avg(value).alias(value))
 
 
+def _shares(index: Column, factor: float, n: int) -> Column:
+    """array<struct<at, w>>: the targets, `factor` source cells long, that a source cell meets on one axis, and the length it gives to each: two at most, as targets are no shorter."""
+    first = F.floor(index / F.lit(factor))
+    edge = (first + 1) * F.lit(factor)
+    left = F.least(F.lit(1.0), edge - index)
+    both = F.array(F.struct(first.cast("int").alias("at"), left.alias("w")), F.struct((first + 1).cast("int").alias("at"), (F.lit(1.0) - left).alias("w")))
+    return F.filter(both, lambda x: (x["w"] > 1e-12) & (x["at"] >= 0) & (x["at"] < n))
+
+
+def area_average(cells: DataFrame, value: str, height: int, width: int, row_factor: float, col_factor: float) -> DataFrame:
+    """Cells of a raster that is row_factor x col_factor times coarser, each the mean of what it covers, weighted by area.
+
+    The new raster has round(size / factor) cells on an axis, one at least. A source cell on the edge of two targets gives each its
+    part; missing values take no part and the others' weights make up for them; a target of missing values alone is missing. A row
+    is repeated four times at most, and sums combine before the shuffle.
+    """
+    if min(row_factor, col_factor) < 1:
+        raise ValueError("targets must not be smaller than source cells")
+    n_rows, n_cols = max(1, round(height / row_factor)), max(1, round(width / col_factor))
+    by_row = cells.select(F.explode(_shares(F.col("row"), row_factor, n_rows)).alias("r"), "col", value)
+    both = by_row.select("r", F.explode(_shares(F.col("col"), col_factor, n_cols)).alias("c"), value)
+    w = F.when(F.col(value).isNotNull(), F.col("r.w") * F.col("c.w"))
+    out = both.groupBy(F.col("r.at").alias("row"), F.col("c.at").alias("col")).agg(F.sum(w * F.col(value)).alias("_v"), F.sum(w).alias("_w"))
+    return out.select("row", "col", F.when(F.col("_w") > 0, F.col("_v") / F.col("_w")).alias(value))
+
+
+def zoom_levels(cells: DataFrame, value: str, height: int, width: int, resolution: float, levels: dict[int, float]) -> DataFrame:
+    """(zoom, row, col, value): the raster at each zoom's resolution (in the units of its own), by area. Zooms finer than the source are refused."""
+    parts = [area_average(cells, value, height, width, target / resolution, target / resolution).select(F.lit(z).alias("zoom"), "row", "col", value) for z, target in sorted(levels.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def pyramid(cells: DataFrame, value: str, levels: int) -> DataFrame:
     """(level, row, col, value): level 0 is the input, each further level averages 2 x 2 cells.
 

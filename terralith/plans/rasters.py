@@ -78,6 +78,29 @@ def _(spark, sf):
     return raster.downsample(cells(spark, sf), "v", 3).select(F.col("row").alias("row_no"), F.col("col").alias("col_no"), F.round("v", 6).alias("v"))
 
 
+def _area_sql(rows: str, cols: str, source: str = "cells", extra: str = "") -> str:
+    """Every target against every source cell that it meets, by the lengths they share."""
+    return f"""select {extra}cast(t.i as int) as row_no, cast(u.j as int) as col_no, round(sum(wr * wc * v) / nullif(sum(case when v is not null then wr * wc end), 0), 6) as v from {source} c
+  join (select i, r, least(r + 1, (i + 1) * {rows}) - greatest(r, i * {rows}) as wr from g, (select unnest(range(2000)) as i) join (select distinct row_no as r from cells) on r + 1 > i * {rows} and r < (i + 1) * {rows} where i < greatest(1, round_even(h / {rows}, 0))) t on t.r = c.row_no and wr > 1e-12
+  join (select j, k, least(k + 1, (j + 1) * {cols}) - greatest(k, j * {cols}) as wc from (select unnest(range(100)) as j) join (select distinct col_no as k from cells) on k + 1 > j * {cols} and k < (j + 1) * {cols} where j < greatest(1, round_even(50 / {cols}, 0))) u on u.k = c.col_no and wc > 1e-12 group by t.i, u.j"""
+
+
+@query("downsample_by_area", f"with {CELLS_SQL} {_area_sql('2.3e0', '3.2e0')}")
+def _(spark, sf):
+    small = raster.area_average(cells(spark, sf), "v", grid_of(spark, sf).height, 50, 2.3, 3.2)
+    return small.select(F.col("row").alias("row_no"), F.col("col").alias("col_no"), F.round("v", 6).alias("v"))
+
+
+#: Resolutions of three zooms, in cells of the raster.
+ZOOMS = {0: 11.0, 1: 5.5, 2: 2.75}
+
+
+@query("zoom_rasters", f"with {CELLS_SQL} " + " union all ".join(_area_sql(f"{f}e0", f"{f}e0", extra=f"{z} as zoom, ") for z, f in ZOOMS.items()))
+def _(spark, sf):
+    levels = raster.zoom_levels(cells(spark, sf), "v", grid_of(spark, sf).height, 50, 1.0, ZOOMS)
+    return levels.select("zoom", F.col("row").alias("row_no"), F.col("col").alias("col_no"), F.round("v", 6).alias("v"))
+
+
 BILINEAR_SQL = """four as (select t.*, fy + dy as row_no, fx + dx as col_no, (case when dy = 1 then y - fy else 1 - (y - fy) end) * (case when dx = 1 then x - fx else 1 - (x - fx) end) as w
   from (select *, cast(floor(y) as int) as fy, cast(floor(x) as int) as fx from targets) t, (values (0), (1)) a(dy), (values (0), (1)) b(dx)),
 v4 as (select four.*, cells.v from four left join cells using (row_no, col_no))"""

@@ -351,3 +351,25 @@ def test_running_counts_and_parts(spark, rows):
         assert got[i] == sum((h == g) and (w, j) < (v, i) for j, (h, w) in enumerate(rows))
     parts = [r["fold"] for r in ranks.even_parts(df, "v", 5, ("i",)).orderBy("v", "i").collect()]
     assert parts == [int(k) + 1 for k, part in enumerate(np.array_split(np.arange(len(rows)), 5)) for _ in part]
+
+
+def test_area_average(spark):
+    r = np.random.default_rng(3)
+    a = r.normal(size=(11, 7))
+    a[r.random(a.shape) < 0.3] = np.nan
+    a[:3, :3] = np.nan
+    df = spark.createDataFrame([(i, j, None if np.isnan(a[i, j]) else float(a[i, j])) for i in range(11) for j in range(7)], "row int, col int, v double").repartition(3)
+    for fr, fc in ((1.0, 1.0), (2.0, 3.0), (2.7, 1.4), (4.0, 6.5), (20.0, 30.0)):
+        got = {(x.row, x.col): x.v for x in raster.area_average(df, "v", 11, 7, fr, fc).collect()}
+        n, m = max(1, round(11 / fr)), max(1, round(7 / fc))
+        assert set(got) <= {(i, j) for i in range(n) for j in range(m)}
+        for i in range(n):
+            for j in range(m):
+                wr = np.clip(np.minimum(np.arange(11) + 1, (i + 1) * fr) - np.maximum(np.arange(11), i * fr), 0, None)
+                wc = np.clip(np.minimum(np.arange(7) + 1, (j + 1) * fc) - np.maximum(np.arange(7), j * fc), 0, None)
+                w = np.outer(wr, wc) * ~np.isnan(a)
+                want = (w * np.nan_to_num(a)).sum() / w.sum() if w.sum() > 1e-9 else None
+                assert got.get((i, j)) is want is None or np.isclose(got[i, j], want), (fr, fc, i, j)
+    with pytest.raises(ValueError, match="smaller"):
+        raster.area_average(df, "v", 11, 7, 0.5, 2.0)
+    assert raster.area_average(df.limit(0), "v", 11, 7, 2.0, 2.0).count() == 0
