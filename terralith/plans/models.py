@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from ..functions import climate, geo, scalar
-from ..operators import documents, ingest, models, stats
+from ..operators import boosting, documents, forests, ingest, models, stats
 from ..registry import query
-from ..session import checkpoint
-from ..sources import synthetic
+from ..session import checkpoint, shared_folder
+from ..sources import kept, synthetic
 from . import pipeline
 from .views import view
 
@@ -161,3 +163,23 @@ def _(spark, sf):
     fitted = models.fit_all(training(spark, sf).filter("region = 'asia'"), wanted, "log_rs")
     out = models.anomalies(grid(spark), {n: fitted[n] for n in named}, fitted["baseline"])
     return out.select("row", "col", "longitude", "latitude", *[f"{k}_{n}" for n in named for k in ("log_rs", "anomaly")], "log_rs_baseline")
+
+
+def modis_grid(spark, sf, folder, features=None):
+    """The grid scored by the configuration with land cover, kept under the fingerprint of sites, settings and code."""
+    sites, classes = with_landcover(training(spark, sf).filter("region = 'asia'"))
+    published, params = models.CONFIGS["Full_MODIS"]
+    used = [f for f in features or published if not f.startswith("lc_") or f in classes]
+    key = kept.fingerprint([sites.select("log_rs", *used)], {"features": used, "params": asdict(params), "target": "log_rs"}, [boosting, forests])
+
+    def make():
+        cells = grid(spark)
+        cells = cells.select("*", *scalar.one_hot(F.col("landcover"), [int(c[3:]) for c in classes]))
+        return models.score(cells.select("row", "col", "longitude", "latitude", *used), {"log_rs_pred": models.fit(sites, used, "log_rs", params)}).drop(*used)
+
+    return kept.kept(folder, "full-modis-grid", key, make)
+
+
+@query("full_modis_grid")
+def _(spark, sf):
+    return modis_grid(spark, sf, f"{shared_folder(spark).rstrip('/')}/kept")

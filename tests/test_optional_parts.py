@@ -24,3 +24,16 @@ def test_without_the_text_operators(tmp_path):
             (copy / "corpus_pipeline.py").unlink(missing_ok=True)
         done = subprocess.run([sys.executable, "-c", PROBE], cwd=copy, capture_output=True, text=True, timeout=120)
         assert done.returncode == 0, done.stderr
+
+
+MISSING = """
+import sys
+sys.modules["public_tokenizers"] = None  # a library that only the text operators need
+import __spark_entry__ as e
+assert "pipeline" not in e.queries() and len(e.queries()) > 90
+"""
+
+
+def test_without_a_library_of_the_text_operators():
+    done = subprocess.run([sys.executable, "-c", MISSING], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
