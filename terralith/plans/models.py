@@ -44,7 +44,7 @@ def training(spark, sf):
 def with_landcover(sites):
     """The sites with a column for each land-cover class of at least ten of them, and the names of these columns."""
     classes = [r["landcover"] for r in sites.groupBy("landcover").count().filter("count >= 10").orderBy("landcover").collect()]  # sixteen at most
-    return sites.select("*", *scalar.one_hot(F.col("landcover"), classes)), [f"lc_{c:02d}" for c in classes]
+    return checkpoint(sites.select("*", *scalar.one_hot(F.col("landcover"), classes))), [f"lc_{c:02d}" for c in classes]
 
 
 def grid(spark):
