@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from . import stats
 from .boosting import Bins, Block, Growth, Params, Run, fit_runs, grow_here
 from .forests import TREE_SCHEMA, Forest
@@ -147,6 +148,7 @@ def sweep(train: DataFrame, folds: DataFrame, target: str, configs: dict[str, tu
     rows = train.join(folds, "block").select(F.col("fold").cast("int").alias("part"), target, *names)
     if transfer is not None:
         rows = rows.unionByName(transfer.select(F.lit(0).alias("part"), target, *names))
+    rows = checkpoint(rows)  # read by every pass below
     whole = {c: complete(feats, target) for c, (feats, _) in known.items()}
     counted = rows.groupBy("part").agg(*[F.count_if(ok).alias(c) for c, ok in whole.items()]).collect()  # one for each fold
     n = {c: {r["part"]: r[c] for r in counted if r[c]} for c in known}
