@@ -33,7 +33,7 @@ from .common import U64, checkpoint, mix as mix64, words_of
 SHARE, MOST_REPEATS = 1.5, 2.0
 WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK_WORDS, MOST_BLOCKS = 2048, 1 << 28
-SHARD_BLOCKS = 4096
+SHARD_BLOCKS = 64
 MOST_SOURCES = 100_000
 BUCKET_ROWS, MOST_BUCKETS = 512, 65_536
 SEED = 20_240_501

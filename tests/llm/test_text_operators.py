@@ -252,11 +252,14 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.assemble(empty(spark)).count() == 0
 
 
-def test_draws_equal_a_plain_walk_of_the_tree(spark, monkeypatch):
-    """Every draw of every source is dealt anew, one by one, by splitting the quotas from the root down."""
-    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
-    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 16)
-    sizes = [random.Random(k).randint(0, 300) for k in range(60)] + [4000]
+@pytest.mark.parametrize("registered", [False, True])
+def test_draws_equal_a_plain_walk_of_the_tree(spark, monkeypatch, registered):
+    """Every draw of every source is dealt anew, one by one, by splitting the quotas from the root down; with small blocks, and with the settings of the query."""
+    if not registered:
+        monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+        monkeypatch.setattr(mixing, "SHARD_BLOCKS", 16)
+    scale = 50 if registered else 1
+    sizes = [scale * random.Random(k).randint(0, 300) for k in range(60)] + [4000 * scale]
     df = spark.createDataFrame([(2**60 + k, " ".join(words(k, n)), "en", ["a", "b", None][k % 3], 0) for k, n in enumerate(sizes)] + [(None, "x y z", "en", "a", 0), (2**63 - 1, "p q", "en", "c", 0), (-(2**63), "r", "en", "c", 0)], SCHEMA)
     rows = df.select("doc_id", "source", F.size(F.split("text", " ")).alias("n"), F.length("text").alias("l"), F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("k")).collect()
     got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
@@ -318,6 +321,18 @@ def test_shards_split_the_quotas():
     size = np.bincount(shard, minlength=8)
     assert size.max() - size.min() <= 3 and all((np.diff(shard[source == s]) >= 0).all() for s in (0, 1))
     assert (plan.shard_of(source[::7], draw[::7]) == shard[::7]).all()
+    other = mixing.plan_of(["a", "b"], [3_000_000, 500_000], seed=4)
+    other.shards = 8
+    assert other.quota == plan.quota and (other.shard_of(source, draw) != shard).any()  # the draws of the tree decide the shard
+
+
+def test_the_registered_settings_split(spark):
+    """The tree of the query itself has several shards on a table of this size, and another seed of it places the draws elsewhere."""
+    rows = [(k, " ".join(words(k, 2500)), "en", "ab"[k % 2], 0) for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    placed = [{r["doc_id"]: r["placed"] for r in mixing.digest(mixing.mix(df, **o)).collect()} for o in ({}, {"seed": 7})]
+    shards = {p.split(":")[0] for x in placed[0].values() for p in x.split(" ") if p}
+    assert len(shards) > 1 and placed[0] != placed[1]
 
 
 # ---- 5: toxicity
