@@ -109,6 +109,15 @@ def _(spark, sf):
     return ports(spark, sf).select("port", "n", "n_days", "span_days", F.round("mean_flux", 6).alias("mean_flux"), F.round("rs_annual", 4).alias("rs_annual"))
 
 
+@query("flux_ports_by_parts", f"with {PORTS_SQL} select port, n, n_days, cast(span_days as int) as span_days, round(mean_flux, 6) as mean_flux, round(rs_annual, 4) as rs_annual from rates")
+def _(spark, sf):
+    from ..streaming.flux import day_totals, integrate_totals
+
+    # as a stream leaves them: seven batches, each with rows of all days
+    parts = day_totals(view(spark, sf, "v_flux").withColumn("batch", F.pmod(F.xxhash64("port", "t", "flux"), F.lit(7))), ("batch", "port"))
+    return integrate_totals(parts, least_days=25, least_span=27).select("port", "n", "n_days", "span_days", F.round("mean_flux", 6).alias("mean_flux"), F.round("rs_annual", 4).alias("rs_annual"))
+
+
 @query("flux_sites", f"with {PORTS_SQL} select port % 20 as site, round(avg(rs_annual), 4) as rs_annual, count(*) as n_ports from rates group by 1 having avg(rs_annual) between 5e1 and 1.8e4")
 def _(spark, sf):
     return op.site_means(ports(spark, sf), F.col("port") % 20, high=18_000.0).select("site", F.round("rs_annual", 4).alias("rs_annual"), "n_ports")
