@@ -121,8 +121,12 @@ def site_means(ports: DataFrame, site: Column, low: float = RS_RANGE[0], high: f
     return ports.groupBy(site.alias("site")).agg(F.avg("rs_annual").alias("rs_annual"), F.count("*").alias("n_ports")).filter(F.col("rs_annual").between(low, high))
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, column: str, top: int | None = None, by_key: bool = False) -> DataFrame:
+    """Rows of each value that is not missing: of all values, or of the `top` most frequent (ties to the smaller value); by_key: in the order of the values."""
+    out = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    if top is not None:
+        out = top_rows(out, [F.desc("n"), F.asc(column)], top)
+    return out.orderBy(column) if by_key else out
 
 
 def description_fields(lines: DataFrame, key: str, line: str = "line", order: str = "line_no") -> DataFrame:

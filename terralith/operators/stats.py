@@ -237,3 +237,15 @@ def resampled_r2(pairs: DataFrame, replicates: int = 1000, seed: int = 42) -> Da
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     each = sums.select("group", F.when(sst > 0, 1 - F.col("sse") / sst).alias("r2"))
     return each.groupBy("group").agg(F.percentile("r2", F.lit(0.025)).alias("ci_low"), F.percentile("r2", F.lit(0.975)).alias("ci_high"))  # as many rows as replicates
+
+
+def configuration_table(runs: DataFrame, baseline: str, metrics: list[str], compared: str, all_features: int = 20, digits: int = 3) -> DataFrame:
+    """The report of a sweep (config, n_features, metrics): what kind of features each configuration has, metrics rounded half to even, and the rounded difference of one metric to the baseline's.
+
+    A baseline that is absent leaves the difference empty; one that occurs twice counts with its largest value. Columns other than the named ones are not read.
+    """
+    many = F.col("n_features")
+    kind = F.when(many == all_features, "all (incl. clay/sand/silt)").when(many.isNotNull(), F.format_string("selected (%d features)", many.cast("long")))
+    out = runs.select("config", "n_features", kind.alias("features_kind"), *[F.bround(F.col(m), digits).alias(m) for m in metrics])
+    base = out.agg(F.max(F.when(F.col("config") == baseline, F.col(compared))).alias("_base"))  # one row
+    return out.crossJoin(F.broadcast(base)).withColumn(f"delta_{compared}", F.bround(F.col(compared) - F.col("_base"), digits)).drop("_base")

@@ -190,3 +190,17 @@ def _(spark, sf):
 @query("random_folds", "with h as (select o_orderkey, (o_orderkey * 48271 + 42) % 2147483647 as x from orders) select fold, count(*) as n, cast(sum(o_orderkey) as bigint) as key_sum from (select o_orderkey, ntile(5) over (order by ((x * x) % 2147483647 + x * 16807 + 7) % 2147483647, o_orderkey) as fold from h) group by fold")
 def _(spark, sf):
     return stats.kfold_ids(table(spark, sf, "orders"), "o_orderkey").groupBy("fold").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
+@query("configuration_table", """with runs as (select stratum as config, 4 * cast(left(stratum, 1) as bigint) as n_features, round_even(corr(y, p), 3) as transfer_r2, round_even(avg(p - y), 3) as transfer_bias, round_even(stddev_samp(p), 3) as pred_std from v_pred group by stratum)
+select config, n_features, case when n_features = 20 then 'all (incl. clay/sand/silt)' else 'selected (' || n_features || ' features)' end as features_kind, transfer_r2, transfer_bias, pred_std,
+  round_even(transfer_r2 - (select transfer_r2 from runs where config = '1-URGENT'), 3) as delta_transfer_r2 from runs""")
+def _(spark, sf):
+    runs = view(spark, sf, "v_pred").groupBy(F.col("stratum").alias("config")).agg(F.corr("y", "p").alias("transfer_r2"), F.avg(F.col("p") - F.col("y")).alias("transfer_bias"), F.stddev_samp("p").alias("pred_std"))
+    runs = runs.withColumn("n_features", F.substring("config", 1, 1).cast("long") * 4)
+    return stats.configuration_table(runs, "1-URGENT", ["transfer_r2", "transfer_bias", "pred_std"], "transfer_r2")
+
+
+@query("frequent_classes", "select landcover, count(*) as n from v_feat where landcover is not null group by landcover order by n desc, landcover limit 8")
+def _(spark, sf):
+    return ingest.value_counts(view(spark, sf, "v_feat"), "landcover", top=8, by_key=True)

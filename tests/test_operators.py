@@ -373,3 +373,18 @@ def test_area_average(spark):
     with pytest.raises(ValueError, match="smaller"):
         raster.area_average(df, "v", 11, 7, 0.5, 2.0)
     assert raster.area_average(df.limit(0), "v", 11, 7, 2.0, 2.0).count() == 0
+
+
+def test_counts_of_frequent_values_and_the_table_of_a_sweep(spark):
+    from terralith.operators import ingest, stats
+
+    df = spark.createDataFrame([(v,) for v in [3, 3, 1, 1, 2, 2, 2, 9, None, None]], "v int")
+    assert [tuple(r) for r in ingest.value_counts(df, "v", top=2, by_key=True).collect()] == [(1, 2), (2, 3)]  # 1 and 3 tie
+    assert [tuple(r) for r in ingest.value_counts(df, "v", by_key=True).collect()] == [(1, 2), (2, 3), (3, 2), (9, 1)]
+    assert ingest.value_counts(df.limit(0), "v", top=8, by_key=True).count() == 0
+    runs = spark.createDataFrame([("a", 20, 0.5125, "x"), ("b", 8, 0.25, "x"), ("c", None, None, None)], "config string, n_features int, r2 double, _base string")
+    got = {r["config"]: r for r in stats.configuration_table(runs, "b", ["r2"], "r2").collect()}
+    assert (got["a"]["features_kind"], got["a"]["r2"], got["a"]["delta_r2"]) == ("all (incl. clay/sand/silt)", 0.512, 0.262)
+    assert got["b"]["features_kind"] == "selected (8 features)" and got["b"]["delta_r2"] == 0 and got["c"]["features_kind"] is None and got["c"]["delta_r2"] is None
+    assert {r["delta_r2"] for r in stats.configuration_table(runs, "none", ["r2"], "r2").collect()} == {None}
+    assert stats.configuration_table(runs.limit(0), "b", ["r2"], "r2").count() == 0
