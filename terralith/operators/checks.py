@@ -118,3 +118,24 @@ def coverage_gate(tiles: DataFrame, wanted: DataFrame, least_share: float = 0.95
     c = F.col
     measures = {"n": F.count("*"), "share": F.count("held") / F.count("*")}
     return gate(wanted.distinct().join(held, ["zoom", "tx", "ty"], "left"), "coverage", measures, {"wanted": (c("n") > 0, c("n")), "held": (c("share") >= least_share, F.round(c("share"), 4))})
+
+
+def seam_gate(seams: DataFrame, inner: DataFrame, tiles: DataFrame, *, pairs: int = 30, most_difference: float = 30.0, most_ratio: float = 2.5, least_seen: float = 0.5) -> DataFrame:
+    """Whether neighbouring tiles meet (seams and inner as raster.seams and raster.inner_differences give them, tiles as pixels with alpha `a`).
+
+    A seam counts where so many visible pairs meet, or all do where none has as many. They pass if the largest difference is small, or their mean is
+    not far above that of neighbouring pixels inside tiles. No seams at all fail, and so does a ratio that is unknown or 0.
+    """
+    d, full = F.col("difference"), F.col("pairs") >= pairs
+    across = seams.agg(F.coalesce(F.max(F.when(full, d)), F.max(d)).alias("largest"), F.coalesce(F.avg(F.when(full, d)), F.avg(d)).alias("across"), F.count_if(full).alias("n_full"), F.count("*").alias("n_seams"))
+    within = inner.agg(F.avg("difference").alias("within"))
+    seen = tiles.agg(F.avg((F.col("a") > 0).cast("double")).alias("seen"))
+    row = across.crossJoin(F.broadcast(within)).crossJoin(F.broadcast(seen))  # one row each
+    c, ratio = F.col, F.max("across") / F.max("within")
+    measures = {"largest": F.max("largest"), "ratio": ratio, "n_full": F.max("n_full"), "n_seams": F.max("n_seams"), "seen": F.max("seen")}
+    smooth = F.coalesce(c("largest") < most_difference, F.lit(False)) | F.coalesce((c("ratio") > 0) & (c("ratio") < most_ratio), F.lit(False))
+    return gate(row, "seams", measures, {
+        "seams": (c("n_seams") > 0, F.concat_ws("/", c("n_full").cast("string"), c("n_seams").cast("string"))),
+        "continuity": (smooth, F.concat_ws("/", F.round("largest", 4).cast("string"), F.round("ratio", 4).cast("string"))),
+        "coverage": (c("seen") > least_seen, F.round(c("seen"), 4)),
+    })

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import raster
+from ..operators import checks, raster
 from ..operators.raster import Grid
 from ..registry import query
 from .views import view
@@ -152,6 +152,17 @@ def _(spark, sf):
     return across.crossJoin(F.broadcast(within)).select(F.round("a", 6).alias("across"), F.round("w", 6).alias("within"), F.round(F.col("a") / F.col("w"), 6).alias("ratio"))
 
 
+@query("gate_seams", f"""with {PIXELS_SQL}, t as (select *, cast(floor(py / 1e1) as int) as ty, cast(floor(px / 1e1) as int) as tx, py % 10 as iy, px % 10 as ix from pix where a > 0),
+n as (select py + 1 as py, px, true as down, ty, tx, r, g, b from t union all select py, px + 1, false, ty, tx, r, g, b from t),
+e as (select n.ty = t.ty and n.tx = t.tx as inside, down, n.ty, n.tx, (abs(n.r - t.r) + abs(n.g - t.g) + abs(n.b - t.b)) / 3e0 as d from n join t using (py, px)),
+k as (select inside, down, ty, tx, count(*) as pairs, avg(d) as d from e group by 1, 2, 3, 4 having count(*) >= 4),
+m as (select coalesce(max(d) filter (not inside and pairs >= 8), max(d) filter (not inside)) as largest, coalesce(avg(d) filter (not inside and pairs >= 8), avg(d) filter (not inside)) / avg(d) filter (inside) as ratio, count(*) filter (not inside) as n, (select avg(case when a > 0 then 1e0 else 0e0 end) from pix) as seen from k)
+select 'seams' as gate, name, pass from m, lateral (values ('seams', n > 0), ('continuity', coalesce(largest < 30, false) or coalesce(ratio > 0 and ratio < 2.5e0, false)), ('coverage', coalesce(seen > 0.5e0, false))) x(name, pass)""")
+def _(spark, sf):
+    t = raster.cut_tiles(pixels(spark, sf), 10)
+    return checks.seam_gate(raster.seams(t, 10, least=4), raster.inner_differences(t, least=4), t, pairs=8).select("gate", "name", "pass")
+
+
 @query("stitch_tiles", f"with {PIXELS_SQL} select py - 10 as my, px - 20 as mx, r, a from pix where py between 10 and 29 and px between 20 and 39")
 def _(spark, sf):
     return raster.stitch(raster.cut_tiles(pixels(spark, sf), 10), 1, 2, 2, 10).select(F.col("my").cast("int").alias("my"), F.col("mx").cast("int").alias("mx"), "r", "a")

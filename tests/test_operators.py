@@ -388,3 +388,16 @@ def test_counts_of_frequent_values_and_the_table_of_a_sweep(spark):
     assert got["b"]["features_kind"] == "selected (8 features)" and got["b"]["delta_r2"] == 0 and got["c"]["features_kind"] is None and got["c"]["delta_r2"] is None
     assert {r["delta_r2"] for r in stats.configuration_table(runs, "none", ["r2"], "r2").collect()} == {None}
     assert stats.configuration_table(runs.limit(0), "b", ["r2"], "r2").count() == 0
+
+
+def test_seam_gate(spark):
+    from terralith.operators import checks
+
+    kind = "axis string, ty int, tx int, pairs long, difference double"
+    some = lambda *d: spark.createDataFrame([("down", 0, k, n, x) for k, (n, x) in enumerate(d)], kind)
+    tiles = spark.createDataFrame([(255,), (255,), (0,)], "a int")
+    said = lambda *args: {r["name"]: r["pass"] for r in checks.seam_gate(*args).collect()}
+    assert said(some((40, 5.0), (3, 200.0)), some((9, 4.0)), tiles) == {"seams": True, "continuity": True, "coverage": True}  # the seam of three pairs does not count
+    assert not said(some((40, 90.0)), some((9, 20.0)), tiles)["continuity"] and said(some((40, 90.0)), some((9, 60.0)), tiles)["continuity"]
+    assert not said(some((3, 200.0)), some((9, 4.0)), tiles)["continuity"]  # no seam has enough pairs: all count
+    assert said(some(), some(), tiles.limit(0)) == {"seams": False, "continuity": False, "coverage": False}
