@@ -12,11 +12,12 @@ def before(df: DataFrame, group: list[str], value: str, n: str | None = None, ti
     """Adds `before`: the sum of n (or the number of rows) that come earlier in the group by (value, ties). Values must not be NULL.
 
     The cuts are approximate quantiles of each group's values, so that outliers leave the buckets even; what is
-    counted within and before a bucket is exact.
+    counted within and before a bucket is exact. The cuts are written down: computed again from parts that arrive in another order they
+    may differ, and rows would be counted in one bucket and placed in another.
     """
     count = F.col(n) if n else F.lit(1)
     v = F.col(value).cast("double")
-    cuts = df.groupBy(*group).agg(F.percentile_approx(v, [k / buckets for k in range(1, buckets)], 16 * buckets).alias("_cuts"))  # one row for each group
+    cuts = checkpoint(df.groupBy(*group).agg(F.percentile_approx(v, [k / buckets for k in range(1, buckets)], 16 * buckets).alias("_cuts")))  # one row for each group
     spread = df.join(cuts, group) if group else df.crossJoin(F.broadcast(cuts))
     steps = F.array(*[F.lit(1 << b) for b in range(buckets.bit_length() - 1, -1, -1)])
     bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= v, at + step).otherwise(at))  # cuts not above the value

@@ -51,13 +51,17 @@ def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p")
 
 
 def spearman(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Correlation of average ranks. Ranks come from counts of the distinct values, so that ties and large groups meet pre-aggregated."""
-    rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    """Correlation of average ranks. Ranks come from counts of the distinct values, so that ties and large groups meet pre-aggregated.
+
+    The rows are written down first: a value that is a sum may come out with another last bit when it is computed again, and would then not meet its rank.
+    """
+    group = ["_g"] if by else []  # a struct, which is no NULL where a group is
+    rows = checkpoint(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*[F.struct(*by).alias(g) for g in group], y, p))
     out = rows
     for column, name in ((y, "_ry"), (p, "_rp")):
-        counts = before(rows.groupBy(*by, column).agg(F.count("*").alias("n")), by, column, "n")
-        out = out.join(counts.select(*by, column, (F.col("before") + (F.col("n") + 1) / 2).alias(name)), [*by, column])
-    return out.groupBy(*by).agg(F.corr("_ry", "_rp").alias("rho"), F.count("*").alias("n"))
+        counts = before(rows.groupBy(*group, column).agg(F.count("*").alias("n")), group, column, "n")
+        out = out.join(counts.select(*group, column, (F.col("before") + (F.col("n") + 1) / 2).alias(name)), [*group, column])
+    return out.groupBy(*group).agg(F.corr("_ry", "_rp").alias("rho"), F.count("*").alias("n")).select(*[F.col(f"_g.{c}") for c in by], "rho", "n")
 
 
 def pearson_by_feature(df: DataFrame, features: list[str], target: str, region: str, a: str, b: str, margin: float = 0.05) -> DataFrame:

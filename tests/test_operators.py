@@ -102,6 +102,16 @@ def test_bootstrap_draws_like_a_bootstrap(spark):
     assert abs(share.mean() - 0.632) < 0.02 and share.min() > 0.5
 
 
+def test_ranks_of_values_that_change_when_computed_again(spark):
+    def noise(batches):
+        for pdf in batches:
+            yield pdf.assign(p=np.random.default_rng().random(len(pdf)))
+
+    df = spark.range(200).select(F.when(F.col("id") % 4 == 0, F.lit("x")).alias("g"), F.col("id").cast("double").alias("y"))
+    got = {r["g"]: r["n"] for r in stats.spearman(df.mapInPandas(noise, "g string, y double, p double"), ["g"]).collect()}
+    assert got == {None: 150, "x": 50}
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (0.5,), (1.1,), (None,)], "x double")
     assert {r["bin"]: r["n"] for r in stats.histogram(df, "x", 0.0, 1.0, 2).collect()} == {0: 1, 1: 2}
