@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
+
 
 def gate(df: DataFrame, name: str, measures: dict[str, Column], checks: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Aggregates once; each check is (condition on the measures, detail). Unknown conditions fail."""
@@ -57,7 +59,8 @@ def zoom_steps(sizes: DataFrame, low: float = 1.5, high: float = 8.0) -> DataFra
 
 def quantile_distance(a: DataFrame, b: DataFrame, value: str, at: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Largest difference of the quantiles of two tables."""
-    q = lambda df, n: df.agg(F.percentile(value, F.array(*[F.lit(x) for x in at])).alias(n))
+    names = {f"_{k}": x for k, x in enumerate(at)}
+    q = lambda df, n: stats.exact_quantiles(df, value, names).select(F.array(*names).alias(n))
     return q(a, "_a").crossJoin(F.broadcast(q(b, "_b"))).select(F.array_max(F.zip_with("_a", "_b", lambda x, y: F.abs(x - y))).alias("distance"))
 
 

@@ -16,16 +16,16 @@ MERSENNE = 2**31 - 1
 ROUND_KEYS = (16807, 39373, 630360016)
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    c = F.col(column)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"))
-    return out.select("n", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+def exact_quantiles(df: DataFrame, column: str, at: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, names of `at`): exact quantiles with linear interpolation, NULLs left out; without `by` one row, of NULLs if there is no value.
+
 
 
-def quantiles(column: str, at: dict[str, float]) -> list[Column]:
-    """Exact quantiles with linear interpolation."""
-    return [F.percentile(column, p).alias(name) for name, p in at.items()]
+def describe(df: DataFrame, column: str) -> DataFrame:
+    c = F.col(column)
+    out = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = exact_quantiles(df, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return out.crossJoin(F.broadcast(q)).select("n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def share_of_all(condition: Column) -> Column:
@@ -45,8 +45,8 @@ def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p")
     rmse = F.sqrt(F.avg(F.pow(o - q, 2)))
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), r2(o, q).alias("r2"), rmse.alias("rmse"), F.avg(F.abs(o - q)).alias("mae"), F.avg(q - o).alias("bias"),
-        (rmse / F.nullif(F.max(o) - F.min(o), F.lit(0.0))).alias("nrmse"), F.percentile(F.abs(F.exp(o) - F.exp(q)), 0.5).alias("median_ae_linear"),
-        F.avg(F.abs(F.exp(o) - F.exp(q))).alias("mae_linear"), F.stddev_pop(q).alias("pred_std"), F.stddev_pop(o).alias("obs_std"),
+        (rmse / F.nullif(F.max(o) - F.min(o), F.lit(0.0))).alias("nrmse"),
+        F.avg("_e").alias("mae_linear"), F.stddev_pop(q).alias("pred_std"), F.stddev_pop(o).alias("obs_std"),
     )
 
 
@@ -67,6 +67,14 @@ def spearman(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFr
 def pearson_by_feature(df: DataFrame, features: list[str], target: str, region: str, a: str, b: str, margin: float = 0.05) -> DataFrame:
     """Correlation of each feature with the target in two regions, and whether the sign flips beyond a margin."""
     long = df.unpivot([target, region], features, "feature", "value").filter(F.col("value").isNotNull() & F.col(target).isNotNull())
+    medians = exact_quantiles(rows, "_e", {"median_ae_linear": 0.5}, tuple(by))
+    if by:
+        medians = medians.withColumnsRenamed({c: f"_by_{c}" for c in by})
+        same = [out[c].eqNullSafe(medians[f"_by_{c}"]) for c in by]
+        out = out.join(F.broadcast(medians), same, "left")  # a row a group
+    else:
+        out = out.crossJoin(F.broadcast(medians))
+    return out.select(*by, "n", "r2", "rmse", "mae", "bias", "nrmse", "median_ae_linear", "mae_linear", "pred_std", "obs_std")
     out = long.groupBy("feature").agg(*[F.corr(F.when(F.col(region) == r, F.col("value")), F.when(F.col(region) == r, F.col(target))).alias(n) for r, n in ((a, "r_a"), (b, "r_b"))])
     flips = ((F.col("r_a") > margin) & (F.col("r_b") < -margin)) | ((F.col("r_a") < -margin) & (F.col("r_b") > margin))
     return out.withColumn("sign_flip", F.coalesce(flips, F.lit(False)))
@@ -74,7 +82,7 @@ def pearson_by_feature(df: DataFrame, features: list[str], target: str, region:
 
 def tertile_confusion(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Counts of (observed, predicted) thirds; the edges are the observed thirds, an edge belongs above."""
-    edges = df.agg(F.percentile(y, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_e"))  # one row
+    edges = exact_quantiles(df, y, {"a": 1 / 3, "b": 2 / 3}).select(F.array("a", "b").alias("_e"))  # one row
     third = lambda c: (F.col(c) >= F.col("_e")[0]).cast("int") + (F.col(c) >= F.col("_e")[1]).cast("int")
     return df.crossJoin(F.broadcast(edges)).groupBy(third(y).alias("observed"), third(p).alias("predicted")).agg(F.count("*").alias("n"))
 
@@ -130,8 +138,10 @@ def missing_shares(df: DataFrame, features: list[str], warn_at: float = 0.2) ->
 
 def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values replaced by the column's exact median."""
-    medians = df.agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])  # one row
-    return df.crossJoin(F.broadcast(medians)).select(*[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+    out = df
+    for c in columns:
+        out = out.crossJoin(F.broadcast(exact_quantiles(df, c, {f"_m_{c}": 0.5})))  # one row
+    return out.select(*[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def range_flags(value: Column, text: Column, ph: bool = False) -> Column:

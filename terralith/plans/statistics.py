@@ -21,7 +21,8 @@ def _(spark, sf):
 
 @query("quantiles_and_factor", "select round(quantile_cont(y, 0.05), 9) as p05, round(quantile_cont(y, 0.5), 9) as p50, round(quantile_cont(y, 0.95), 9) as p95, round(quantile_cont(p, 0.5) / quantile_cont(y, 0.5), 9) as factor from v_pred")
 def _(spark, sf):
-    q = view(spark, sf, "v_pred").agg(*stats.quantiles("y", {"p05": 0.05, "p50": 0.5, "p95": 0.95}), F.percentile("p", 0.5).alias("pm"))
+    pred = view(spark, sf, "v_pred")
+    q = stats.exact_quantiles(pred, "y", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).crossJoin(F.broadcast(stats.exact_quantiles(pred, "p", {"pm": 0.5})))  # one row each
     return q.select(*rnd("p05", "p50", "p95", digits=9), F.round(F.col("pm") / F.col("p50"), 9).alias("factor"))
 
 
@@ -106,13 +107,14 @@ def _(spark, sf):
 @query("texture_sums", "with s as (select coalesce(clay, 0) + coalesce(nitrogen, 0) + coalesce(soc, 0) as total from v_feat) select round(quantile_cont(total, 0.05), 6) as p05, round(quantile_cont(total, 0.5), 6) as p50, round(quantile_cont(total, 0.95), 6) as p95 from s")
 def _(spark, sf):
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("nitrogen", "soc")), F.coalesce("clay", F.lit(0.0)))
-    return view(spark, sf, "v_feat").select(total.alias("total")).agg(*[F.round(F.percentile("total", p), 6).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+    return stats.exact_quantiles(view(spark, sf, "v_feat").select(total.alias("total")), "total", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).select(*rnd("p05", "p50", "p95"))
 
 
 @query("raw_layer_percentiles", "select count(*) filter (where sand = 0) as n_zero, round(quantile_cont(sand, 0.05) filter (where sand > 0), 6) as p05, round(quantile_cont(sand, 0.5) filter (where sand > 0), 6) as p50, round(quantile_cont(sand, 0.95) filter (where sand > 0), 6) as p95 from v_feat")
 def _(spark, sf):
-    positive = F.when(F.col("sand") > 0, F.col("sand"))
-    return view(spark, sf, "v_feat").agg(F.count_if(F.col("sand") == 0).alias("n_zero"), *[F.round(F.percentile(positive, p), 6).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+    f = view(spark, sf, "v_feat").select("sand")
+    q = stats.exact_quantiles(f.filter("sand > 0"), "sand", {"p05": 0.05, "p50": 0.5, "p95": 0.95})  # one row
+    return f.agg(F.count_if(F.col("sand") == 0).alias("n_zero")).crossJoin(F.broadcast(q)).select("n_zero", *rnd("p05", "p50", "p95"))
 
 
 @query("target_sanity", "select count(*) filter (where rs_annual <= 0) as n_not_positive, count(*) filter (where rs_annual < 50) as n_low, count(*) filter (where rs_annual > 5000) as n_high, min(rs_annual) as lowest, max(rs_annual) as highest from v_sites")

@@ -133,6 +133,23 @@ def test_nearest_both_ways(spark, monkeypatch):
     b = neighbours.nearest_reference(cells, refs, "cell", "ref", ("soc",)).collect()
     assert sorted((r["cell"], r["ref"], r["soc"]) for r in a) == sorted((r["cell"], r["ref"], r["soc"]) for r in b)
 
+def test_exact_quantiles_hold_no_table_in_one_place(spark):
+    r = np.random.default_rng(3)
+    rows = [(None if i % 5 == 0 else i % 3, None if i % 11 == 0 else float(round(v, 1))) for i, v in enumerate(r.normal(size=700) * 4)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(3)
+    at = {"low": 0.05, "mid": 0.5, "high": 0.95, "top": 1.0}
+    got = stats.exact_quantiles(df, "v", at, ("g",))
+    want = df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in at.items()])
+    plain = lambda d: sorted((repr(x["g"]), *[round(x[n], 9) for n in at]) for x in d.collect())
+    assert plain(got) == plain(want)
+    for out in (got, stats.describe(df, "v"), stats.regression_metrics(df.withColumn("p", F.col("v") + 1), ["g"], "v", "p")):
+        assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    none = stats.exact_quantiles(df.filter("v > 1e9"), "v", at).first()
+    assert [none[n] for n in at] == [None] * 4
+    d = stats.describe(df, "v").first()
+    assert math.isclose(d["p25"], df.agg(F.percentile("v", 0.25)).first()[0], abs_tol=1e-12)
+
+
 
 def test_nearest_of_repeated_missing_and_tied_rows(spark, monkeypatch):
     """Both ways keep every row; ties go to the smaller key; a cell without a position or a key is a row like any other."""
