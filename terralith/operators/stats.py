@@ -14,11 +14,30 @@ from .ranks import before, even_parts
 MERSENNE = 2**31 - 1
 #: Multipliers of the resampling hash's rounds.
 ROUND_KEYS = (16807, 39373, 630360016)
+#: Draws of a bootstrap that are made at once; draws that meet in a block, about.
+PIECE, MOST_DRAWS = 1 << 20, 1 << 22
 
 
 def exact_quantiles(df: DataFrame, column: str, at: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """(by, names of `at`): exact quantiles with linear interpolation, NULLs left out; without `by` one row, of NULLs if there is no value.
 
+    Values are counted, counts are summed up by buckets of values, and the two values around each place are picked: no task holds
+    all different values. The counts are written down, so that the passes over them see the same values.
+    """
+    group = ["_g"] if by else []  # a struct, which is no NULL where a group is
+    keyed = df.filter(F.col(column).isNotNull()).select(*[F.struct(*by).alias(g) for g in group], F.col(column).alias("_v"))
+    counts = checkpoint(keyed.groupBy(*group, "_v").agg(F.count("*").alias("_c")))
+    total = counts.groupBy(*group).agg((F.sum("_c") - 1).alias("_last"))  # one row for each group
+    ranked = before(counts, group, "_v", "_c")
+    ranked = ranked.join(F.broadcast(total), group) if by else ranked.crossJoin(F.broadcast(total))
+    k = F.col("before")
+    holds = lambda place: F.max(F.when((k <= place) & (place < k + F.col("_c")), F.col("_v")))
+    found = []
+    for name, p in at.items():
+        place = F.col("_last") * F.lit(float(p))
+        found.append(F.struct(holds(F.floor(place)).alias("low"), holds(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part")).alias(name))
+    out = ranked.groupBy(*group).agg(*found)
+    return out.select(*[F.col(f"_g.{c}") for c in by], *[(F.col(f"{n}.low") + (F.col(f"{n}.high") - F.col(f"{n}.low")) * F.col(f"{n}.part")).alias(n) for n in at])
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -41,13 +60,21 @@ def r2(y: Column, p: Column) -> Column:
 def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """R2, RMSE, MAE, bias, NRMSE, median and linear absolute errors, spreads; one row for each group."""
     o, q = F.col(y), F.col(p)
-    rows = df.filter(o.isNotNull() & q.isNotNull())
+    rows = df.filter(o.isNotNull() & q.isNotNull()).withColumn("_e", F.abs(F.exp(o) - F.exp(q)))
     rmse = F.sqrt(F.avg(F.pow(o - q, 2)))
-    return rows.groupBy(*by).agg(
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("n"), r2(o, q).alias("r2"), rmse.alias("rmse"), F.avg(F.abs(o - q)).alias("mae"), F.avg(q - o).alias("bias"),
         (rmse / F.nullif(F.max(o) - F.min(o), F.lit(0.0))).alias("nrmse"),
         F.avg("_e").alias("mae_linear"), F.stddev_pop(q).alias("pred_std"), F.stddev_pop(o).alias("obs_std"),
     )
+    medians = exact_quantiles(rows, "_e", {"median_ae_linear": 0.5}, tuple(by))
+    if by:
+        medians = medians.withColumnsRenamed({c: f"_by_{c}" for c in by})
+        same = [out[c].eqNullSafe(medians[f"_by_{c}"]) for c in by]
+        out = out.join(F.broadcast(medians), same, "left")  # a row a group
+    else:
+        out = out.crossJoin(F.broadcast(medians))
+    return out.select(*by, "n", "r2", "rmse", "mae", "bias", "nrmse", "median_ae_linear", "mae_linear", "pred_std", "obs_std")
 
 
 def spearman(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -67,14 +94,6 @@ def spearman(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFr
 def pearson_by_feature(df: DataFrame, features: list[str], target: str, region: str, a: str, b: str, margin: float = 0.05) -> DataFrame:
     """Correlation of each feature with the target in two regions, and whether the sign flips beyond a margin."""
     long = df.unpivot([target, region], features, "feature", "value").filter(F.col("value").isNotNull() & F.col(target).isNotNull())
-    medians = exact_quantiles(rows, "_e", {"median_ae_linear": 0.5}, tuple(by))
-    if by:
-        medians = medians.withColumnsRenamed({c: f"_by_{c}" for c in by})
-        same = [out[c].eqNullSafe(medians[f"_by_{c}"]) for c in by]
-        out = out.join(F.broadcast(medians), same, "left")  # a row a group
-    else:
-        out = out.crossJoin(F.broadcast(medians))
-    return out.select(*by, "n", "r2", "rmse", "mae", "bias", "nrmse", "median_ae_linear", "mae_linear", "pred_std", "obs_std")
     out = long.groupBy("feature").agg(*[F.corr(F.when(F.col(region) == r, F.col("value")), F.when(F.col(region) == r, F.col(target))).alias(n) for r, n in ((a, "r_a"), (b, "r_b"))])
     flips = ((F.col("r_a") > margin) & (F.col("r_b") < -margin)) | ((F.col("r_a") < -margin) & (F.col("r_b") > margin))
     return out.withColumn("sign_flip", F.coalesce(flips, F.lit(False)))
@@ -96,15 +115,52 @@ def draw(rep: Column, k: Column, n: Column, seed: int = 42) -> Column:
     return x % n
 
 
+def draw_numbers(rep: int, k: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
+    """The same for many draws of one replicate, as arrays."""
+    x = (k * 48271 + rep * 69621 + seed) % MERSENNE
+    for key in ROUND_KEYS:
+        x = (x * x % MERSENNE + x * (key % 65536) + rep * 7919 + key) % MERSENNE
+    return x % n
+
+
 def bootstrap_r2(df: DataFrame, key: str, replicates: int, y: str = "y", p: str = "p", seed: int = 42) -> DataFrame:
-    """R2 of each replicate: n draws with replacement. Draws are counted first, so that a row is joined once for each replicate it is in."""
+    """R2 of each replicate: n draws with replacement.
+
+    Rows are numbered and dealt into blocks of numbers. Draws are made a piece at a time and travel to their blocks packed,
+    two bytes each; a block gives four sums for each replicate. Neither a replicate nor the table is ever in one place.
+    """
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    numbered = before(rows.select(key, y, p), [], key).select(y, p, F.col("before").alias("i"))
-    n = df.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
-    draws = n.filter("n > 0").select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("rep", draw(F.col("rep"), F.col("k"), F.col("n"), seed).alias("i"))
-    times = draws.groupBy("rep", "i").agg(F.count("*").alias("w"))
-    w, o, q = F.col("w"), F.col(y), F.col(p)
-    sums = times.join(numbered, "i").groupBy("rep").agg(F.sum(w).alias("n"), F.sum(w * o).alias("s1"), F.sum(w * o * o).alias("s2"), F.sum(w * F.pow(o - q, 2)).alias("sse"))
+    numbered = checkpoint(before(rows.select(key, F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")), [], key).select(F.col("before").alias("i"), "y", "p"))
+    spark = df.sparkSession
+    n, middle = numbered.agg(F.count("*"), F.avg("y")).first()  # one row; any value near the target keeps the squares small
+    size = max(1_024, min(65_536, MOST_DRAWS // max(1, replicates)))
+    pieces = max(1, -(-n // PIECE))
+
+    def drawn(batches):
+        for pdf in batches:
+            for at in pdf["id"].tolist():
+                rep, start = at // pieces, at % pieces * PIECE
+                i = np.sort(draw_numbers(rep, np.arange(start, min(n, start + PIECE), dtype=np.int64), n, seed)) if n else np.zeros(0, np.int64)
+                block, first = np.unique(i // size, return_index=True)
+                packed = [part.astype(np.uint16).tobytes() for part in np.split(i % size, first[1:])] if len(i) else []
+                yield pd.DataFrame({"block": block, "rep": np.full(len(block), rep), "at": packed})
+
+    def summed(own: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        o, e = np.empty(size), np.empty(size)
+        place = own["i"].to_numpy() % size
+        o[place], e[place] = own["y"] - middle, (own["y"] - own["p"]) ** 2
+        sums: dict[int, np.ndarray] = {}
+        for rep, packed in zip(draws["rep"].tolist(), draws["at"], strict=True):
+            at = np.frombuffer(packed, np.uint16)
+            v = o[at]
+            sums[rep] = sums.get(rep, 0.0) + np.array([len(at), v.sum(), (v * v).sum(), e[at].sum()])
+        return pd.DataFrame([(rep, *s) for rep, s in sums.items()], columns=["rep", "n", "s1", "s2", "sse"])
+
+    tasks = min(replicates * pieces, max(spark.sparkContext.defaultParallelism * 4, 1))
+    draws = spark.range(0, replicates * pieces, 1, max(1, tasks)).mapInPandas(drawn, "block long, rep long, at binary")
+    blocks = numbered.withColumn("block", F.floor(F.col("i") / size))
+    each = blocks.groupBy("block").cogroup(draws.groupBy("block")).applyInPandas(summed, "rep long, n double, s1 double, s2 double, sse double")
+    sums = each.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "sse")])
     return sums.select("rep", (F.lit(1.0) - F.col("sse") / F.nullif(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))).alias("r2"))
 
 

@@ -102,6 +102,27 @@ def test_bootstrap_draws_like_a_bootstrap(spark):
     assert abs(share.mean() - 0.632) < 0.02 and share.min() > 0.5
 
 
+def test_bootstrap_deals_its_draws(spark, monkeypatch):
+    n, reps = 5_000, 3
+    r = np.random.default_rng(4)
+    y = r.normal(size=n) + 1e4
+    p = y + r.normal(size=n) * 0.5
+    df = spark.createDataFrame([(7 * i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, p, strict=True))], "id long, y double, p double").repartition(5)
+    monkeypatch.setattr(stats, "PIECE", 700)  # several pieces and blocks
+    monkeypatch.setattr(stats, "MOST_DRAWS", 0)
+    boot = stats.bootstrap_r2(df, "id", reps)
+    plan = boot._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "sequence(" not in plan  # neither the table nor a replicate in one place
+    got = {x["rep"]: x["r2"] for x in boot.collect()}
+    for rep in range(reps):
+        i = stats.draw_numbers(rep, np.arange(n), n)
+        want = 1 - ((y[i] - p[i]) ** 2).sum() / ((y[i] - y[i].mean()) ** 2).sum()
+        assert math.isclose(got[rep], want, rel_tol=1e-9)
+    d = spark.range(n).select(stats.draw(F.lit(2).cast("long"), F.col("id"), F.lit(n)).alias("i")).toPandas()["i"]
+    assert d.tolist() == stats.draw_numbers(2, np.arange(n), n).tolist()
+    assert stats.bootstrap_r2(df.filter("id < 0"), "id", reps).count() == 0
+
+
 def test_ranks_of_values_that_change_when_computed_again(spark):
     def noise(batches):
         for pdf in batches:
@@ -112,6 +133,23 @@ def test_ranks_of_values_that_change_when_computed_again(spark):
     assert got == {None: 150, "x": 50}
 
 
+def test_exact_quantiles_hold_no_table_in_one_place(spark):
+    r = np.random.default_rng(3)
+    rows = [(None if i % 5 == 0 else i % 3, None if i % 11 == 0 else float(round(v, 1))) for i, v in enumerate(r.normal(size=700) * 4)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(3)
+    at = {"low": 0.05, "mid": 0.5, "high": 0.95, "top": 1.0}
+    got = stats.exact_quantiles(df, "v", at, ("g",))
+    want = df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in at.items()])
+    plain = lambda d: sorted((repr(x["g"]), *[round(x[n], 9) for n in at]) for x in d.collect())
+    assert plain(got) == plain(want)
+    for out in (got, stats.describe(df, "v"), stats.regression_metrics(df.withColumn("p", F.col("v") + 1), ["g"], "v", "p")):
+        assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    none = stats.exact_quantiles(df.filter("v > 1e9"), "v", at).first()
+    assert [none[n] for n in at] == [None] * 4
+    d = stats.describe(df, "v").first()
+    assert math.isclose(d["p25"], df.agg(F.percentile("v", 0.25)).first()[0], abs_tol=1e-12)
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (0.5,), (1.1,), (None,)], "x double")
     assert {r["bin"]: r["n"] for r in stats.histogram(df, "x", 0.0, 1.0, 2).collect()} == {0: 1, 1: 2}
@@ -133,23 +171,6 @@ def test_nearest_both_ways(spark, monkeypatch):
     b = neighbours.nearest_reference(cells, refs, "cell", "ref", ("soc",)).collect()
     assert sorted((r["cell"], r["ref"], r["soc"]) for r in a) == sorted((r["cell"], r["ref"], r["soc"]) for r in b)
 
-def test_exact_quantiles_hold_no_table_in_one_place(spark):
-    r = np.random.default_rng(3)
-    rows = [(None if i % 5 == 0 else i % 3, None if i % 11 == 0 else float(round(v, 1))) for i, v in enumerate(r.normal(size=700) * 4)]
-    df = spark.createDataFrame(rows, "g int, v double").repartition(3)
-    at = {"low": 0.05, "mid": 0.5, "high": 0.95, "top": 1.0}
-    got = stats.exact_quantiles(df, "v", at, ("g",))
-    want = df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in at.items()])
-    plain = lambda d: sorted((repr(x["g"]), *[round(x[n], 9) for n in at]) for x in d.collect())
-    assert plain(got) == plain(want)
-    for out in (got, stats.describe(df, "v"), stats.regression_metrics(df.withColumn("p", F.col("v") + 1), ["g"], "v", "p")):
-        assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
-    none = stats.exact_quantiles(df.filter("v > 1e9"), "v", at).first()
-    assert [none[n] for n in at] == [None] * 4
-    d = stats.describe(df, "v").first()
-    assert math.isclose(d["p25"], df.agg(F.percentile("v", 0.25)).first()[0], abs_tol=1e-12)
-
-
 
 def test_nearest_of_repeated_missing_and_tied_rows(spark, monkeypatch):
     """Both ways keep every row; ties go to the smaller key; a cell without a position or a key is a row like any other."""
