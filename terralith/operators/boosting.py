@@ -7,8 +7,11 @@ alone. All runs grow in the same passes, each at its own level, so that a sweep
 longest run. Predictions so far are written down with the blocks every REFRESH trees.
 
 A table of at most SMALL_ROWS rows (counted first) is a few megabytes of codes: these go to the tasks, a run to each, and
-the same steps happen there without passes. Both ways give the same trees bit by bit: gradients are whole multiples of a unit, so that sums do
-not depend on the order of rows or blocks, and rows are drawn by a hash of their values.
+the same steps happen there without passes. A larger table whose rows have at most SMALL_ROWS different codes (counted too) needs no passes
+either: rows with the same codes are in one node at every step, so that the number and the target's sum of those that each tree draws are all a fit asks for.
+Spark adds these up once, for all trees, and they travel to the runs in the order of the trees, while rows stay where they are. All ways
+give the same trees bit by bit: gradients are whole multiples of a unit, so that sums do not depend on the order of rows or blocks, and
+rows are drawn by a hash of their values.
 
 Second-order boosting on squared error, L1 and L2 penalties on leaves, row and column sampling, learned directions for
 missing values, optional early stopping on the rows of other parts.
@@ -208,8 +211,9 @@ class Growth:
         self.best, self.best_round = math.inf, -1
 
     def measured(self, n: int, low: float, high: float) -> None:
-        self.n, self.low = n, low
-        self.unit = 2.0 ** (math.ceil(math.log2(high - low)) - BITS) if n and high > low else 2.0**-BITS
+        whole = 2.0 ** math.ceil(math.log2(high - low)) if n and high > low else 1.0
+        self.n, self.unit = n, whole / 2**BITS
+        self.low = math.floor(low / whole) * whole if n else 0.0  # the same for most parts of a table
         self.done = not n or self.p.n_estimators < 1
 
     def begin(self, total: int) -> None:
@@ -226,8 +230,11 @@ class Growth:
         """Columns that the tree at hand looks at."""
         return self.columns[self.picked]
 
+    def whole(self, y: np.ndarray) -> np.ndarray:
+        return np.rint((y - self.low) / self.unit)
+
     def gradient(self, pred: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.rint((pred - y) / self.unit)
+        return self.whole(pred) - self.whole(y)
 
     def _value(self, g: float, h: float) -> float:
         weight = h + self.p.reg_lambda
@@ -316,7 +323,7 @@ def grow_here(growth: Growth, block: Block) -> Forest:
     growth.measured(own.n, float(own.y.min(initial=np.inf)), float(own.y.max(initial=-np.inf)))
     if not own.n:
         return growth.forest()
-    growth.begin(int(np.rint((own.y - growth.low) / growth.unit).astype(np.int64).sum()))
+    growth.begin(int(growth.whole(own.y).astype(np.int64).sum()))
     pred, seen = np.full(own.n, growth.base), np.full(other.n if early else 0, growth.base)
     while not growth.done:
         growth.open()
@@ -391,7 +398,7 @@ def fit_runs(rows: DataFrame, target: str, runs: list[Run], small_rows: int = SM
     if n <= small_rows:
         forests = _in_tasks(blocks, growths) if n else [g.forest() for g in growths]
     else:
-        forests = _in_passes(blocks, growths, refresh)
+        forests = _by_codes(blocks, growths, small_rows) or _in_passes(blocks, growths, refresh)
     return {r.name: f for r, f in zip(runs, forests, strict=True)}
 
 
@@ -412,6 +419,229 @@ def _in_tasks(blocks: DataFrame, growths: list[Growth]) -> list[Forest]:
     return [Forest(list(g.run.features), *made[i]) for i, g in enumerate(growths)]
 
 
+#: Vectors in a record of sums; sums (vectors x trees) that a task holds at once.
+PIECE, MOST_CELLS = 256, 4_000_000
+
+
+@dataclass(frozen=True)
+class Draw:
+    """What sums over drawn rows depend on, besides the rows: the draws, and the whole numbers that stand for the target."""
+
+    params: Params
+    low: float
+    unit: float
+
+    @staticmethod
+    def of(g: Growth) -> Draw:
+        return Draw(Params(seed=g.p.seed, subsample=g.p.subsample) if g.p.subsample < 1 else Params(seed=0, subsample=1.0), g.low, g.unit)
+
+
+def _hashed(b: Block) -> np.ndarray:
+    h = _mixed(b.part.astype(np.int64).view(np.uint64), 0)
+    for c in b.codes:
+        h = _mixed(h + c, 1)
+    return h.view(np.int64)
+
+
+def _added(at: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers by place, also beyond 2^53."""
+    if float(np.abs(v).sum(dtype=float)) < 2.0**52:
+        return np.bincount(at, weights=v, minlength=size).astype(np.int64)
+    high, low = v >> 26, v & (2**26 - 1)
+    return (np.bincount(at, weights=high, minlength=size).astype(np.int64) << 26) + np.bincount(at, weights=low, minlength=size).astype(np.int64)
+
+
+def _vectors(blocks: DataFrame, most: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The different (part, codes) as a block in the order of their hashes, with their numbers of rows and lowest and highest targets; None if there are more than `most`."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _block(row)
+                b = b.some(np.flatnonzero(~np.isnan(b.y)))
+                h, first, place, n = np.unique(_hashed(b), return_index=True, return_inverse=True, return_counts=True)
+                low, high = np.full(len(h), np.inf), np.full(len(h), -np.inf)
+                np.minimum.at(low, place, b.y)
+                np.maximum.at(high, place, b.y)
+                codes = pa.array([c.tobytes() for c in b.codes[:, first].T], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.part[first]), codes, pa.array(n), pa.array(low), pa.array(high)], names=["h", "part", "codes", "n", "low", "high"])
+
+    every = blocks.mapInArrow(found, "h long, part int, codes binary, n long, low double, high double")
+    merged = every.groupBy("h", "part", "codes").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    got = merged.limit(most + 1).toArrow().sort_by("h")  # `most` rows of codes at most
+    h = got.column("h").to_numpy()
+    if not 0 < len(h) <= most or (np.diff(h) == 0).any():  # two vectors of one hash
+        return None
+    codes = np.frombuffer(b"".join(got.column("codes").to_pylist()), np.uint8).reshape(len(h), -1).T
+    n, low, high = (got.column(c).to_numpy() for c in ("n", "low", "high"))
+    return Block(np.ascontiguousarray(codes), np.zeros(len(h)), got.column("part").to_numpy(), h), n, low, high
+
+
+def _drawn_sums(blocks: DataFrame, h: np.ndarray, rows: np.ndarray, draws: dict[Draw, int]) -> DataFrame:
+    """(kind, tree, first, n, s): for each Draw and tree, numbers of drawn rows and sums of their targets, of PIECE vectors from `first` on; tree -1 has all rows. Records of one place add up."""
+    width = sum(t for t in draws.values()) + len(draws)
+    parts = max(2 * blocks.sparkSession.sparkContext.defaultParallelism, -(-len(h) * width // MOST_CELLS))
+    share = rows.sum() / parts
+    chunk = np.minimum((np.cumsum(rows) - rows) // share, np.arange(len(h))).astype(np.int64)
+    chunk = np.maximum(chunk, np.arange(len(h)) // -(-MOST_CELLS // width))  # neither too many rows nor too many vectors
+    starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+    ends = np.r_[starts[1:], len(h)]
+    split = np.maximum(1, np.rint(np.add.reduceat(rows, starts) / share)).astype(np.int64)  # a vector of very many rows goes to several tasks
+    base = np.r_[0, np.cumsum(split)]
+    of_task = np.repeat(np.arange(len(starts)), split)
+    of_vector = np.repeat(np.arange(len(starts)), ends - starts)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _block(row)
+                b = b.some(np.flatnonzero(~np.isnan(b.y)))
+                at = np.searchsorted(h, _hashed(b))
+                c = of_vector[at]
+                task = base[c] + (_mixed(b.key, 7) % split[c].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(b.y), pa.array(b.key)], names=["task", "at", "y", "key"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            task, at, y, key = (batch.column(i).to_numpy() for i in range(4))
+            if first is None:
+                first, end = int(starts[of_task[task[0]]]), int(ends[of_task[task[0]]])
+                size = end - first
+                n = [np.zeros((t + 1, size), np.int64) for t in draws.values()]
+                s = [np.zeros((t + 1, size), np.int64) for t in draws.values()]
+            at = at - first
+            for k, (d, trees) in enumerate(draws.items()):
+                v = np.rint((y - d.low) / d.unit)
+                for t in range(-1, trees):
+                    own = drawn(key, d.params, t) if t >= 0 else slice(None)
+                    n[k][t + 1] += np.bincount(at[own], minlength=size)
+                    s[k][t + 1] += np.bincount(at[own], weights=v[own], minlength=size).astype(np.int64)  # whole numbers below 2^53
+        if first is None:
+            return
+        places = list(range(0, size, PIECE))
+        for k, trees in enumerate(draws.values()):
+            for t in range(-1, trees):
+                packed = [[a[k][t + 1, i : i + PIECE].tobytes() for i in places] for a in (n, s)]
+                m = len(places)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * m, pa.int32()), pa.array([t] * m, pa.int32()), pa.array([first + i for i in places], pa.int32()), *[pa.array(x, pa.binary()) for x in packed]], names=["kind", "tree", "first", "n", "s"])
+
+    dealt = blocks.mapInArrow(deal, "task int, at int, y double, key long")
+    return dealt.repartitionById(int(base[-1]), F.col("task")).mapInArrow(add, "kind int, tree int, first int, n binary, s binary")
+
+
+class _Counted:
+    """A run that grows over vectors of codes instead of rows."""
+
+    def __init__(self, growth: Growth, vectors: Block):
+        self.growth, self.at = growth, members(vectors, growth.run, growth.columns)
+        self.codes = vectors.codes[:, self.at]
+
+    def begin(self, s: np.ndarray) -> None:
+        self.growth.begin(int(s[self.at].sum()))
+        self.pred = np.full(len(self.at), self.growth.base)
+
+    def grow(self, n: np.ndarray, s: np.ndarray) -> None:
+        """One tree over the rows drawn: n of each vector, whose targets sum up to s."""
+        growth = self.growth
+        growth.open()
+        tree, many = growth.tree, n[self.at]
+        g, node = many * growth.whole(self.pred).astype(np.int64) - s[self.at], np.zeros(len(self.at), np.int64)
+        codes, on = self.codes[growth.used()], np.flatnonzero(many)
+        g, many = g[on], many[on]
+        codes = codes[:, on]
+        while growth.frontier:
+            place = np.full(len(tree.column) + 1, -1)
+            place[growth.frontier if growth.frontier != [-1] else [0]] = np.arange(len(growth.frontier))
+            growth.feed(*counted_histograms(codes, place[node[on]], g, many, len(growth.frontier)))
+            node = tree.step(self.codes, node)
+        self.pred += np.array(tree.value)[node]
+        growth.close()
+
+
+def counted_histograms(codes: np.ndarray, node: np.ndarray, g: np.ndarray, n: np.ndarray, n_nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The histograms of vectors that stand for n rows each, with gradients summed up to g."""
+    on = np.flatnonzero(node >= 0)
+    base, g, n, size = node[on] * BINS, g[on], n[on], n_nodes * BINS
+    both = [np.stack([_added(base + column[on], v, size) for column in codes]).reshape(len(codes), n_nodes, BINS).transpose(1, 0, 2) for v in (g, n)]
+    return both[0], both[1]
+
+
+def _by_codes(blocks: DataFrame, growths: list[Growth], most: int) -> list[Forest] | None:
+    """Forests from sums by the different codes of rows; None where there are more than `most`, or a run is stopped by rows held out."""
+    if any(g.p.early_stopping and g.run.held for g in growths):
+        return None
+    found = _vectors(blocks, most)
+    if found is None:
+        return None
+    vectors, rows, low, high = found
+    for g in growths:
+        at = members(vectors, g.run, g.columns)
+        g.measured(int(rows[at].sum()), float(low[at].min(initial=np.inf)), float(high[at].max(initial=-np.inf)))
+    open_ = [i for i, g in enumerate(growths) if not g.done]
+    if not open_:
+        for g in growths:
+            if g.n:
+                return None  # models without trees
+        return [g.forest() for g in growths]
+    draws: dict[Draw, int] = {}
+    for i in open_:
+        d = Draw.of(growths[i])
+        draws[d] = max(draws.get(d, 0), growths[i].p.n_estimators if growths[i].p.subsample < 1 else 0)
+    kinds = {d: k for k, d in enumerate(draws)}
+    # runs that ask for the same sums share them, as many tasks as there are cores
+    spark = blocks.sparkSession
+    cost = lambda i: growths[i].p.n_estimators * len(growths[i].columns) * growths[i].p.max_depth
+    target = sum(map(cost, open_)) / max(1, spark.sparkContext.defaultParallelism)
+    tasks: list[tuple[int, list[int]]] = []
+    for d, k in kinds.items():
+        own, load = sorted((i for i in open_ if Draw.of(growths[i]) == d), key=cost, reverse=True), math.inf
+        for i in own:
+            if load + cost(i) > 1.2 * target:
+                tasks.append((k, []))
+                load = 0
+            tasks[-1][1].append(i)
+            load += cost(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, runs = None, []
+        n, s = (np.zeros(vectors.n, np.int64) for _ in range(2))
+
+        def use(tree: int) -> None:
+            for r in runs:
+                if tree < 0:
+                    r.begin(s)
+                    while not r.growth.done and r.growth.p.subsample >= 1:
+                        r.grow(n, s)
+                elif not r.growth.done:
+                    r.grow(n, s)
+
+        for batch in batches:
+            for task, tree, first, more_n, more_s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at is None:
+                    runs = [_Counted(growths[i], vectors) for i in tasks[task][1]]
+                elif at != (task, tree):
+                    use(at[1])
+                    n[:], s[:] = 0, 0
+                at = task, tree
+                for all_, more in ((n, more_n), (s, more_s)):
+                    m = np.frombuffer(more, np.int64)
+                    all_[first : first + len(m)] += m
+        if at is not None:
+            use(at[1])
+            made = [pickle.dumps((f.base, f.rows)) for f in (r.growth.forest() for r in runs)]
+            yield pa.RecordBatch.from_arrays([pa.array(tasks[at[0]][1], pa.int64()), pa.array(made, pa.binary())], names=["run", "forest"])
+
+    sums = _drawn_sums(blocks, vectors.key, rows, draws)
+    assigned = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(tasks)], "task int, kind int")  # a row a task
+    sent = sums.join(F.broadcast(assigned), "kind").select("task", "tree", "first", "n", "s")
+    got = sent.repartitionById(len(tasks), F.col("task")).sortWithinPartitions("task", "tree", "first").mapInArrow(run, "run long, forest binary").collect()  # a model each
+    made = {r["run"]: pickle.loads(r["forest"]) for r in got}
+    return [Forest(list(g.run.features), *made[i]) if i in made else g.forest() for i, g in enumerate(growths)]
+
+
 SUM_SCHEMA = "run int, node int, feature int, bin int, g long, n long, e double, low double, high double"
 _SUM_NAMES = [x.split()[0] for x in SUM_SCHEMA.split(", ")]
 
@@ -466,7 +696,7 @@ def _in_passes(blocks: DataFrame, growths: list[Growth], refresh: int) -> list[F
         b = _block(row)
         for i, g in enumerate(growths):
             if g.n:
-                yield _one(i, TOTAL, g=int(np.rint((b.y[members(b, g.run, g.columns)] - g.low) / g.unit).astype(np.int64).sum()))
+                yield _one(i, TOTAL, g=int(g.whole(b.y[members(b, g.run, g.columns)]).astype(np.int64).sum()))
 
     for r in _pass(blocks, total).to_pylist():
         growths[r["run"]].begin(r["g"])

@@ -185,3 +185,31 @@ def test_anomalies_over_one_baseline(spark):
     assert all(math.isclose(r[f"anomaly_{n}"], math.exp(r[f"log_rs_{n}"] - r.log_rs_baseline)) for r in rows for n in both)
     with pytest.raises(ValueError, match="one name"):
         models.anomalies(df, both, fitted["base"], "climate")
+
+
+def test_sums_by_codes_give_the_same_trees(spark, monkeypatch):
+    """More rows than a task gets, but few different codes: no passes, and the trees of the rows themselves, also where one vector has most of the rows."""
+    r = np.random.default_rng(8)
+    x = r.integers(0, 4, (4000, 3)).astype(np.float32)
+    x[r.random(4000) < 0.4] = 1
+    x[::37, 2] = np.nan
+    y = x[:, 0] * 2 + r.normal(size=4000) + 1e3
+    rows = [(int(i % 3), None if i % 90 == 0 else float(t), *(None if np.isnan(v) else float(v) for v in f)) for i, (f, t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "part int, y double, a float, b float, c float").repartition(5)
+    runs = [
+        Run("all", ("a", "b", "c"), Params(n_estimators=6, min_child_weight=2), frozenset({0, 1, 2})),
+        Run("some", ("a", "b"), Params(n_estimators=4, max_depth=4, subsample=0.85), frozenset({1}), complete=False),
+        Run("whole", ("c", "a"), Params(n_estimators=3, subsample=1.0, colsample=1.0), frozenset({0, 2})),
+        Run("nothing", ("a",), Params(n_estimators=3), frozenset({9})),
+    ]
+    here = boosting.fit_runs(df, "y", runs)
+    passes = boosting.fit_runs(df, "y", runs, small_rows=0, refresh=2)
+    monkeypatch.setattr(boosting, "PIECE", 7)
+    monkeypatch.setattr(boosting, "_in_passes", None)
+    codes = boosting.fit_runs(df.repartition(3), "y", runs, small_rows=1000)
+    for run in runs:
+        assert here[run.name].base == passes[run.name].base == codes[run.name].base
+        assert here[run.name].rows == passes[run.name].rows == codes[run.name].rows
+    assert len(here["all"].rows) > 30
+    v, at = np.array([2**53 + 1, -(2**53) - 3, 5], np.int64), np.array([0, 1, 0])
+    assert boosting._added(at, v, 2).tolist() == [2**53 + 6, -(2**53) - 3]
