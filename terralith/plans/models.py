@@ -34,7 +34,9 @@ def covariates(df):
 
 
 def training(spark, sf):
-    sites = covariates(view(spark, sf, "v_sites")).withColumn("site_id", F.concat("source", F.lit("_"), F.col("rec").cast("string")))
+    # a small file with many rows is one task's; what follows costs far more than the rows' way to all cores
+    dealt = view(spark, sf, "v_sites").repartition(2 * spark.sparkContext.defaultParallelism, "rec")
+    sites = covariates(dealt).withColumn("site_id", F.concat("source", F.lit("_"), F.col("rec").cast("string")))
     lon, lat = F.col("longitude"), F.col("latitude")
     target = F.col("bio01") / 25 + F.ln(F.lit(0.25) + F.col("bio12") / (F.col("bio12") + 900)) + 6 + F.col("rs_annual") * 2e-5
     # written down once: filters on these fields would otherwise repeat their expressions through the whole plan

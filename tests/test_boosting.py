@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from terralith.operators import boosting, models, stats
 from terralith.operators.boosting import Params, Run
 
+DATA = os.environ.get("TERRALITH_TEST_DATA", "/root/testdata/sf0.01")
+
 
 def data(n, seed=0, missing=0.0, values=25):
     r = np.random.default_rng(seed)
@@ -213,3 +216,13 @@ def test_sums_by_codes_give_the_same_trees(spark, monkeypatch):
     assert len(here["all"].rows) > 30
     v, at = np.array([2**53 + 1, -(2**53) - 3, 5], np.int64), np.array([0, 1, 0])
     assert boosting._added(at, v, 2).tolist() == [2**53 + 6, -(2**53) - 3]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_sites_are_dealt_to_all_cores(spark):
+    """However few parts the file has, every later step has work for all cores."""
+    from terralith.plans.models import training
+
+    sites = training(spark, DATA)
+    assert sites.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sites.select("rec").distinct().count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
