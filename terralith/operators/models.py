@@ -295,17 +295,19 @@ def importance_ranks(attributions: DataFrame) -> DataFrame:
 
 
 def mean_attributions(rows: DataFrame, group: str, features: list[str], target: str, forests: dict) -> DataFrame:
-    """(group, n, feature, importance): the mean absolute Shapley value over all complete rows of each group, by the group's model."""
+    """(group, n, feature, importance): the mean absolute Shapley value over all complete rows of each group, by the group's model. Rows of the same features are counted and attributed once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, own in pdf.groupby(group):
                 if name in forests:
-                    phi = np.abs(forests[name].attributions(_matrix(own, features))).sum(axis=0)
-                    yield pd.DataFrame({group: name, "feature": features, "total": phi, "n": len(own)})
+                    n = own["_n"].to_numpy()
+                    phi = n @ np.abs(forests[name].attributions(_matrix(own, features)))
+                    yield pd.DataFrame({group: name, "feature": features, "total": phi, "n": n.sum()})
 
     kind = rows.schema[group].dataType.simpleString()
-    sums = rows.filter(complete(features, target)).select(group, *features).mapInPandas(run, f"{group} {kind}, feature string, total double, n long")
+    counted = rows.filter(complete(features, target)).groupBy(group, *features).agg(F.count("*").alias("_n"))
+    sums = counted.mapInPandas(run, f"{group} {kind}, feature string, total double, n long")
     return sums.groupBy(group, "feature").agg(F.sum("n").cast("int").alias("n"), (F.sum("total") / F.sum("n")).alias("importance"))
 
 

@@ -226,3 +226,16 @@ def test_sites_are_dealt_to_all_cores(spark):
     sites = training(spark, DATA)
     assert sites.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sites.select("rec").distinct().count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+
+
+def test_rows_of_equal_features_are_attributed_once(spark):
+    x, y = data(60, 3)
+    forest = models.fit_forest(x, y, list("abcd"), Params(n_estimators=3, min_child_weight=2))
+    many = np.arange(60) % 4 + 1
+    rows = [("g", float(t), *map(float, f)) for f, t, m in zip(x, y, many, strict=True) for _ in range(m)]
+    df = spark.createDataFrame(rows, "g string, y double, a float, b float, c float, d float").repartition(4)
+    out = models.mean_attributions(df, "g", list("abcd"), "y", {"g": forest})
+    got = {r["feature"]: (r["n"], r["importance"]) for r in out.collect()}
+    want = many @ np.abs(forest.attributions(x)) / many.sum()
+    assert all(got[f][0] == many.sum() and math.isclose(got[f][1], w, rel_tol=1e-9) for f, w in zip("abcd", want, strict=True))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # rows first, sums then
