@@ -90,10 +90,10 @@ def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
     return pdf[features].to_numpy(dtype="float32", na_value=np.nan)
 
 
-def complete(features: list[str] | tuple[str, ...], target: str) -> Column:
-    """Whether a row has the target and all features (no null, no NaN)."""
+def complete(features: list[str] | tuple[str, ...], target: str | None) -> Column:
+    """Whether a row has the target, if one is named, and all features (no null, no NaN)."""
     out = F.lit(True)
-    for c in (target, *features):
+    for c in (*features,) if target is None else (target, *features):
         out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     return out
 
@@ -294,7 +294,7 @@ def importance_ranks(attributions: DataFrame) -> DataFrame:
     return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
-def mean_attributions(rows: DataFrame, group: str, features: list[str], target: str, forests: dict) -> DataFrame:
+def mean_attributions(rows: DataFrame, group: str, features: list[str], target: str | None, forests: dict) -> DataFrame:
     """(group, n, feature, importance): the mean absolute Shapley value over all complete rows of each group, by the group's model. Rows of the same features are counted and attributed once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,6 +311,12 @@ def mean_attributions(rows: DataFrame, group: str, features: list[str], target:
     return sums.groupBy(group, "feature").agg(F.sum("n").cast("int").alias("n"), (F.sum("total") / F.sum("n")).alias("importance"))
 
 
+def overall_attributions(rows: DataFrame, model: Forest) -> DataFrame:
+    """(feature, importance, rank): the mean absolute Shapley value over all rows that have the model's features, known target or not, largest first."""
+    mean = mean_attributions(rows.select(F.lit("").alias("group"), *model.features), "group", model.features, None, {"": model})
+    return importance_ranks(mean.select("feature", F.col("importance").alias("value")))  # one value a feature, its own mean
+
+
 def group_attributions(train: DataFrame, group: str, features: list[str], target: str, params: Params = Params()) -> DataFrame:
     """(group, n, feature, importance, rank): one model for each group, and the mean absolute Shapley value of each feature over all the group's rows."""
     mean = mean_attributions(train, group, features, target, forests_of_groups(train, group, features, target, params))

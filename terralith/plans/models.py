@@ -96,7 +96,7 @@ def _(spark, sf):
 def _(spark, sf):
     t = training(spark, sf)
     model = models.fit(t.filter("region = 'asia'"), FEATURES, "log_rs", FULL)
-    return models.importance_ranks(models.attribute(ingest.exact_sample(t, "rec", 2000), model, ["rec"]))
+    return models.overall_attributions(t, model)
 
 
 def full_and_baseline(sites):

@@ -239,3 +239,30 @@ def test_rows_of_equal_features_are_attributed_once(spark):
     want = many @ np.abs(forest.attributions(x)) / many.sum()
     assert all(got[f][0] == many.sum() and math.isclose(got[f][1], w, rel_tol=1e-9) for f, w in zip("abcd", want, strict=True))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # rows first, sums then
+
+
+def test_tree_attributions_take_every_site(spark, tmp_path, monkeypatch):
+    from terralith import registry
+    from terralith.plans import models as plans
+
+    monkeypatch.setattr(plans, "FULL", Params(n_estimators=5))
+    customers = spark.range(4500).selectExpr("id as c_custkey", "id % 901 + 60d as c_acctbal", "'AUTOMOBILE' as c_mktsegment")
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    got = registry.QUERIES["tree_attributions"](spark, str(tmp_path)).collect()
+    sites = plans.training(spark, str(tmp_path))
+    forest = models.fit(sites.filter("region = 'asia'"), plans.FEATURES, "log_rs", plans.FULL)
+    x = sites.select(*plans.FEATURES).toPandas().to_numpy(np.float32)
+    want = dict(zip(plans.FEATURES, np.abs(forest.attributions(x)).mean(axis=0), strict=True))
+    assert len(x) == 4500 and [r["rank"] for r in sorted(got, key=lambda r: (-want[r["feature"]], r["feature"]))] == list(range(1, 9))
+    assert all(math.isclose(r["importance"], want[r["feature"]], rel_tol=1e-9) for r in got)
+
+
+def test_overall_attributions_leave_out_only_rows_without_a_feature(spark):
+    x, y = data(60, 3)
+    forest = models.fit_forest(x, y, list("abcd"), Params(n_estimators=3, min_child_weight=2))
+    rows = [tuple(map(float, f)) for f in x] + [(None, 1.0, 1.0, 1.0), (1.0, float("nan"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a float, b float, c float, d float").repartition(3)
+    got = {r["feature"]: r["importance"] for r in models.overall_attributions(df, forest).collect()}
+    known = x[~np.isnan(x).any(axis=1)]
+    assert np.allclose([got[f] for f in "abcd"], np.abs(forest.attributions(known)).mean(axis=0))
+    assert models.overall_attributions(df.limit(0), forest).count() == 0
