@@ -79,9 +79,9 @@ def _(spark, sf):
 
 
 def _area_sql(rows: str, cols: str, source: str = "cells", extra: str = "") -> str:
-    """Every target against every source cell that it meets, by the lengths they share."""
+    """Every target against every source cell that it meets, by the lengths they share; as many target rows as the raster's height gives, its width is always 50."""
     return f"""select {extra}cast(t.i as int) as row_no, cast(u.j as int) as col_no, round(sum(wr * wc * v) / nullif(sum(case when v is not null then wr * wc end), 0), 6) as v from {source} c
-  join (select i, r, least(r + 1, (i + 1) * {rows}) - greatest(r, i * {rows}) as wr from g, (select unnest(range(2000)) as i) join (select distinct row_no as r from cells) on r + 1 > i * {rows} and r < (i + 1) * {rows} where i < greatest(1, round_even(h / {rows}, 0))) t on t.r = c.row_no and wr > 1e-12
+  join (select i, r, least(r + 1, (i + 1) * {rows}) - greatest(r, i * {rows}) as wr from (select unnest(range(cast(greatest(1, round_even(h / {rows}, 0)) as bigint))) as i from g) join (select distinct row_no as r from cells) on r + 1 > i * {rows} and r < (i + 1) * {rows}) t on t.r = c.row_no and wr > 1e-12
   join (select j, k, least(k + 1, (j + 1) * {cols}) - greatest(k, j * {cols}) as wc from (select unnest(range(100)) as j) join (select distinct col_no as k from cells) on k + 1 > j * {cols} and k < (j + 1) * {cols} where j < greatest(1, round_even(50 / {cols}, 0))) u on u.k = c.col_no and wc > 1e-12 group by t.i, u.j"""
 
 
