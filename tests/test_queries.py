@@ -49,7 +49,7 @@ def test_matches_sql(spark, duck, name):
         assert all(p == q or (isinstance(p, float) and isinstance(q, float) and math.isclose(p, q, rel_tol=1e-9, abs_tol=2e-6)) for p, q in zip(x, y, strict=True)), (x, y)
 
 
-@pytest.mark.parametrize("name", ["downsample_by_area"])
+@pytest.mark.parametrize("name", ["downsample_by_area", "zoom_rasters"])
 def test_sql_covers_rasters_of_any_height(spark, tmp_path, name):
     """A raster of 25,000 rows, one cell in each: the SQL gives every target row that the query gives."""
     part = spark.range(25_000).selectExpr("id * 50 + id * 7 % 50 as p_partkey", "cast(id % 23 + 1 as int) as p_size", "900 + id % 9973 / 1e2 as p_retailprice")
