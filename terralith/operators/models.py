@@ -307,7 +307,9 @@ def mean_attributions(rows: DataFrame, group: str, features: list[str], target:
 
     kind = rows.schema[group].dataType.simpleString()
     counted = rows.filter(complete(features, target)).groupBy(group, *features).agg(F.count("*").alias("_n"))
-    sums = counted.mapInPandas(run, f"{group} {kind}, feature string, total double, n long")
+    # few bytes with much work each: packed by size they would be one task's
+    dealt = counted.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    sums = dealt.mapInPandas(run, f"{group} {kind}, feature string, total double, n long")
     return sums.groupBy(group, "feature").agg(F.sum("n").cast("int").alias("n"), (F.sum("total") / F.sum("n")).alias("importance"))
 
 

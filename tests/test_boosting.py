@@ -262,7 +262,9 @@ def test_overall_attributions_leave_out_only_rows_without_a_feature(spark):
     forest = models.fit_forest(x, y, list("abcd"), Params(n_estimators=3, min_child_weight=2))
     rows = [tuple(map(float, f)) for f in x] + [(None, 1.0, 1.0, 1.0), (1.0, float("nan"), 1.0, 1.0)]
     df = spark.createDataFrame(rows, "a float, b float, c float, d float").repartition(3)
-    got = {r["feature"]: r["importance"] for r in models.overall_attributions(df, forest).collect()}
+    out = models.overall_attributions(df, forest)
+    assert "Repartition" in out._jdf.queryExecution().optimizedPlan().toString()  # dealt to all cores
+    got = {r["feature"]: r["importance"] for r in out.collect()}
     known = x[~np.isnan(x).any(axis=1)]
     assert np.allclose([got[f] for f in "abcd"], np.abs(forest.attributions(known)).mean(axis=0))
     assert models.overall_attributions(df.limit(0), forest).count() == 0
